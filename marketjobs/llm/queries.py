@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import mixing, quality, secrets, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": quality.op3_quality, "op9_mix": mixing.op9_mix}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op4_shards": sharding.op4_shards,
+        "op6_urls": urls.op6_urls,
+        "op9_mix": mixing.op9_mix,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.OP3_SQL, "op9_mix": mixing.OP9_SQL}
+    return {"op3_quality": quality.OP3_SQL, "op4_shards": sharding.OP4_SQL, "op6_urls": urls.OP6_SQL, "op9_mix": mixing.OP9_SQL}
