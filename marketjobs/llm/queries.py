@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, sharding, simhash, urls
+from . import bpe, mixing, quality, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_shards": sharding.op4_shards,
         "op6_urls": urls.op6_urls,
         "op7_simhash": simhash.op7_simhash,
+        "op8_bpe": bpe.op8_bpe,
         "op9_mix": mixing.op9_mix,
         "op10_secrets": secrets.op10_secrets,
     }
