@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, secrets, sharding, simhash, urls
+from . import bpe, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tokens": tokens.op1_tokens,
         "op3_quality": quality.op3_quality,
         "op4_shards": sharding.op4_shards,
         "op6_urls": urls.op6_urls,
