@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, secrets, sharding, simhash, tokens, urls
+from . import bpe, html, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tokens": tokens.op1_tokens,
         "op3_quality": quality.op3_quality,
         "op4_shards": sharding.op4_shards,
+        "op5_main_text": html.op5_main_text,
         "op6_urls": urls.op6_urls,
         "op7_simhash": simhash.op7_simhash,
         "op8_bpe": bpe.op8_bpe,
