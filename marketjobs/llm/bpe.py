@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding over distinct words.
 
 A text is split into words by the pattern of the vocabulary. Each task numbers its distinct words and hands each new one
-on once, as an array of bytes; Spark higher-order functions fold the ranked merges over these arrays, looking pairs up in a
+on once, byte by byte; Spark higher-order functions fold the ranked merges over its bytes, looking pairs up in a
 literal rank map (an array of hash buckets, as a map literal is searched from end to end). The word numbers of the documents then
 take the words' ids. Nothing is shuffled or broadcast; a task's dictionary is bounded and starts anew when full.
 Decoding concatenates the ids' binary pieces.
@@ -20,6 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .common import read
 UNICODE_SPACE = r"\t\n\x0b\f\r \x85\xa0  -     　"
 BUCKETS = 1 << 16
 #: Words of more bytes are merged by the library; distinct words of a task before its dictionary starts anew.
-MAX_FOLD, MAX_WORDS = 256, 700_000
+MAX_FOLD, MAX_WORDS = 256, 2_000_000
 #: A task takes at least so many bytes of the input files: the more words it has, the more often it meets each again.
 TASK_BYTES = 128 << 20
 OFFSET, NO_PAIR = 0x10000, chr(0x10FFFF)
@@ -65,31 +66,26 @@ def literal(value: object, kind: str) -> Column:
 
 
 def rank_map(path: str) -> Column:
-    """The rank map as one literal: of a pair (a, b) of ids whose bytes joined are a token, that token; and the ids of single bytes.
+    """The rank map as one literal, in hash buckets: of two characters a + b whose ids' bytes joined are a token, that token's character.
 
     Ids are written as characters here, one code point each (id + OFFSET), so that a word's parts are a string: Spark cuts and
     joins strings much faster than arrays, and comparing characters compares ranks.
     """
     known = ranks(path)
-    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-    values: list[list[str]] = [[] for _ in range(BUCKETS)]
+    buckets: list[dict[str, str] | None] = [None] * BUCKETS
     for token, rank in known.items():
         for i in range(1, len(token)):
             a, b = known.get(token[:i]), known.get(token[i:])
             if a is not None and b is not None:
-                at = (a * 40503 + b * 30011) % BUCKETS
-                keys[at].append((a << 16) + b)
-                values[at].append(chr(rank + OFFSET))
-    single = [known[bytes([i])] for i in range(256)]
-    kind = "struct<keys:array<array<bigint>>,values:array<array<string>>,bytes:array<bigint>,chars:array<string>>"
-    return literal({"keys": keys, "values": values, "bytes": single, "chars": [chr(x + OFFSET) for x in single]}, kind)
+                pair = chr(a + OFFSET) + chr(b + OFFSET)
+                at = xxhash.xxh64_intdigest(pair, 42) % BUCKETS
+                buckets[at] = (buckets[at] or {}) | {pair: chr(rank + OFFSET)}
+    return literal(buckets, "array<map<string,string>>")
 
 
-def rank(merges: Column, a: Column, b: Column) -> Column:
-    """a, b: ids as longs."""
-    bucket = (a * 40503 + b * 30011).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    found = F.array_position(F.get(merges["keys"], bucket), a * 65536 + b).cast("int")
-    return F.coalesce(F.get(F.get(merges["values"], bucket), found - 1), F.lit(NO_PAIR))
+def rank(merges: Column, pair: Column) -> Column:
+    found = F.get(merges, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    return F.coalesce(found.getItem(pair), F.lit(NO_PAIR))
 
 
 def let(value: Column, then) -> Column:
@@ -97,81 +93,101 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def number(char: Column) -> Column:
-    return F.ascii(char).cast("long") - OFFSET
-
-
 def fold(word: Column, merges: Column) -> Column:
-    """Array of bytes -> array of ids: merges the pair of the lowest rank, the first of several, until there is none.
+    """A character per byte -> a character per id: merges the pair of the lowest rank, the first of several, until there is none.
 
     The state has the parts and the rank of each pair of neighbours; a merge changes two of these.
     """
-    start = F.transform(word, lambda b: F.get(merges["bytes"], b.cast("int")))
-    char = lambda s, at: number(F.substr(s, at, F.lit(1)))
 
     def merge(s: Column, best: Column, at: Column) -> Column:
         """at: the place of the pair, from 1; best: its rank, which is the new part."""
-        p, r, token = s["p"], s["r"], number(best)
-        left = F.when(at > 1, F.concat(F.left(r, at - 2), rank(merges, char(p, at - 1), token))).otherwise(F.lit(""))
-        right = F.when(at < F.char_length(r), F.concat(rank(merges, token, char(p, at + 2)), F.substr(r, at + 2))).otherwise(F.lit(""))
+        p, r = s["p"], s["r"]
+        left = F.when(at > 1, F.concat(F.left(r, at - 2), rank(merges, F.concat(F.substr(p, at - 1, F.lit(1)), best)))).otherwise(F.lit(""))
+        right = F.when(at < F.char_length(r), F.concat(rank(merges, F.concat(best, F.substr(p, at + 2, F.lit(1)))), F.substr(r, at + 2))).otherwise(F.lit(""))
         return F.struct(F.concat(F.left(p, at - 1), best, F.substr(p, at + 2)).alias("p"), F.concat(left, right).alias("r"))
 
     def step(s: Column, _: Column) -> Column:
         low = F.array_min(F.split(s["r"], ""))
-        return let(low, lambda best: F.when((best == "") | (best == NO_PAIR), s).otherwise(let(F.call_function("instr", s["r"], best), lambda at: merge(s, best, at))))
+        return F.when(s["r"] == "", s).otherwise(let(low, lambda best: F.when(best == NO_PAIR, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(merge(s, best, F.call_function("instr", s["r"], best)))))
+
+    steps = F.sequence(F.lit(1), F.char_length(word) - 1)
+    pairs = F.array_join(F.transform(steps, lambda i: rank(merges, F.substr(word, i, F.lit(2)))), "")
+    folded = F.aggregate(steps, F.struct(word.alias("p"), pairs.alias("r")), step, lambda s: s["p"])
+    return F.when(F.char_length(word) > 1, folded).otherwise(word)
+
+
+CHUNK = "doc_id array<bigint>, n array<int>, word array<int>, fresh boolean, parts array<string>, done_at array<int>, done_ids array<array<int>>"
+
 
-    def state(ids: Column) -> Column:
-        chars = F.array_join(F.transform(word, lambda b: F.get(merges["chars"], b.cast("int"))), "")
-        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: rank(merges, a, F.get(ids, i + 1)))
-        return F.struct(chars.alias("p"), F.array_join(pairs, "").alias("r"))
+class Numbers:
+    """Numbers of words in order of arrival, by a digest of 128 bits: 20 bytes a word."""
 
-    folded = let(start, lambda ids: F.aggregate(F.sequence(F.lit(2), F.size(ids)), state(ids), step, lambda s: s["p"]))
-    ids = F.transform(F.split(folded, ""), lambda c: number(c).cast("int"))
-    return F.when(F.size(word) > 1, ids).otherwise(F.transform(start, lambda x: x.cast("int")))
+    def __init__(self):
+        self.high, self.low, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
 
+    def __len__(self) -> int:
+        return len(self.number)
 
-CHUNK = "doc_id array<bigint>, n array<int>, word array<int>, fresh boolean, bytes array<array<smallint>>, done_at array<int>, done_ids array<array<int>>"
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of distinct words, and the places of those that are new."""
+        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        high, low = digest[:, 0], digest[:, 1]
+        at = np.searchsorted(self.high, high)
+        found = np.zeros(len(words), bool)
+        if len(self):
+            at = np.minimum(at, len(self) - 1)
+            found = (self.high[at] == high) & (self.low[at] == low)
+        number = np.empty(len(words), np.int32)
+        number[found] = self.number[at[found]]
+        new = np.flatnonzero(~found)
+        number[new] = len(self) + np.arange(len(new))
+        high, low, every = np.r_[self.high, high[new]], np.r_[self.low, low[new]], np.r_[self.number, number[new]]
+        order = np.argsort(high, kind="stable")
+        self.high, self.low, self.number = high[order], low[order], every[order]
+        return number, new
 
 
 def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max_fold: int, max_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, words) -> a row per batch: its documents, the number of each of their words, and the words that are new in this task."""
-    known: dict[bytes, int] = {}
-    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("bytes", pa.list_(pa.list_(pa.int16()))), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
+    known = Numbers()
+    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("parts", pa.list_(pa.string())), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     fresh, table = True, ranks(path)
+    single = np.frombuffer("".join(chr(table[bytes([i])] + OFFSET) for i in range(256)).encode(), np.uint8).reshape(256, 4)
     for batch in batches:
         words = batch.column("words")
-        n = pc.fill_null(pc.list_value_length(words), 0)
+        n = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32())
         coded = words.flatten().dictionary_encode()
         own = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(known) + len(own) > max_words:
-            known, fresh = {}, True
-        first = len(known)
-        numbers = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own))
-        new = [w for w, k in zip(own, numbers.tolist(), strict=True) if k >= first]
+            known, fresh = Numbers(), True
+        numbers, at = known.of(own)
+        new = [own[i] for i in at.tolist()]
         done_at = [i for i, w in enumerate(new) if w in table or len(w) > max_fold]
         done_ids = [[table[new[i]]] if new[i] in table else library(path, pattern).encode_ordinary(new[i].decode()) for i in done_at]
         for i in done_at:
             new[i] = b""
-        sizes = np.fromiter(map(len, new), np.int32, len(new))
-        values = pa.array(np.frombuffer(b"".join(new), np.uint8).astype(np.int16))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+        chars = single[np.frombuffer(b"".join(new), np.uint8)].tobytes()
+        ends = np.r_[0, 4 * np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))].astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(new), pa.py_buffer(ends), pa.py_buffer(chars))
         word = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
-        yield pa.record_batch([one(batch.column("doc_id")), one(n.cast(pa.int32())), one(pa.array(word)), pa.array([fresh]), one(lists), one(pa.array(done_at, pa.int32())), one(pa.array(done_ids, pa.list_(pa.int32())))], schema=schema)
+        docs = batch.column("doc_id")
+        del own, new, coded, words, batch
+        yield pa.record_batch([one(docs), one(n), one(pa.array(word)), pa.array([fresh]), one(parts), one(pa.array(done_at, pa.int32())), one(pa.array(done_ids, pa.list_(pa.int32())))], schema=schema)
         fresh = False
 
 
 def take_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of number_words with `ids` of the new words -> doc_id, ids."""
+    """The rows of number_words with the parts of the new words merged -> doc_id, ids."""
     flat, starts, sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         for row in range(batch.num_rows):
             own = lambda name: batch.column(name).slice(row, 1).flatten()  # noqa: B023, E731
-            ids, at = own("ids"), own("done_at").to_numpy(zero_copy_only=False)
+            parts, at = own("parts"), own("done_at").to_numpy(zero_copy_only=False)
             if batch.column("fresh")[row].as_py():
                 flat, starts, sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-            got = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = ids.flatten().to_numpy(zero_copy_only=False)
+            got = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64) // 4  # every character takes four bytes
+            values = np.frombuffer("".join(parts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int32) - OFFSET
             begin = np.cumsum(got) - got + len(flat)
             if len(at):  # their own lists were empty
                 more = own("done_ids")
@@ -211,8 +227,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     words = F.coalesce(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0)), F.array().cast("array<string>"))
     rows = together(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", words.alias("words"))
     chunks = rows.mapInArrow(lambda b: number_words(b, path, pattern, max_fold, max_words), CHUNK)
-    ids = let(rank_map(path), lambda merges: F.transform("bytes", lambda w: fold(w, merges)))
-    chunks = chunks.withColumn("ids", ids).drop("bytes")
+    parts = let(rank_map(path), lambda merges: F.transform("parts", lambda w: fold(w, merges)))
+    chunks = chunks.withColumn("parts", parts)
     return chunks.mapInArrow(take_ids, "doc_id long, ids array<int>")
 
 
