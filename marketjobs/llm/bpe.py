@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .dictionary import Lists, Numbers
 
 #: White space of Unicode, which Java's \s is not. Fixed values.
 UNICODE_SPACE = r"\t\n\x0b\f\r \x85\xa0  -     　"
 BUCKETS = 1 << 16
 #: Words of more bytes are merged by the library; distinct words of a task before its dictionary starts anew.
 MAX_FOLD, MAX_WORDS = 256, 2_000_000
+#: Words whose ids are laid out at once; a document is not cut.
+BLOCK_WORDS = 1 << 19
 #: A task takes at least so many bytes of the input files: the more words it has, the more often it meets each again.
 TASK_BYTES = 128 << 20
 OFFSET, NO_PAIR = 0x10000, chr(0x10FFFF)
@@ -119,34 +122,6 @@ def fold(word: Column, merges: Column) -> Column:
 CHUNK = "doc_id array<bigint>, n array<int>, word array<int>, fresh boolean, parts array<string>, done_at array<int>, done_ids array<array<int>>"
 
 
-class Numbers:
-    """Numbers of words in order of arrival, by a digest of 128 bits: 20 bytes a word."""
-
-    def __init__(self):
-        self.high, self.low, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
-
-    def __len__(self) -> int:
-        return len(self.number)
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of distinct words, and the places of those that are new."""
-        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
-        high, low = digest[:, 0], digest[:, 1]
-        at = np.searchsorted(self.high, high)
-        found = np.zeros(len(words), bool)
-        if len(self):
-            at = np.minimum(at, len(self) - 1)
-            found = (self.high[at] == high) & (self.low[at] == low)
-        number = np.empty(len(words), np.int32)
-        number[found] = self.number[at[found]]
-        new = np.flatnonzero(~found)
-        number[new] = len(self) + np.arange(len(new))
-        high, low, every = np.r_[self.high, high[new]], np.r_[self.low, low[new]], np.r_[self.number, number[new]]
-        order = np.argsort(high, kind="stable")
-        self.high, self.low, self.number = high[order], low[order], every[order]
-        return number, new
-
-
 def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max_fold: int, max_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, words) -> a row per batch: its documents, the number of each of their words, and the words that are new in this task."""
     known = Numbers()
@@ -179,36 +154,26 @@ def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max
 
 def take_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of number_words with the parts of the new words merged -> doc_id, ids."""
-    flat, starts, sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    lists = Lists()
     for batch in batches:
         for row in range(batch.num_rows):
             own = lambda name: batch.column(name).slice(row, 1).flatten()  # noqa: B023, E731
             parts, at = own("parts"), own("done_at").to_numpy(zero_copy_only=False)
             if batch.column("fresh")[row].as_py():
-                flat, starts, sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-            got = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64) // 4  # every character takes four bytes
-            values = np.frombuffer("".join(parts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int32) - OFFSET
-            begin = np.cumsum(got) - got + len(flat)
-            if len(at):  # their own lists were empty
-                more = own("done_ids")
-                size = pc.list_value_length(more).to_numpy(zero_copy_only=False).astype(np.int64)
-                got[at], begin[at] = size, np.cumsum(size) - size + len(flat) + len(values)
-                values = np.r_[values, more.flatten().to_numpy(zero_copy_only=False)]
-            flat, starts, sizes = np.r_[flat, values.astype(np.int32)], np.r_[starts, begin], np.r_[sizes, got]
+                lists = Lists()
+            size = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64) // 4  # every character takes four bytes
+            flat = np.frombuffer("".join(parts.to_pylist()).encode("utf-32-le"), np.uint32) - np.uint32(OFFSET)
+            done = own("done_ids")
+            lists.add(flat, size, at, done.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(done).to_numpy(zero_copy_only=False).astype(np.int64))
             word = own("word").to_numpy(zero_copy_only=False)
             n = own("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            docs, done, ends = own("doc_id"), 0, np.cumsum(n)
-            lo = 0
+            docs, ends, lo = own("doc_id"), np.r_[0, np.cumsum(n)], 0
             while lo < len(n):  # some documents at a time
-                hi = max(lo + 1, int(np.searchsorted(ends, done + (1 << 20), "right")))
-                w = word[done : ends[hi - 1]]
-                size = sizes[w]
-                end = np.cumsum(size)
-                total = int(end[-1]) if len(end) else 0
-                place = np.arange(total) - np.repeat(end - size, size) + np.repeat(starts[w], size)
-                bounds = np.r_[0, end][ends[lo:hi] - done]
-                yield pa.record_batch([docs.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.r_[0, bounds].astype(np.int32)), pa.array(flat[place]))], names=["doc_id", "ids"])
-                done, lo = int(ends[hi - 1]), hi
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_WORDS, "right")) - 1)
+                ids, size = lists.take(word[ends[lo] : ends[hi]])
+                bounds = np.r_[0, np.cumsum(size)][ends[lo : hi + 1] - ends[lo]]
+                yield pa.record_batch([docs.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))], names=["doc_id", "ids"])
+                lo = hi
 
 
 def together(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:

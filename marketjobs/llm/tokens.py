@@ -9,7 +9,7 @@ so that any range of ids is decoded from the symbols that cover it alone.
 Files: Parquet with one row per shard; integers are little-endian (u4: unsigned 32 bits, u8: 64 bits).
 
 Encoding goes by distinct pieces: the tokenizer drops white space and splits at it, so words can be encoded apart, and words without
-apostrophes and marks also at runs of other than letters and digits and at each digit. A task's dictionary is bounded and starts anew when full.
+apostrophes and marks also at runs of other than letters and digits and at each digit. A worker's dictionary is bounded and starts anew when full.
 
 Defined results: null and empty texts have the end id only; rows with one doc_id are written in order of their text; null ids come first;
 other columns are not written; an empty table gives no shards and no rows.
@@ -18,6 +18,7 @@ other columns are not written; an empty table gives no shards and no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,17 +30,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_path, read
+from .dictionary import Lists, Numbers
 
 END_ID = 1
 #: Ids per shard (a document is not cut); rounds of replacement and new symbols a round; the least count of a pair.
 SHARD_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 21, 6, 2048, 32
 #: The place of every so many symbols is stored.
 STEP = 256
-MAX_PIECES = 300_000
+MAX_PIECES = 2_000_000
 #: Words with one of these are encoded whole: contractions, marks that join a letter, and the letter whose lower case is a letter and a mark.
 WHOLE = r"['\pM\x{0130}]"
-#: Text encoded at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text, and pieces given to the library, at once.
+BLOCK_BYTES, AT_ONCE = 8 << 20, 4096
 
 
 def vocabulary() -> str:
@@ -60,43 +62,27 @@ def tokenizer(path: str):
     return t
 
 
-class Lists:
-    """Lists of ids in one flat array, numbered in order of arrival."""
-
-    def __init__(self):
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
-        self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
-        self.flat, self.size = np.r_[self.flat, flat.astype(np.uint32)], np.r_[self.size, size]
-
-    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the lists, in a row, and their numbers."""
-        size = self.size[which]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        return self.flat[np.arange(total) - np.repeat(end - size, size) + np.repeat(self.start[which], size)], size
-
-
 class Encoder:
     """Texts -> ids, through the ids of distinct pieces."""
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         self.path, self.max_pieces = path, max_pieces
-        self.known: dict[str, int] = {}
-        self.lists = Lists()
+        self.known, self.lists = Numbers(), Lists()
 
     def pieces(self, found: list[str]) -> np.ndarray:
         """Numbers of the pieces in self.lists."""
         if len(self.known) + len(found) > self.max_pieces:
-            self.known, self.lists = {}, Lists()
-        first = len(self.known)
-        numbers = np.fromiter((self.known.setdefault(p, len(self.known)) for p in found), np.int64, len(found))
-        new = [p for p, k in zip(found, numbers.tolist(), strict=True) if k >= first]
+            self.known, self.lists = Numbers(), Lists()
+        numbers, at = self.known.of([p.encode() for p in found])
+        new = [found[i] for i in at.tolist()]
         if new:
-            ids = [e.ids for e in tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.lists.add(np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum())), size)
+            ids, size = array("I"), []
+            for i in range(0, len(new), AT_ONCE):
+                for e in tokenizer(self.path).encode_batch_fast(new[i : i + AT_ONCE], add_special_tokens=False):
+                    own = e.ids
+                    ids.extend(own)
+                    size.append(len(own))
+            self.lists.add(np.frombuffer(ids, np.uint32), np.array(size, np.int64))
         return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +106,12 @@ class Encoder:
         return out, np.diff(np.r_[0, ends])
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: its dictionary outlives the tasks."""
+    return Encoder(path)
+
+
 # --- Re-Pair ---
 
 
@@ -236,13 +228,13 @@ def write(docs: DataFrame, out: str, path: str | None = None, shard_ids: int = S
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        task, part, encoder = TaskContext.get().partitionId(), 0, Encoder(path)
+        task, part, known = TaskContext.get().partitionId(), 0, encoder(path)
         ids, docs, sizes, total = [], [], [], 0
         for batch in batches:
             text, doc_id = batch.column("text"), batch.column("doc_id")
             step = max(1, int(batch.num_rows * BLOCK_BYTES / max(1, text.nbytes)))
             for i in range(0, batch.num_rows, step):
-                flat, n = encoder.encode(text.slice(i, step))
+                flat, n = known.encode(text.slice(i, step))
                 ends = np.cumsum(n)
                 whole = np.insert(flat, ends, END_ID)
                 n = n + 1
