@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, mixing, quality, secrets, sharding, simhash, tokens, urls
+from . import bpe, fingerprints, html, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tokens": tokens.op1_tokens,
+        "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_quality": quality.op3_quality,
         "op4_shards": sharding.op4_shards,
         "op5_main_text": html.op5_main_text,
