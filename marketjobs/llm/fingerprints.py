@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .bpe import let, literal
 from .common import attach, read, written
 
+#: Java may not know the latest marks; to it they are unassigned.
+TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
 ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
 PAGE = 8  # bits of a table's page
 #: Java would also split between the two halves of a character beyond the basic plane.
@@ -94,7 +96,7 @@ def canonical(text: Column) -> Column:
         ).otherwise(run)
         return let(literal(order, "array<array<int>>"), lambda t: F.array_join(F.transform(runs, sort(t)), ""))
 
-    wide = F.translate(let(replaced, lambda s: F.when(s.rlike(r"\p{M}\p{M}"), in_order(s)).otherwise(s)), IOTA, IOTA_FOLDED)
+    wide = F.translate(let(replaced, lambda s: F.when(s.rlike(TWO_MARKS), in_order(s)).otherwise(s)), IOTA, IOTA_FOLDED)
     form = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(wide)
     return F.btrim(F.regexp_replace(form, ASCII_SPACE, " "))
 
