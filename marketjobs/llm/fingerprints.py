@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from .bpe import let, literal
 from .common import attach, read, written
 
+#: Java may not know the latest marks; to it they are unassigned.
+TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
+ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
+PAGE = 8  # bits of a table's page
 #: Java may not know the latest marks; to it they are unassigned.
 TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
 ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
@@ -80,16 +84,15 @@ def looked_up(table: Column, char: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     fold, order, marks = tables()
-    beyond = r"[^\x00-\x7F]"
-    # Pieces: runs of ASCII, and single characters beyond it.
-    pieces = F.split(text, f"{WITHIN}(?:(?<={beyond})|(?={beyond}))")
+    # Runs of ASCII, and single characters beyond it.
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
     replaced = let(
         literal(fold, "array<array<string>>"),
         lambda t: F.array_join(F.transform(pieces, lambda p: F.when(F.ascii(p) < 128, F.lower(p)).otherwise(F.coalesce(looked_up(t, p), p))), ""),
     )
 
     def in_order(s: Column) -> Column:
-        runs = F.split(s, f"{WITHIN}(?:(?<=[{marks}])(?=[^{marks}])|(?<=[^{marks}])(?=[{marks}]))")
+        runs = F.regexp_extract_all(s, F.lit(f"[{marks}]+|[^{marks}]+"), F.lit(0))
         sort = lambda t: lambda run: F.when(
             (F.char_length(run) > 1) & looked_up(t, run).isNotNull(),
             F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(looked_up(t, c).alias("r"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), ""),
