@@ -29,14 +29,10 @@ from .common import attach, read, written
 
 #: Java may not know the latest marks; to it they are unassigned.
 TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
-ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
-PAGE = 8  # bits of a table's page
 #: Java may not know the latest marks; to it they are unassigned.
 TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
 ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
 PAGE = 8  # bits of a table's page
-#: Java would also split between the two halves of a character beyond the basic plane.
-WITHIN = r"(?![\uDC00-\uDFFF])"
 
 
 #: The one mark that case folding makes a letter; it is folded when the marks are in order.
