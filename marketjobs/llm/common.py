@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,22 @@ def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max
     return df.join(right, cond, how).drop(*keys.values())
 
 
+#: Bytes of a batch that goes to a Python worker, for operators that hold several things of a batch's size.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Limits Arrow batches for what is executed inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null and for blank texts."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

@@ -17,8 +17,6 @@ other columns are not written; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,19 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, read
+from .common import attach, new_path, read, small_batches, written
 from .dictionary import Lists, Numbers
 
 END_ID = 1
 #: Ids per shard (a document is not cut); rounds of replacement and new symbols a round; the least count of a pair.
-SHARD_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 21, 6, 2048, 32
+SHARD_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 6, 2048, 32
 #: The place of every so many symbols is stored.
 STEP = 256
 MAX_PIECES = 2_000_000
 #: Words with one of these are encoded whole: contractions, marks that join a letter, and the letter whose lower case is a letter and a mark.
 WHOLE = r"['\pM\x{0130}]"
 #: Bytes of text, and pieces given to the library, at once.
-BLOCK_BYTES, AT_ONCE = 8 << 20, 4096
+BLOCK_BYTES, AT_ONCE = 6 << 20, 1024
 
 
 def vocabulary() -> str:
@@ -62,6 +60,15 @@ def tokenizer(path: str):
     return t
 
 
+@cache
+def word_ends(path: str) -> np.ndarray:
+    """By id: whether the token ends a word."""
+    vocab = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    return out
+
+
 class Encoder:
     """Texts -> ids, through the ids of distinct pieces."""
 
@@ -75,16 +82,20 @@ class Encoder:
             self.known, self.lists = Numbers(), Lists()
         numbers, at = self.known.of([p.encode() for p in found])
         new = [found[i] for i in at.tolist()]
-        if new:
-            ids, size = array("I"), []
-            for i in range(0, len(new), AT_ONCE):
-                for e in tokenizer(self.path).encode_batch_fast(new[i : i + AT_ONCE], add_special_tokens=False):
-                    own = e.ids
-                    ids.extend(own)
-                    size.append(len(own))
-            self.lists.add(np.frombuffer(ids, np.uint32), np.array(size, np.int64))
+        for i in range(0, len(new), AT_ONCE):
+            self.lists.add(*self.library_ids(new[i : i + AT_ONCE]))
         return numbers
 
+    def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and their numbers. Almost every piece is one word to the library, and a word's last id, and no
+        other, is a word end. No piece here is without a word, so if there are as many ends as pieces, each is one word."""
+        ids = np.array(tokenizer(self.path).encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(word_ends(self.path)[ids])
+        if len(ends) == len(pieces) and all(map(str.strip, pieces)):
+            return ids, np.diff(np.r_[-1, ends])
+        each = [e.ids for e in tokenizer(self.path).encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter((x for own in each for x in own), np.uint32), np.array([len(own) for own in each], np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and their number by text."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
@@ -115,29 +126,38 @@ def encoder(path: str) -> Encoder:
 # --- Re-Pair ---
 
 
-def frequent(seq: np.ndarray, most: int, least: int) -> np.ndarray:
+BINS = 22
+
+
+def bins_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs of symbols (unsigned, 32 bits), of BINS bits."""
+    return (left * np.uint32(2654435761) + right * np.uint32(40503)) >> np.uint32(32 - BINS)
+
+
+def frequent(seq: np.ndarray, bins: np.ndarray, most: int, least: int) -> np.ndarray:
     """Keys (left << 32 | right) of the most frequent pairs with a count of `least` or more, most frequent first.
 
-    Pairs are counted by a hash first; only those in bins that are full enough are sorted and counted themselves.
+    Pairs are counted by their bins first; only those in bins that are full enough are sorted and counted themselves.
     """
-    bins = (seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(40503)) >> np.uint32(10)
-    count = np.bincount(bins, minlength=1 << 22)
-    full = count >= least
-    if full.sum() > 4 * most:
-        full &= count >= np.partition(count, len(count) - 4 * most)[len(count) - 4 * most]
-    at = np.flatnonzero(full[bins])
+    count = np.bincount(bins, minlength=1 << BINS)
+    full = np.flatnonzero(count >= least)
+    if len(full) > 2 * most:
+        full = full[np.argpartition(count[full], len(full) - 2 * most)[len(full) - 2 * most :]]
+    marked = np.zeros(1 << BINS, bool)
+    marked[full] = True
+    at = np.flatnonzero(marked[bins])
     key, n = np.unique((seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1], return_counts=True)
     key, n = key[n >= least], n[n >= least]
     return key[np.lexsort((key, -n))][:most]
 
 
-def replace(seq: np.ndarray, keys: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+def replace(seq: np.ndarray, bins: np.ndarray, keys: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """seq with pairs in keys replaced by first + their number, from the left in each run of overlapping pairs; how often each was."""
     order = np.argsort(keys)
     ranked = keys[order]
-    lefts = np.zeros(max(int(seq.max()), int((keys >> np.uint64(32)).max())) + 1, bool)
-    lefts[(keys >> np.uint64(32)).astype(np.int64)] = True
-    at = np.flatnonzero(lefts[seq[:-1]])
+    marked = np.zeros(1 << BINS, bool)
+    marked[bins_of((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))] = True
+    at = np.flatnonzero(marked[bins])
     pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
     slot = np.minimum(np.searchsorted(ranked, pair), len(ranked) - 1)
     hit = ranked[slot] == pair
@@ -159,9 +179,10 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_A_ROU
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, first = ids.astype(np.uint32), np.empty((0, 2), np.uint32), base
     for _ in range(rounds):
-        if len(seq) < 2 or not len(keys := frequent(seq, per_round, least)):
+        bins = bins_of(seq[:-1], seq[1:])
+        if len(seq) < 2 or not len(keys := frequent(seq, bins, per_round, least)):
             break
-        seq, used = replace(seq, keys, first)
+        seq, used = replace(seq, bins, keys, first)
         rules = np.r_[rules, np.c_[keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)].astype(np.uint32)]
         first += len(keys)
         if used.sum() * 50 < len(seq):
@@ -270,35 +291,26 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) of the shards in a folder, decoded shard by shard; start: ids of all documents before."""
+    """(doc_id, start, n_tokens, ids) of the shards in a folder, decoded shard by shard; start: ids of all documents before; ids: binary, u4."""
     shards = spark.read.schema(SHARD).parquet(path)
-    starts = shard_starts(shards).select(F.col("task").alias("t"), F.col("part").alias("p"), "start")
-    joined = shards.join(F.broadcast(starts), (F.col("task") == F.col("t")) & (F.col("part") == F.col("p"))) if shards.count() <= 100_000 else shards.join(starts, (F.col("task") == F.col("t")) & (F.col("part") == F.col("p")))
+    starts = written(shard_starts(shards), "token-starts")
+    joined = attach(shards.select("task", "part", "rules", "sequence", "base", "doc_id", "at"), starts, ["task", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("rules", "sequence", "base", "at", "start")}
                 ids = expand(np.frombuffer(row["sequence"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2), row["base"])
-                at = np.frombuffer(row["at"], "<u8").astype(np.int64)
+                at = np.r_[np.frombuffer(row["at"], "<u8").astype(np.int64), len(ids)]
                 docs = batch.column("doc_id").slice(i, 1).flatten()
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(ids)].astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.record_batch([docs, pa.array(row["start"] + at), lists], names=["doc_id", "start", "ids"])
+                values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.record_batch([docs, pa.array(row["start"] + at[:-1]), pa.array(np.diff(at)), values.cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return joined.select("rules", "sequence", "base", "doc_id", "at", "start").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return joined.select("rules", "sequence", "base", "doc_id", "at", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids are below 2^31, so int holds them; the crc is over their unsigned 32-bit form, which has the same bytes."""
     path = new_path(spark, "token-shards")
-    write(read(spark, sf_dir, "documents"), path)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, n = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(n)
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("start"), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark):
+        write(read(spark, sf_dir, "documents"), path)
+    return documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
