@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches, written
 from .dictionary import Lists, Numbers
 
 #: White space of Unicode, which Java's \s is not. Fixed values.
@@ -33,7 +33,7 @@ BUCKETS = 1 << 16
 #: Words of more bytes are merged by the library; distinct words of a task before its dictionary starts anew.
 MAX_FOLD, MAX_WORDS = 256, 2_000_000
 #: Words whose ids are laid out at once; a document is not cut.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 18
 #: A task takes at least so many bytes of the input files: the more words it has, the more often it meets each again.
 TASK_BYTES = 128 << 20
 OFFSET, NO_PAIR = 0x10000, chr(0x10FFFF)
@@ -208,6 +208,9 @@ def decoded(ids: Column, path: str | None = None) -> Column:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests are written here, under a limit on batches: between Python and Spark go many batches at a time."""
     rows = encoded(read(spark, sf_dir, "documents"))
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    with small_batches(spark):
+        return written(rows, "bpe-digests")
