@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from .bpe import let, literal
 from .common import attach, read, written
 
-#: Java may not know the latest marks; to it they are unassigned.
-TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
 #: Java may not know the latest marks; to it they are unassigned.
 TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
 ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"

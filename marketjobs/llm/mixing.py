@@ -59,19 +59,19 @@ def targets(sources: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap:
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(full), F.lit(0.0))
     )
     ranked = ranked.withColumn("level", level)
-    last = F.coalesce(F.min(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(every), F.max("fills_at").over(every))
+    last = F.coalesce(F.max(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(every), F.max("fills_at").over(every))
     return ranked.withColumn("target", F.least("most", last * F.col("weight"))).select("source", "source_size", "turn", "target")
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: float = CAP, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken, position (of the first copy, null if none), positions (of all copies).
+    """One row per document: doc_id, source, th (hash of the text), size, source_size, target, copies, taken, position (of the first copy, null if none), positions (of all copies).
 
     A document's place is the running word count of its source in hash order: sums per bin of hash prefixes, a running sum
     over the bins, and a running sum inside each bin; no task sees a whole source. Whole passes over the source come first;
     of the rest of the target, documents are taken while their middle lies within it.
     """
     sized = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"
+        docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"
     ).withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = sized.count()
     digits = max(2, math.ceil(math.log(max(rows, 1) / bin_rows, 16))) if rows else 2
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: float =
     sources = written(targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), schedules, share, cap), "mix-targets")
     before = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     starts = written(bins.select("source", "bin", F.coalesce(F.sum("bin_size").over(before), F.lit(0)).alias("bin_start")), "mix-starts")
-    inside = W.partitionBy("source", "bin").orderBy("order_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bin").orderBy("order_key", "doc_id", "size", "th").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = attach(attach(placed, starts, ["source", "bin"]), sources, ["source"])
     place, size, whole = F.col("bin_start") + F.col("inside"), F.col("size"), F.col("source_size")
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: float =
 
     placed = placed.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>")))
     placed = placed.withColumn("position", F.get("positions", F.lit(0)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "positions")
+    return placed.select("doc_id", "source", "th", "size", "source_size", "target", "copies", "taken", "position", "positions")
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ l AS (
   FROM f WINDOW p AS (ORDER BY fills_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
   SELECT source, source_size, turn,
-    least(most, coalesce(min(CASE WHEN level <= fills_at THEN level END) OVER (), max(fills_at) OVER ()) * weight) AS target
+    least(most, coalesce(max(CASE WHEN level <= fills_at THEN level END) OVER (), max(fills_at) OVER ()) * weight) AS target
   FROM l),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.turn,

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import bpe, fingerprints, html, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_tokens": tokens.op1_tokens,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_quality": quality.op3_quality,
