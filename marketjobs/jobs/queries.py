@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily
+from . import daily, intraday
 
-PARTS = (daily,)
+PARTS = (daily, intraday)
 
 
 def queries() -> dict:
