@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, intraday
+from . import daily, intraday, predictions
 
-PARTS = (daily, intraday)
+PARTS = (daily, intraday, predictions)
 
 
 def queries() -> dict:
