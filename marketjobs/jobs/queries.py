@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, intraday, predictions
+from . import daily, intraday, modelling, predictions
 
-PARTS = (daily, intraday, predictions)
+PARTS = (daily, intraday, predictions, modelling)
 
 
 def queries() -> dict:
