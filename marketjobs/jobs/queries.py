@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, intraday, modelling, predictions
+from . import daily, fitting, intraday, modelling, predictions
 
-PARTS = (daily, intraday, predictions, modelling)
+PARTS = (daily, intraday, predictions, modelling, fitting)
 
 
 def queries() -> dict:
