@@ -88,7 +88,7 @@ def rank_map(path: str) -> Column:
 
 def rank(merges: Column, pair: Column) -> Column:
     found = F.get(merges, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    return F.coalesce(found.getItem(pair), F.lit(NO_PAIR))
+    return F.coalesce(found[pair], F.lit(NO_PAIR))
 
 
 def let(value: Column, then) -> Column:

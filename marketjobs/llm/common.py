@@ -75,6 +75,18 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df with all its columns in one struct, __row: whatever else an operator adds cannot clash with their names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def unpacked(df: DataFrame, *more: str, **changed: Column) -> DataFrame:
+    """The columns of __row, some changed, without those that `more`, columns of df, take the place of."""
+    names = df.schema["__row"].dataType.names
+    own = [changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in names if c not in more]
+    return df.select(*own, *more)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null and for blank texts."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

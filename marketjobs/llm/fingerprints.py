@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import let, literal
-from .common import attach, read, written
+from .common import attach, packed, read, unpacked, written
 
 #: Java may not know the latest marks; to it they are unassigned.
 TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
@@ -122,14 +122,15 @@ def numbers(forms: DataFrame) -> DataFrame:
 
 def fingerprinted(docs: DataFrame, hash_of=wide_hash) -> DataFrame:
     """docs with column fingerprint. Texts are read again where their hash is shared, to compare them."""
-    keyed = docs.withColumn("th", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     form = canonical(F.coalesce("text", F.lit("")))
     rows = written(keyed.select("doc_id", "th", form.alias("form")).select("doc_id", "th", hash_of(F.col("form")).alias("h")).distinct(), "digests")
     shared = rows.groupBy("h").count().where("count > 1").select(F.col("h").alias("h2"))
     wanted = written(rows.join(shared, F.col("h") == F.col("h2"), "left_semi"), "digests-shared")
     nr = numbers(attach(keyed.select("doc_id", "th", "text"), wanted, ["doc_id", "th"], "inner").select("doc_id", "th", "h", form.alias("form")).distinct())
-    out = attach(attach(keyed, rows, ["doc_id", "th"]), nr, ["doc_id", "th"])
-    return out.withColumn("fingerprint", named(F.col("h"), F.col("nr"))).select(*docs.columns, "fingerprint")
+    whole = packed(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.xxhash64("__row.text").alias("th"))
+    out = attach(attach(whole, rows, ["doc_id", "th"]), nr, ["doc_id", "th"])
+    return unpacked(out.withColumn("fingerprint", named(F.col("h"), F.col("nr"))), "fingerprint")
 
 
 # --- each document with the next one ---

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach, read, written
+from .common import attach, packed, read, unpacked, written
 
 #: Kinds in the order of reports, with their patterns. Fixed values.
 STRONG = (
@@ -106,8 +106,7 @@ def named(found: Column) -> Column:
 
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets, overlapping spans by one; the other columns, and texts without spans, as they are."""
-    columns = docs.columns
-    keyed = docs.withColumn("th", F.xxhash64("text"))
+    keyed = packed(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.col("__row.text").alias("text"), F.xxhash64("__row.text").alias("th"))
     joined = attach(keyed, spans(docs.select("doc_id", "text"), scope), ["doc_id", "th"])
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     merged = F.aggregate("spans", none, lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] > s["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.element_at(a, -1)["kind"].alias("kind"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(F.struct(s["start"].cast("bigint").alias("start"), s["kind"].alias("kind"), s["end"].cast("bigint").alias("end"))))))
@@ -116,7 +115,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     at = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(F.lit(0).cast("bigint"))
     pieces = F.transform("spans", lambda s, i: F.concat(F.substr(F.col("text"), (at(i) + 1).cast("int"), (s["start"] - at(i)).cast("int")), F.element_at(names, s["kind"] + 1)))
     rest = F.substr(F.col("text"), (F.element_at("spans", -1)["end"] + 1).cast("int"))
-    return joined.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))).select(*columns)
+    return unpacked(joined, text=F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach, read, written
+from .common import attach, packed, read, unpacked, written
 
 LIMIT = 16 << 20
 HASH_BITS = 60
@@ -74,12 +74,13 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     table = placed(written(docs.select("doc_id", key(F.col("doc_id")).alias("h"), size.alias("n_bytes")), "shard-rows"), limit)
     table = written(table.select("doc_id", "n_bytes", "shard", "overflow").groupBy("doc_id", "n_bytes").agg(F.min("shard").alias("shard"), F.min("overflow").alias("overflow")), "shard-of")
-    return attach(docs.withColumn("n_bytes", size), table, ["doc_id", "n_bytes"])
+    keyed = packed(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.coalesce(F.octet_length("__row.text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return unpacked(attach(keyed, table, ["doc_id", "n_bytes"]), "shard", "overflow")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """One folder per shard; rows of a shard are brought together first, so it is one file as long as Spark reads it whole."""
-    sharded(docs, limit).drop("n_bytes").repartition("shard", "overflow").write.partitionBy("shard", "overflow").parquet(path)
+    sharded(docs, limit).repartition("shard", "overflow").write.partitionBy("shard", "overflow").parquet(path)
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

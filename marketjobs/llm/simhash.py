@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, read, written
+from .common import attach, packed, read, unpacked, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Groups of more distinct fingerprints are dealt again by further bits.
@@ -257,7 +257,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & F.col("th").eqNullSafe(F.col("best_th"))
     once = marked.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.bool_or(stays).alias("stays"))
     odd = written(once.where(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "th", "stays"), "simhash-others")
-    keyed = attach(docs.withColumn("__th", F.xxhash64("text")).withColumnRenamed("__th", "th"), odd, ["doc_id", "th"])
+    keyed = packed(docs).select("__row", F.col("__row.doc_id").cast("long").alias("doc_id"), F.xxhash64("__row.text").alias("th"))
+    keyed = attach(keyed, odd, ["doc_id", "th"])
     alone = keyed.where("stays is null")
     again = keyed.where("stays").dropDuplicates(["doc_id", "th"])
-    return alone.unionByName(again).select(*docs.columns)
+    return unpacked(alone.unionByName(again))

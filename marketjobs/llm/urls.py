@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, read, written
+from .common import attach, packed, read, unpacked, written
 
 #: (verdict, host, path). Fixed values.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -92,11 +92,13 @@ def on_list(df: DataFrame, listed: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """pages (with a column url) with host, path, canonical, rule, possible, listed and verdict: the rule's, else block for listed URLs and allow for others."""
-    rows = ruled(split_url(pages), rules).withColumn("canonical", canonical())
+    rows = packed(pages).withColumn("url", F.col("__row.url"))
+    rows = ruled(split_url(rows), rules).withColumn("canonical", canonical())
     free = on_list(rows.where(F.col("rule").isNull()), listed)
     fixed = rows.where(F.col("rule").isNotNull()).withColumn("possible", F.lit(False)).withColumn("listed", F.lit(False))
     out = free.unionByName(fixed)
-    return out.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("rule_verdict")
+    out = out.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise("allow")))
+    return unpacked(out, "host", "path", "canonical", "rule", "possible", "listed", "verdict")
 
 
 def spam_list(pages: DataFrame, labels=SPAM_LABELS) -> DataFrame:
