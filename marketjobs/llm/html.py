@@ -40,11 +40,13 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dd di
 BOILERPLATE_TAGS = frozenset("aside button dialog footer menu nav".split())
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BOILERPLATE_NAMES = frozenset(
-    "ad ads adsbygoogle adv advert adverts advertisement advertising banner billboard bookmark breadcrumb breadcrumbs byline captcha comment commentlist comments consent cookie cookies copyright disclaimer discussion disqus donate feedback filter flyout footer foot gdpr header hidden legal links login masthead menu meta modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup popular privacy promo promoted promotion rating recommend recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar trending widget widgets".split()
+    "ad adbox ads adsbygoogle adslot adunit adv advert adverts advertisement advertising advertorial alert announcement banner billboard bookmark breadcrumb breadcrumbs byline captcha comment commentform commentlist comments consent cookie cookiebar cookies copyright cta disclaimer discussion disqus donate feedback filter flyout footer foot gdpr header hidden legal links login masthead menu meta modal nav navbar navigation newsletter notice notices notification optin overlay pager pagination paywall popup popular privacy promo promoted promotion rating recommend recommended related replies reply replyform respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar trending widget widgets".split()
 )
 CONTENT_NAMES = frozenset("article articlebody body content entry main post story text".split())
 #: A class with one of these names describes a page's layout and not the part inside.
-LAYOUT_NAMES = frozenset("col column columns container flex grid has inner is layout no outer page row site with without wrap wrapper".split())
+LAYOUT_NAMES = frozenset("has is layout no with without".split())
+#: Parts of a class name: at hyphens and the like, and at capitals.
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PHRASES = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog in\b|share this|read more|terms of (?:use|service)|privacy policy", re.I)
 ENDING = ".!?…:;\"»”’)。！？"
 #: Scores: of every block; inside an article; under a content name; under boilerplate; paragraphs; headings; at most, for links.
@@ -88,17 +90,19 @@ def opened(tag: str, attrs: str, number: int, parent: Node) -> Node:
         node.bad = node.by_form = True
     if attrs and tag not in ("body", "html"):
         for m in ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 for word in value.split():
-                    parts = re.split(r"[^a-z]+", word)
+                    parts = [x.lower() for x in NAME.findall(word)]
                     if not LAYOUT_NAMES.intersection(parts):
                         own = BOILERPLATE_NAMES.intersection(parts) - ({"header", "meta", "byline", "tags", "text"} if node.article else set())
                         if own and tag != "main":
                             node.bad, node.by_form = True, False
                         elif CONTENT_NAMES.intersection(parts):
                             node.content = True
-            elif name == "role" and value in BOILERPLATE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                continue
+            value = value.lower()
+            if name == "role" and value in BOILERPLATE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 node.bad, node.by_form = True, False
             elif name == "role" and value in ("main", "article"):
                 node.article = True
