@@ -167,3 +167,27 @@ def test_entry(spark):
 
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and entry.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("chunk", [7, 40])
+def test_chunks_with_halo_equal_whole_series(spark, chunk):
+    from marketjobs.functions.chunks import by_chunks
+
+    rng = random.Random(chunk)
+    rows = [(s, DAY + dt.timedelta(days=i * rng.randrange(1, 2) + (9000 if i > 50 else 0)), *[rng.randrange(90, 110) for _ in range(4)], 5) for s, n in (("a", 100), ("b", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, date date, open long, high long, low long, close long, volume long")
+    for op, back, ahead in ((trend.sma_ratio, 14, 0), (lambda d: momentum.rsi(d, (14,), (1, 3)), 17, 0), (lambda d: momentum.fwd_return(d, (5,)), 0, 5)):
+        assert sorted(map(str, by_chunks(df, op, back, chunk, ahead).select(op(df).columns).collect())) == sorted(map(str, op(df).collect()))
+
+
+def test_history(spark, tmp_path):
+    from marketjobs.sources import history
+
+    df = spark.createDataFrame([(1, 0.5, 2), (2, 0.6, 5)], "run int, pred double, horizon int")
+    path = str(tmp_path / "h")
+    assert history.load(spark, path, df.schema).count() == 0
+    history.append(df, path)
+    history.append(df, path)
+    assert history.load(spark, path, df.schema, 5).count() == 2
+    with pytest.raises(ValueError, match="1 rows"):
+        history.checked_times(spark.createDataFrame([("2024-01-01",), ("x",)], "t string"), "t")
