@@ -250,7 +250,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each component: the smallest (doc_id, hash of text), once."""
-    found = written(grouped(docs.select("doc_id", "text"), shingle, radius), "simhash-grouped")
+    return one_each(docs, written(grouped(docs.select("doc_id", "text"), shingle, radius), "simhash-grouped"))
+
+
+def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the smallest (doc_id, hash of text) of each root, once. found: a written table (doc_id, th, root), one row per document."""
     # Tied ids could give two components one component_id, so the root names them here.
     best = written(found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best")).select("root", "best.*"), "simhash-best")
     marked = attach(found, best.select("root", F.col("doc_id").alias("best_id"), F.col("th").alias("best_th")), ["root"])

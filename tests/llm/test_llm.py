@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketjobs.llm import bpe, common, fingerprints, html, mixing, quality, secrets, sharding, simhash, tokens, urls
+from marketjobs.llm import bpe, common, fingerprints, html, mixing, near, quality, secrets, sharding, simhash, tokens, urls
 
 RNG = random.Random(7)
 WORDS = ["alpha", "béta", "gamma,", "DELTA", "it's", "epsilon.", "#zeta", "12", "Ümlaut", "token", "ω"]
@@ -272,6 +272,33 @@ def test_links_lose_nothing(spark, limit):
     assert all({root.get(x, x) for x in g} == {min(g)} for g in groups.values())
 
 
+def shingle_set(text: str | None) -> set[str]:
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("often", [6, 1])
+def test_near_copies_fall(spark, monkeypatch, often):
+    """Against all pairs; near copies of a Jaccard similarity from 0.6 to 1, most of them beyond 4 of 64 bits, and a passage that all share."""
+    monkeypatch.setattr(near, "FREQUENT", often)
+    monkeypatch.setattr(near, "SAMPLE", 2)
+    passage, texts = prose(12), [None, "", " \n", "one two", "One  TWO", "two one"]
+    for _ in range(12):
+        base = prose(RNG.randint(20, 150)).split()
+        for _ in range(RNG.randint(1, 9)):
+            copy = list(base)
+            for _ in range(RNG.randint(0, max(1, len(base) // 25))):
+                copy[RNG.randrange(len(copy))] = f"new{RNG.randrange(10**6)}"
+            texts.append(" ".join(copy) + " " + passage)
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = simhash.forest(len(texts), *(np.array(x) for x in zip(*pairs, strict=True)))
+    far = [(i, j) for i, j in pairs if (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 4]
+    assert len(far) > 5
+    rows = common.written(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3), "near-copies")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == sorted(set(label.tolist()))
+
+
 # --- 8 ---
 
 
