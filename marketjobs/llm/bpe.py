@@ -119,13 +119,13 @@ def fold(word: Column, merges: Column) -> Column:
     return F.when(F.char_length(word) > 1, folded).otherwise(word)
 
 
-CHUNK = "doc_id array<bigint>, n array<int>, word array<int>, fresh boolean, parts array<string>, done_at array<int>, done_ids array<array<int>>"
+CHUNK = "n array<int>, word array<int>, fresh boolean, parts array<string>, done_at array<int>, done_ids array<array<int>>"
 
 
 def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max_fold: int, max_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, words) -> a row per batch: its documents, the number of each of their words, and the words that are new in this task."""
     known = Numbers()
-    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("parts", pa.list_(pa.string())), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
+    schema = lambda key: pa.schema([("doc_id", pa.list_(key)), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("parts", pa.list_(pa.string())), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     fresh, table = True, ranks(path)
     single = np.frombuffer("".join(chr(table[bytes([i])] + OFFSET) for i in range(256)).encode(), np.uint8).reshape(256, 4)
@@ -148,7 +148,7 @@ def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max
         word = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
         docs = batch.column("doc_id")
         del own, new, coded, words, batch
-        yield pa.record_batch([one(docs), one(n), one(pa.array(word)), pa.array([fresh]), one(parts), one(pa.array(done_at, pa.int32())), one(pa.array(done_ids, pa.list_(pa.int32())))], schema=schema)
+        yield pa.record_batch([one(docs), one(n), one(pa.array(word)), pa.array([fresh]), one(parts), one(pa.array(done_at, pa.int32())), one(pa.array(done_ids, pa.list_(pa.int32())))], schema=schema(docs.type))
         fresh = False
 
 
@@ -184,17 +184,18 @@ def together(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     return df.coalesce(min(parts, max(spark.sparkContext.defaultParallelism, -(-parts * split // task_bytes)))) if parts else df
 
 
-def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, max_fold: int = MAX_FOLD, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, ids) of docs (doc_id, text)."""
+def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, max_fold: int = MAX_FOLD, max_words: int = MAX_WORDS, key: Column | None = None) -> DataFrame:
+    """(doc_id, ids) of docs (doc_id, text). key: what stands for doc_id in the result, of any type."""
     import public_tokenizers
 
     path, pattern = path or vocabulary(), pattern or public_tokenizers.PATTERN
     words = F.coalesce(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0)), F.array().cast("array<string>"))
-    rows = together(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", words.alias("words"))
-    chunks = rows.mapInArrow(lambda b: number_words(b, path, pattern, max_fold, max_words), CHUNK)
+    rows = together(docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")).select("doc_id", words.alias("words"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    chunks = rows.mapInArrow(lambda b: number_words(b, path, pattern, max_fold, max_words), f"doc_id array<{kind}>, {CHUNK}")
     parts = let(rank_map(path), lambda merges: F.transform("parts", lambda w: fold(w, merges)))
     chunks = chunks.withColumn("parts", parts)
-    return chunks.mapInArrow(take_ids, "doc_id long, ids array<int>")
+    return chunks.mapInArrow(take_ids, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:

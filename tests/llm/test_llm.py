@@ -405,6 +405,19 @@ def test_pipeline(spark, docs, sf, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_positions_of_copies(spark, tmp_path):
+    """A sorted table of several files, the last ones the largest, which Spark reads first."""
+    rows = [(i % 7 if i % 5 else None, prose(1 + i)) for i in range(60)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "at int, doc_id long, text string").repartitionByRange(4, "at").sortWithinPartitions("at").drop("at")
+    table.write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(docs.inputFiles()) == 4
+    out = sorted(tuple(r) for r in corpus_pipeline.token_ids(spark, docs, "").select("position", "doc_id", "n_tokens", "ids").collect())
+    lib = bpe.library(bpe.vocabulary(), __import__("public_tokenizers").PATTERN)
+    want = [lib.encode_ordinary(t) for _, t in rows]
+    assert out == [(i, r[0], len(ids), ids) for i, (r, ids) in enumerate(zip(rows, want, strict=True))]
+
+
 @pytest.mark.parametrize("query", [tokens.op1_tokens, fingerprints.op2_fingerprints, quality.op3_quality, sharding.op4_shards, simhash.op7_simhash, bpe.op8_bpe, mixing.op9_mix, secrets.op10_secrets])
 def test_empty_tables(spark, empty, query):
     assert query(spark, empty).count() == 0
