@@ -26,7 +26,7 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_daily(spark, sf_dir)
     label = F.when(lead("close", 5) > F.col("close"), 1).when(lead("close", 5) <= F.col("close"), 0)
     rows = bars.select("symbol", "date", label.alias("label"), (F.col("close") / lag("close")).alias("ret1"), (F.col("open") / lag("close")).alias("gap"), (F.col("high") / F.col("low")).alias("span"), F.col("volume").cast("double").alias("vol"))
-    return folds.with_folds(folds.numbered(rows), 1, 10, 5, 5, 5)
+    return folds.with_folds(folds.numbered(rows), 1, None, 5, 5, 5)
 
 
 def walk_forward_fit(spark, sf_dir):

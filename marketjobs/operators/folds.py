@@ -28,8 +28,8 @@ def plan(sizes: DataFrame, years: int, runs: int, step: int, test: int, purge: i
     return out.where("train_start >= 1").select("symbol", "run", "train_start", "train_end", "test_start", "test_end")
 
 
-def with_folds(rows: DataFrame, years: int, runs: int, step: int, test: int, purge: int, days: int = DAYS_A_YEAR) -> DataFrame:
-    """numbered rows, once for each run they are part of, with part `train` or `test`.
+def with_folds(rows: DataFrame, years: int, runs: int | None, step: int, test: int, purge: int, days: int = DAYS_A_YEAR) -> DataFrame:
+    """numbered rows, once for each run they are part of, with part `train` or `test`; without `runs`, all that fit the symbol's rows.
 
     Runs are equidistant, so those that a row belongs to are a range of whole numbers, computed and exploded; nothing is joined.
     """
@@ -39,7 +39,7 @@ def with_folds(rows: DataFrame, years: int, runs: int, step: int, test: int, pur
     def span(first_back: int, length: int):
         lo = F.ceil((back - (first_back + length - 1)) / step)
         hi = F.floor((back - first_back) / step)
-        return F.greatest(lo, F.lit(0)), F.least(hi, F.lit(runs - 1), last_run)
+        return F.greatest(lo, F.lit(0)), F.least(hi, last_run, *([] if runs is None else [F.lit(runs - 1)]))
 
     parts = []
     for name, first, length in (("test", 0, test), ("train", test + purge, train)):

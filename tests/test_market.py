@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketjobs.functions import rolling
+from marketjobs.jobs import fitting
 from marketjobs.operators import fit, folds, metrics, minutes, momentum, prune, scan, select, trend, volatility, volume
 
 DAY = dt.date(2024, 1, 1)
@@ -130,6 +131,15 @@ def test_folds(spark, step, test, purge):
         assert len(got[k]["train"]) == 20 and p.test_start - p.train_end - 1 == purge
 
 
+def test_fits_cover_the_series(spark, monkeypatch):
+    rows = [(s, DAY + dt.timedelta(days=i), *[100.0 + i * 7 % 13] * 4, 10) for s, n in (("a", 400), ("b", 330), ("c", 100)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume long")
+    monkeypatch.setattr(fitting, "bars_daily", lambda spark, sf_dir: bars)
+    got = {(r.symbol, r.run): (r.n, r.d) for r in fitting.folded(spark, "").where("part = 'test'").groupBy("symbol", "run").agg(F.count("*").alias("n"), F.countDistinct("date").alias("d")).collect()}
+    runs = {s: (n - 5 - 255) // 5 + 1 for s, n in (("a", 400), ("b", 330))}
+    assert got == {(s, i): (5, 5) for s, k in runs.items() for i in range(k)} and runs["a"] > 10
+
+
 def test_stumps_learn_and_importance_is_repeatable(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 2))
