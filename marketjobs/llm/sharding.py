@@ -73,9 +73,20 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with shard (bits) and overflow."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     table = placed(written(docs.select("doc_id", key(F.col("doc_id")).alias("h"), size.alias("n_bytes")), "shard-rows"), limit)
-    table = written(table.select("doc_id", "n_bytes", "shard", "overflow").groupBy("doc_id", "n_bytes").agg(F.min("shard").alias("shard"), F.min("overflow").alias("overflow")), "shard-of")
+    same = W.partitionBy("doc_id", "n_bytes").orderBy("overflow")
+    parts = table.groupBy("doc_id", "n_bytes", "shard", "overflow").agg(F.count("*").alias("rows"))
+    parts = parts.withColumn("upto", F.sum("rows").over(same)).withColumn("parts", F.count("*").over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    parts = written(parts, "shard-parts")
+    # groups cut into several parts: their rows are numbered, and each part takes as many as placed() gave it
+    cut = parts.where("parts > 1").groupBy("doc_id", "n_bytes").agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list(F.struct("upto", "overflow"))).alias("ends"))
+    whole = parts.where("parts = 1").select("doc_id", "n_bytes", "shard", F.array(F.struct("upto", "overflow")).alias("ends"))
     keyed = packed(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.coalesce(F.octet_length("__row.text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return unpacked(attach(keyed, table, ["doc_id", "n_bytes"]), "shard", "overflow")
+    found = attach(keyed, written(whole.unionByName(cut), "shard-of"), ["doc_id", "n_bytes"])
+    one = found.where(F.size("ends") == 1).withColumn("overflow", F.col("ends")[0]["overflow"])
+    nr = F.row_number().over(W.partitionBy("doc_id", "n_bytes").orderBy(F.lit(1)))
+    several = found.where(F.size("ends") > 1).withColumn("__nr", nr)
+    several = several.withColumn("overflow", F.filter("ends", lambda e: e["upto"] >= F.col("__nr"))[0]["overflow"]).drop("__nr")
+    return unpacked(one.unionByName(several), "shard", "overflow")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:

@@ -184,6 +184,14 @@ def test_shards_fit(spark):
     assert kept.count() == 640 and sorted(kept.columns) == sorted([*rows.columns, "overflow"])
 
 
+def test_files_of_equal_rows_fit(spark):
+    rows = spark.createDataFrame([(7 if i < 300 else None if i < 500 else i, "x" * (20 if i % 3 else 30), None, "a", i) for i in range(520)], SCHEMA)
+    kept = sharding.sharded(rows, 400).withColumn("b", F.octet_length("text"))
+    out = kept.groupBy("shard", "overflow").agg(F.sum("b").alias("b"), F.max("b").alias("m")).collect()
+    assert all(r.b <= 400 + r.m for r in out) and len(out) > 25
+    assert sorted(r[0] for r in kept.select(rows.columns[-1]).collect()) == list(range(520))
+
+
 # --- 5 ---
 
 
