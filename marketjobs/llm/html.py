@@ -154,7 +154,7 @@ def blocks(page: str) -> list[Block]:
         tag, end = m["name"].lower(), m["end"]
         if tag in SKIPPED:
             if not end and not m["attrs"].endswith("/"):
-                low = low or page.lower()
+                low = low or page.replace("İ", "ı").lower()  # as long as the page: İ is the only letter that lower() makes longer
                 stop = low.find(f"</{tag}", at)
                 if tag == "head" and (body := low.find("<body", at)) >= 0 and (stop < 0 or body < stop):
                     stop = body  # head may stay open

@@ -218,6 +218,11 @@ def test_main_text(spark, empty):
     assert html.op5_main_text(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("skipped", ["<script>x</SCRIPT>", "<style>x</style>", "<svg><g></svg>"])
+def test_letters_that_grow_in_lower_case(skipped):
+    assert [b.text for b in html.blocks(f"<p>{'İ' * 12}</p>{skipped}<p>Second.</p>")] == ["İ" * 12, "Second."]
+
+
 # --- 6 ---
 
 
