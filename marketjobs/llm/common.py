@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: White space between words; a word is everything else. Fixed values.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,12 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a new one only where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local mode gets a folder of its own, and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = made.get() if made.isDefined() else None
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -45,15 +48,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A side is broadcast up to so many rows; each operator that uses it has rows of some 100 bytes.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast up to so many bytes of its values.
+BROADCAST_BYTES = 8 << 20
 
 
-def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Null-safe join with `side`, a written table with unique keys: broadcast if its counted rows are few, else shuffled (adaptive execution splits hot keys)."""
+def value_bytes(x: Column, kind: DataType) -> Column:
+    """Bytes of a value: eight for numbers and the like, all the bytes of strings, and what is in arrays and structs."""
+    if isinstance(kind, StringType | BinaryType):
+        size = F.octet_length(x)
+    elif isinstance(kind, StructType):
+        size = reduce(lambda a, b: a + b, [value_bytes(x[f.name], f.dataType) for f in kind], F.lit(0))
+    elif isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | StructType | ArrayType):
+            size = F.aggregate(x, F.lit(0).cast("long"), lambda n, v: n + value_bytes(v, kind.elementType))
+        else:
+            size = F.size(x) * 8
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long") + 16
+
+
+def is_small(side: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, which should be a written one as it is read for this, has at most so many bytes."""
+    size = reduce(lambda a, b: a + b, [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in side.schema])
+    return (side.agg(F.sum(size)).first()[0] or 0) <= max_bytes
+
+
+def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Null-safe join with `side`, a written table with unique keys: broadcast if its counted bytes are few, else shuffled (adaptive execution splits hot keys)."""
     keys = {k: f"__{k}" for k in on}
     right = side.withColumnsRenamed(keys)
-    if side.count() <= max_rows:
+    if is_small(side, max_bytes):
         right = F.broadcast(right)
     cond = reduce(lambda a, b: a & b, (df[k].eqNullSafe(right[v]) for k, v in keys.items()))
     return df.join(right, cond, how).drop(*keys.values())
