@@ -20,8 +20,8 @@ from .common import attach, packed, read, unpacked, written
 
 #: (verdict, host, path). Fixed values.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Host labels whose pages make up the list of the query. Fixed values.
-SPAM_LABELS = ("casino-win", "cheap-pills", "spam-farm")
+#: A paragraph of a page.
+PARAGRAPH = r"(?s)<p(?:[\x20\x09-\x0D][^>]*)?>(.*?)</p>"
 BITS_PER_URL, BLOCK_BITS, HASHES = 12, 256, 6
 
 
@@ -101,29 +101,36 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     return unpacked(out, "host", "path", "canonical", "rule", "possible", "listed", "verdict")
 
 
-def spam_list(pages: DataFrame, labels=SPAM_LABELS) -> DataFrame:
-    """Canonical URLs of the pages on hosts that have one of the labels."""
-    return split_url(pages).where(F.arrays_overlap(F.split("host", r"\."), F.lit(list(labels)))).select(canonical().alias("canonical"))
+def mirrors(pages: DataFrame) -> DataFrame:
+    """Canonical URLs of the pages (page_id, url, html) that repeat another page: their paragraphs, byte by byte hashed, are those of a page
+    with a smaller id. Pages without paragraphs repeat none. A null id comes after all others, and two null ids do not make a copy."""
+    found = F.regexp_extract_all("html", F.lit(PARAGRAPH), F.lit(1))
+    rows = split_url(pages).select("page_id", canonical().alias("canonical"), F.when(F.size(found) > 0, F.md5(F.array_join(found, "\n"))).alias("content"))
+    rows = written(rows.where("content is not null"), "page-contents")
+    first = written(rows.groupBy("content").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first"), "page-firsts")
+    return attach(rows, first, ["content"], "inner").where("page_id > first or page_id is null and first is not null").select("canonical")
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return judged(pages, spam_list(pages)).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
+    pages = read(spark, sf_dir, "pages")
+    return judged(pages.select("page_id", "url"), mirrors(pages)).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
 OP6_SQL = r"""
 WITH p AS (
-  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 q AS (
   SELECT *, list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_\w*|ref)='))) AS kept FROM p),
 c AS (
   SELECT *, regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:\.html)?/*$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q),
-spam AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['casino-win', 'cheap-pills', 'spam-farm'])),
+m AS (SELECT page_id, canonical, regexp_extract_all(html, '(?s)<p(?:[\x20\x09-\x0D][^>]*)?>(.*?)</p>', 1) AS paragraphs FROM c),
+k AS (SELECT page_id, canonical, min(page_id) OVER (PARTITION BY md5(array_to_string(paragraphs, chr(10)))) AS first FROM m WHERE len(paragraphs) > 0),
+mirrors AS (SELECT DISTINCT canonical FROM k WHERE page_id > first OR page_id IS NULL AND first IS NOT NULL),
 r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 b AS (
   SELECT c.page_id, c.url, c.host, c.path, c.canonical, (SELECT max({'n': length(r.h || r.p), 'rule': r.h || r.p, 'v': r.verdict}) FROM r WHERE (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p)) AS best FROM c)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN b.canonical IN (SELECT canonical FROM spam) THEN 'block' ELSE 'allow' END) AS verdict,
-  canonical, best IS NULL AND b.canonical IN (SELECT canonical FROM spam) AS listed
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN b.canonical IN (SELECT canonical FROM mirrors WHERE canonical <> '') THEN 'block' ELSE 'allow' END) AS verdict,
+  canonical, best IS NULL AND b.canonical IN (SELECT canonical FROM mirrors WHERE canonical <> '') AS listed
 FROM b
 """
