@@ -5,7 +5,8 @@ prior whose strength is fitted to the spread of the hosts' rates (moments); host
 rejected whole, and the verdict is joined back to their documents.
 
 Defined results: null and empty texts have no words and fail; a null host is a host of its own; repeated rows count as often
-as they occur; an empty table gives an empty result; other columns of the input are kept under their names by `judged`.
+as they occur; an empty table gives an empty result; other columns of the input are
+kept under their names by `judged`, unless a column of its result has the name.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, read, words, written
+from .common import attach, read, unpacked, words, written
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: A host falls if its shrunk share of failing documents is above this.
@@ -21,23 +22,16 @@ HOST_LIMIT = 0.8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def repeated_words(grams: Column, packed: Column, mask: Column, width: int) -> Column:
-    """How many words lie in a window found twice or more.
+def repeated_words(windows: Column, width: int) -> Column:
+    """How many words lie in a window found twice or more. windows: (hash, place) of each window, sorted, so that equal windows are neighbours.
 
-    grams: a hash of each window; packed: the same with the window's place in the low bits, sorted, so that equal windows
-    are neighbours. The places next to an equal window, in order, then cover min(width, distance to the one before) words each.
+    The places next to an equal window, in order, cover min(width, distance to the one before) words each.
     """
-    def place(i):
-        return F.get(packed, i).bitwiseAND(mask).cast("int")
-
-    def same(x, i):
-        gram = F.get(grams, x.bitwiseAND(mask).cast("int"))
-        return (F.get(grams, place(i - 1)) == gram) | F.coalesce(F.get(grams, place(i + 1)) == gram, F.lit(False))
-
-    found = F.filter(packed, lambda x, i: F.when(i > 0, F.coalesce(same(x, i), F.lit(False))).otherwise(F.coalesce(F.get(grams, place(i + 1)) == F.get(grams, x.bitwiseAND(mask).cast("int")), F.lit(False))))
-    places = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask)))
+    hash_at = lambda i: F.get(windows, i)["h"]
+    twice = lambda x, i: F.coalesce(hash_at(i + 1) == x["h"], F.lit(False)) | F.when(i > 0, hash_at(i - 1) == x["h"]).otherwise(False)
+    places = F.sort_array(F.transform(F.filter(windows, twice), lambda x: x["i"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).cast("long").alias("last"))
-    return F.aggregate(places, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(width).cast("long"), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
+    return F.aggregate(places, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(width).cast("long"), x - a["last"])).alias("n"), x.cast("long").alias("last")), lambda a: a["n"])
 
 
 def measured(df: DataFrame, width: int = 3) -> DataFrame:
@@ -49,11 +43,11 @@ def measured(df: DataFrame, width: int = 3) -> DataFrame:
     out = out.withColumn("__l", lines).withColumn("n_dup_lines", F.coalesce(F.size("__l") - F.size(F.array_distinct("__l")), F.lit(0)).cast("long"))
     window = lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(width)])
     out = out.withColumn("__g", F.when(F.col("n_words") >= width, F.transform(F.sequence(F.lit(0), F.size("__w") - width), window)).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("__m", (F.pow(F.lit(2.0), F.length(F.bin(F.size("__g").cast("long")))) - 1).cast("long"))
     twice = F.size(F.array_distinct("__g")) < F.size("__g")
-    out = out.withColumn("__p", F.when(twice, F.sort_array(F.transform("__g", lambda h, i: h.bitwiseAND(F.bitwise_not(F.col("__m"))).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("n_repeat_words", repeated_words(F.col("__g"), F.col("__p"), F.col("__m"), width))
-    return out.drop("__w", "__l", "__g", "__m", "__p")
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    out = out.withColumn("__p", F.when(twice, F.sort_array(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
+    out = out.withColumn("n_repeat_words", repeated_words(F.col("__p"), width))
+    return out.drop("__w", "__l", "__g", "__p")
 
 
 def base_failed() -> Column:
@@ -78,15 +72,18 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, keep: list[str], host: str = "source") -> DataFrame:
-    """Columns `keep` of docs with MEASURES, base_failed, the host's figures and kept. The measures are written once (narrow if `keep` is)."""
-    own = [c for c in dict.fromkeys([*keep, host])]
-    rows = written(measured(docs.select(*own, *([] if "text" in own else ["text"]))).withColumn("base_failed", base_failed()).select(*own, *MEASURES, "base_failed"), "quality")
-    hosts = written(host_rates(rows, host, "base_failed"), "quality-hosts")
-    return attach(rows, hosts, [host]).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    """Columns `keep` of docs with MEASURES, base_failed, the host's figures and kept, which take the place of columns of their names.
+    The measures are written once (narrow if `keep` is)."""
+    own = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)]).alias("__row")
+    rows = measured(docs.select(own, F.col(f"`{host}`").alias("__host"), "text")).withColumn("base_failed", base_failed())
+    rows = written(rows.select("__row", "__host", *MEASURES, "base_failed"), "quality")
+    hosts = written(host_rates(rows, "__host", "base_failed"), "quality-hosts")
+    out = attach(rows, hosts, ["__host"]).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return unpacked(out, *MEASURES, "base_failed", "host_docs", "host_fails", "host_rate", "host_rejected", "kept")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(read(spark, sf_dir, "documents"), ["doc_id"])
+    out = judged(read(spark, sf_dir, "documents"), ["doc_id", "source"])
     return out.select("doc_id", *MEASURES, "base_failed", "kept", "source", F.round("host_rate", 9).alias("host_rate"))
 
 
