@@ -5,9 +5,12 @@ the next bit; the others stay. The splits of many bits are found at once: bytes
 from there up to all shorter prefixes, and a bucket's depth is the first at which it fits. Only what still exceeds the
 limit at that depth goes into another round of longer prefixes, so rounds number at most a few.
 
-Defined results: null texts have 0 bytes; a document above the limit is a shard of its own; rows with equal hashes
-(repeated or null ids) cannot be told apart by bits and are cut, in order of their running bytes, into overflow parts of at most the
-limit plus one document; an empty table has no shards; other columns are kept by `sharded`.
+Rows with equal hashes (repeated or null ids) cannot be told apart by bits. If they are too many for a shard they are laid end to end,
+in order of (size % 1024, size), and the bytes before a row, over the limit, are the number of its overflow part, which is thus at most the limit
+plus one document. Rows of one size may change places, so they are numbered within pieces of the table: no task sees all of them.
+
+Defined results: null texts have 0 bytes; a document above the limit is a shard of its own; an empty table has no shards; other columns
+are kept by `sharded`, but for shard and overflow, which it adds.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import attach, packed, read, unpacked, written
 
 LIMIT = 16 << 20
+#: The query's limit: small, so that its buckets split on small tables too.
+QUERY_LIMIT = 256 << 10
+SIZE_CLASSES = 1024
 HASH_BITS = 60
 
 
@@ -44,35 +50,52 @@ def directory(rows: DataFrame, limit: int, depth: int) -> DataFrame:
     return written(cells.select("cell").join(found.withColumnRenamed("cell", "c"), F.col("cell") == F.col("c"), "left").drop("c"), "shard-directory")
 
 
+def overflow_parts(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (h, n_bytes, piece, others) with overflow, shard_bytes and shard_docs; for hashes whose rows are too many for one shard."""
+    rows = rows.withColumn("size_class", F.col("n_bytes") % SIZE_CLASSES)
+    runs = written(rows.groupBy("h", "size_class", "n_bytes", "piece").agg(F.count("*").alias("n")), "shard-runs")
+    before = lambda *keys: W.partitionBy(*keys[0]).orderBy(*keys[1]).rowsBetween(W.unboundedPreceding, -1)
+    classes = runs.groupBy("h", "size_class").agg(F.sum(F.col("n") * F.col("n_bytes")).alias("b"))
+    classes = written(classes.select("h", "size_class", F.coalesce(F.sum("b").over(before(["h"], ["size_class"])), F.lit(0)).alias("class_start")), "shard-classes")
+    inside = F.coalesce(F.sum(F.col("n") * F.col("n_bytes")).over(before(["h", "size_class"], ["n_bytes", "piece"])), F.lit(0))
+    runs = attach(runs.withColumn("inside", inside), classes, ["h", "size_class"])
+    runs = written(runs.select("h", "n_bytes", "piece", (F.col("class_start") + F.col("inside")).alias("run_start")), "shard-run-starts")
+    nr = F.row_number().over(W.partitionBy("h", "n_bytes", "piece").orderBy(F.lit(1))) - 1
+    out = attach(rows.withColumn("nr", nr), runs, ["h", "n_bytes", "piece"])
+    out = written(out.withColumn("overflow", F.floor((F.col("run_start") + F.col("nr") * F.col("n_bytes")) / limit).cast("long")).drop("nr", "run_start", "size_class"), "shard-overflow")
+    sums = written(out.groupBy("h", "overflow").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs")), "shard-overflow-sums")
+    return attach(out.drop("shard_bytes", "shard_docs"), sums, ["h", "overflow"])
+
+
 def placed(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """rows (h, n_bytes, others), written, with depth, shard (the bucket's bits), overflow, shard_bytes and shard_docs."""
+    """rows (h, n_bytes, piece, others), written, with depth, shard (the bucket's bits), overflow, shard_bytes and shard_docs. piece: the part of the table that a row is in, of any kind."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth, out, left = min(HASH_BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 3)), None, rows
     while True:
         table = directory(left, limit, depth)
-        if depth == HASH_BITS:  # what does not fit now has one hash
-            cut = W.partitionBy("h").orderBy("n_bytes", *[c for c in ("doc_id",) if c in rows.columns]).rowsBetween(W.unboundedPreceding, -1)
         done = attach(left.withColumn("cell", prefix(F.col("h"), depth)), table, ["cell"], "inner")
         fits = done.where(F.col("depth").isNotNull()).withColumn("overflow", F.lit(0).cast("long"))
-        open_ = table.where(F.col("depth").isNull()).count()
-        if depth == HASH_BITS and open_:
-            over = done.where(F.col("depth").isNull()).withColumn("overflow", F.floor(F.coalesce(F.sum("n_bytes").over(cut), F.lit(0)) / limit)).withColumn("depth", F.lit(HASH_BITS))
-            whole = W.partitionBy("h", "overflow")
-            over = over.withColumn("shard_bytes", F.sum("n_bytes").over(whole)).withColumn("shard_docs", F.count("*").over(whole))
-            fits = fits.unionByName(over)
         out = fits if out is None else out.unionByName(fits)
-        if not open_ or depth == HASH_BITS:
+        if table.where(F.col("depth").isNull()).isEmpty():
             break
         left = written(done.where(F.col("depth").isNull()).select(*rows.columns), "shard-left")
+        if depth == HASH_BITS:  # what does not fit now has one hash
+            out = out.unionByName(overflow_parts(left, limit).withColumn("depth", F.lit(HASH_BITS)).withColumn("cell", F.col("h")))
+            break
         depth = min(HASH_BITS, depth + 8)
     bits = F.when(F.col("depth") > 0, F.lpad(F.bin(prefix(F.col("h"), F.col("depth"))), F.col("depth"), F.lit("0"))).otherwise(F.lit(""))
     return out.withColumn("shard", bits).drop("cell")
 
 
+def hashed(size: Column) -> list[Column]:
+    """Columns h, n_bytes and piece of documents."""
+    return [key(F.col("doc_id")).alias("h"), size.alias("n_bytes"), F.spark_partition_id().alias("piece")]
+
+
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with shard (bits) and overflow."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    table = placed(written(docs.select("doc_id", key(F.col("doc_id")).alias("h"), size.alias("n_bytes")), "shard-rows"), limit)
+    table = placed(written(docs.select("doc_id", *hashed(size)), "shard-rows"), limit)
     same = W.partitionBy("doc_id", "n_bytes").orderBy("overflow")
     parts = table.groupBy("doc_id", "n_bytes", "shard", "overflow").agg(F.count("*").alias("rows"))
     parts = parts.withColumn("upto", F.sum("rows").over(same)).withColumn("parts", F.count("*").over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
@@ -96,8 +119,8 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = written(read(spark, sf_dir, "documents").select("doc_id", key(F.col("doc_id")).alias("h"), size.alias("n_bytes")), "shard-rows")
-    return placed(rows).select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "overflow", "shard_bytes", "shard_docs")
+    rows = written(read(spark, sf_dir, "documents").select("doc_id", *hashed(size)), "shard-rows")
+    return placed(rows, QUERY_LIMIT).select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "overflow", "shard_bytes", "shard_docs")
 
 
 OP4_SQL = """
@@ -105,7 +128,13 @@ WITH d AS (
   SELECT row_number() OVER () AS u, doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 b AS (SELECT u, doc_id, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM d, unnest(range(0, 61)) AS r(depth)),
 s AS (SELECT *, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_docs FROM b WINDOW w AS (PARTITION BY depth, bucket)),
-f AS (SELECT u, min(depth) AS depth FROM s WHERE shard_bytes <= 16777216 OR shard_docs = 1 GROUP BY u)
-SELECT doc_id, n_bytes, CASE WHEN depth > 0 THEN substr(lpad(bin(h), 60, '0'), 1, depth::INT) ELSE '' END AS shard, depth::INT AS depth, 0::BIGINT AS overflow, shard_bytes::BIGINT AS shard_bytes, shard_docs
-FROM s JOIN f USING (u, depth)
+f AS (SELECT u, min(CASE WHEN shard_bytes <= 262144 OR shard_docs = 1 THEN depth END) AS depth FROM s GROUP BY u),
+o AS (
+  SELECT u, h, n_bytes, floor(coalesce(sum(n_bytes) OVER (PARTITION BY h ORDER BY n_bytes % 1024, n_bytes, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 262144)::BIGINT AS overflow
+  FROM d JOIN f USING (u) WHERE depth IS NULL),
+p AS (SELECT u, overflow, sum(n_bytes) OVER (PARTITION BY h, overflow) AS shard_bytes, count(*) OVER (PARTITION BY h, overflow) AS shard_docs FROM o),
+a AS (
+  SELECT u, doc_id, n_bytes, h, depth, 0::BIGINT AS overflow, shard_bytes, shard_docs FROM s JOIN f USING (u, depth)
+  UNION ALL SELECT u, doc_id, n_bytes, h, 60, overflow, shard_bytes, shard_docs FROM d JOIN p USING (u))
+SELECT doc_id, n_bytes, CASE WHEN depth > 0 THEN substr(lpad(bin(h), 60, '0'), 1, depth::INT) ELSE '' END AS shard, depth::INT AS depth, overflow, shard_bytes::BIGINT AS shard_bytes, shard_docs FROM a
 """
