@@ -1,25 +1,33 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text at its block-level tags. A linear classifier scores each block from its tags, class names,
-length, punctuation and links; the score's size is the capacity to the source (content) or to the sink (boilerplate). Blocks
-that follow each other, and blocks under the same parent, are joined by smoothness edges, weaker the further apart
-they are in the tree. The maximum flow from source to sink leaves the cut of least cost: what the source still reaches is content.
+A page is cut into blocks of text at its block-level tags. A classifier gives each block a score, the log of the odds that it is content;
+the score's size is the capacity to the source (content) or to the sink (boilerplate). Blocks that follow each other, and blocks under
+the same parent, are joined by smoothness edges, weaker the further apart they are in the tree. The maximum flow from source to sink
+leaves the cut of least cost: what the source still reaches is content.
+
+The classifier is a logistic regression on length, punctuation, links and place in the page; no names of elements or classes are
+among its features. It is fitted to a bounded sample of the pages (FIT_PAGES), whose blocks have labels where elements say what they
+are (article, main; nav, footer and the like), both classes weighing the same; pages without such elements get fixed weights.
+What elements and class names say of a block is added to the fitted score as evidence that a few neighbours alone do not outvote.
 
 Pages are independent rows: no shuffle, and a task holds one batch. Time is linear in a page but for the flow, which runs in
 phases over its blocks and edges (at most two edges a block).
 
 Defined results: null and empty pages give empty text; broken markup (open tags, open comments, stray ends) is read as browsers do in
-the main; a page whose blocks all look like boilerplate gives empty text; repeated rows are extracted each; other columns are kept by `extracted`.
+the main; a page whose blocks all look like boilerplate gives empty text; repeated rows are extracted each; other columns are kept by
+`extracted`, but columns named as those of its result are replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +57,16 @@ LAYOUT_NAMES = frozenset("has is layout no with without".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PHRASES = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog in\b|share this|read more|terms of (?:use|service)|privacy policy", re.I)
 ENDING = ".!?…:;\"»”’)。！？"
-#: Scores: of every block; inside an article; under a content name; under boilerplate; paragraphs; headings; at most, for links.
-BASE, IN_ARTICLE, IN_CONTENT, IN_BOILERPLATE, PARAGRAPH, HEADING, LINKS = -0.5, 3.0, 2.0, -9.0, 0.7, 0.4, -4.0
-#: Smoothness between blocks that follow each other, and between blocks under one parent; both halve with each step in the tree.
-FOLLOWS, SIBLINGS = 0.6, 0.8
+#: Evidence of elements and names: inside an article; under a content name; under boilerplate; with a phrase of boilerplate, outside an article. A fitted score is at most LIMIT on either side.
+IN_ARTICLE, IN_CONTENT, IN_BOILERPLATE, PHRASE, LIMIT = 1.5, 1.5, -9.0, -2.0, 3.0
+#: Smoothness of blocks that follow each other under one parent, and of the next ones under a parent that are apart; both halve with each further step in the tree, and are
+#: multiplied by BORDER where only one of the blocks is under boilerplate.
+FOLLOWS, SIBLINGS, BORDER = 2.0, 1.0, 0.1
+#: The classifier is fitted to at most so many pages, and pulled to the fixed weights with this strength.
+FIT_PAGES, PULL = 1000, 10.0
+#: Weights of FEATURES where pages cannot be fitted.
+FEATURES = ("one", "log_words", "ends", "links", "marks", "edge")
+FIXED = (-2.5, 0.9, 0.8, -3.5, 2.0, -0.8)
 
 
 @dataclass(slots=True)
@@ -140,7 +154,16 @@ def blocks(page: str) -> list[Block]:
         if up is not root:
             node = up.parent
 
-    size, low = len(page), None
+    def find(what: str, at: int) -> int:
+        """Place of `what` from `at` on; what is not there is looked for once."""
+        if what in missing:
+            return -1
+        place = low.find(what, at)
+        if place < 0:
+            missing.add(what)
+        return place
+
+    size, low, missing = len(page), None, set()
     while at < size:
         m = TAG.search(page, at)
         if m is None:
@@ -155,12 +178,12 @@ def blocks(page: str) -> list[Block]:
         if tag in SKIPPED:
             if not end and not m["attrs"].endswith("/"):
                 low = low or page.replace("İ", "ı").lower()  # as long as the page: İ is the only letter that lower() makes longer
-                stop = low.find(f"</{tag}", at)
-                if tag == "head" and (body := low.find("<body", at)) >= 0 and (stop < 0 or body < stop):
+                stop = find(f"</{tag}", at)
+                if tag == "head" and (body := find("<body", at)) >= 0 and (stop < 0 or body < stop):
                     stop = body  # head may stay open
                     at = stop
                     continue
-                at = size if stop < 0 and tag != "head" else at if stop < 0 else (low.find(">", stop) + 1 or size)
+                at = size if stop < 0 and tag != "head" else at if stop < 0 else (find(">", stop) + 1 or size)
         elif tag == "a":
             in_links = 0 if end else 1
         elif tag == "br":
@@ -183,16 +206,68 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def score(b: Block) -> float:
-    node, words = b.node, b.text.count(" ") + 1
-    s = BASE + IN_BOILERPLATE * node.bad + IN_ARTICLE * node.article + IN_CONTENT * (node.content and not node.article)
-    s += 1.5 if words >= 25 else 0.7 if words >= 10 else -0.7 if words < 4 and not node.article else 0.0
-    s += 0.5 * (b.text[-1] in ENDING) + (PARAGRAPH if node.tag in ("p", "blockquote", "pre") else HEADING if node.tag in ("h1", "h2", "h3") else 0.0)
-    share = b.in_links / len(b.text)
-    s += LINKS * share if share > 0.3 else 0.0
-    if words < 25 and not node.article and PHRASES.search(b.text):
-        s -= 2.0
-    return s
+def features(found: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block of a page: edge is 0 in the middle of the page's text and 1 at its ends."""
+    out, total, before = np.zeros((len(found), len(FEATURES))), sum(len(b.text) for b in found), 0
+    for row, b in zip(out, found, strict=True):
+        text, size = b.text, len(b.text)
+        words = text.count(" ") + 1
+        marks = sum(map(text.count, ",.;:!?")) / words
+        edge = abs(2 * (before + size / 2) / total - 1)
+        row[:] = (1.0, math.log(words), text[-1] in ENDING, b.in_links / size, min(marks, 0.5), edge)
+        before += size
+    return out
+
+
+def evidence(b: Block) -> float:
+    node = b.node
+    phrase = not node.article and len(b.text) < 200 and PHRASES.search(b.text) is not None
+    return IN_BOILERPLATE * node.bad + IN_ARTICLE * node.article + IN_CONTENT * (node.content and not node.article) + PHRASE * phrase
+
+
+def scores(found: list[Block], weights: np.ndarray) -> list[float]:
+    fitted = np.clip(features(found) @ weights, -LIMIT, LIMIT)
+    return [float(x) + evidence(b) for x, b in zip(fitted, found, strict=True)]
+
+
+def regression(x: np.ndarray, y: np.ndarray, pull: float = PULL) -> np.ndarray:
+    """Weights of a logistic regression, both classes weighing the same, pulled towards FIXED; FIXED if a class is missing."""
+    fixed = np.array(FIXED)
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    if not n.all():
+        return fixed
+    share, w = (len(y) / (2 * n))[y.astype(int)], fixed.copy()
+    for _ in range(25):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (y - p)) - pull * (w - fixed)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), slope)
+        w = w + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def fitted(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
+    """Weights of FEATURES, from the labelled blocks of some `most` pages, chosen by a hash of the page and so at random; at most 64 blocks a page."""
+    width = len(FEATURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch.column("html"):
+                found = blocks(page.as_py() or "")
+                known = [i for i, b in enumerate(found) if b.node.bad or b.node.article]
+                own = features(found)[known[:: max(1, -(-len(known) // 64))]]
+                label = [float(not found[i].node.bad) for i in known[:: max(1, -(-len(known) // 64))]]
+                rows += [[*x, y] for x, y in zip(own.tolist(), label, strict=True)]
+            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
+
+    h = F.pmod(F.xxhash64("html"), F.lit(1 << 30))
+    total = pages.count()
+    some = pages.select("html").where(h < math.ceil((1 << 30) * min(1.0, most / max(1, total)))).limit(2 * most)
+    rows = sorted(r.row for r in some.mapInArrow(run, "row array<double>").collect())
+    table = np.array(rows).reshape(-1, width + 1)
+    return regression(table[:, :width], table[:, width])
 
 
 def apart(a: Node, b: Node) -> int:
@@ -209,12 +284,16 @@ def apart(a: Node, b: Node) -> int:
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
+
+    def join(a: int, b: int, weight: float) -> None:
+        out.append((a, b, weight * (1.0 if found[a].node.bad == found[b].node.bad else BORDER)))
+
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, FOLLOWS / 2 ** apart(found[i - 1].node, b.node)))
+            join(i - 1, i, FOLLOWS / 2 ** max(0, apart(found[i - 1].node, b.node) - 2))
         up = b.node.parent.number if b.node.parent is not None else -1
         if up in last and last[up] < i - 1:
-            out.append((last[up], i, SIBLINGS / 2))
+            join(last[up], i, SIBLINGS)
         last[up] = i
     return out
 
@@ -274,33 +353,39 @@ def min_cut(scores: list[float], joined: list[tuple[int, int, float]]) -> list[b
                     room[e ^ 1] += flow
 
 
-def labelled(page: str) -> list[Block]:
+def labelled(page: str, weights: np.ndarray | None = None) -> list[Block]:
     found = blocks(page)
-    for b in found:
-        b.score = score(b)
+    for b, x in zip(found, scores(found, np.array(FIXED) if weights is None else weights) if found else [], strict=True):
+        b.score = x
     for b, main in zip(found, min_cut([b.score for b in found], edges(found)), strict=True):
         b.main = main
     return found
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """pages (html and other columns) with text, n_chars, n_blocks and n_main instead of html."""
-    others = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars", "n_blocks", "n_main")]
+ADDED = {"text": "string", "n_chars": "long", "n_blocks": "int", "n_main": "int", "n_changed": "int"}
+
+
+def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """pages (html and other columns) with the columns of ADDED instead of html. weights: of FEATURES; without them they are fitted to the pages.
+
+    n_changed: blocks whose label the cut changes against the sign of their score.
+    """
+    weights = fitted(pages) if weights is None else weights
+    others = [f for f in pages.schema.fields if f.name not in ("html", *ADDED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, of, main = [], [], []
+            texts, counts = [], []
             for page in batch.column("html"):
-                found = labelled(page.as_py() or "")
-                own = [b.text for b in found if b.main]
-                texts.append(" ".join(own))
-                of.append(len(found))
-                main.append(len(own))
-            columns = [batch.column(f.name) for f in others] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(of, pa.int32()), pa.array(main, pa.int32())]
-            yield pa.record_batch(columns, names=[*(f.name for f in others), "text", "n_chars", "n_blocks", "n_main"])
+                found = labelled(page.as_py() or "", weights)
+                texts.append(" ".join(b.text for b in found if b.main))
+                counts.append((len(texts[-1]), len(found), sum(b.main for b in found), sum(b.main != (b.score > 0) for b in found)))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            numbers = [pa.array([c[k] for c in counts], kind) for k, kind in enumerate(kinds)]
+            yield pa.record_batch([*(batch.column(f.name) for f in others), pa.array(texts, pa.string()), *numbers], names=[*(f.name for f in others), *ADDED])
 
     kept = [F.col(f"`{f.name}`") for f in others]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "text string, n_chars long, n_blocks int, n_main int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{n} {t}" for n, t in ADDED.items())])
     return pages.select(*kept, "html").mapInArrow(run, schema)
 
 
