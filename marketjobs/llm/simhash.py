@@ -219,12 +219,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-lows")
+        large = attach(both, low, ["a"], "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(low, F.col("a") == F.col("n"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "star-lows")
+        small = attach(large, low, ["a"], "inner")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = written(small, "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -238,8 +238,8 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     roots = written(components(links(fps, radius)), "simhash-roots")
     rooted = attach(fps, roots.withColumnRenamed("node", "fp"), ["fp"]).withColumn("root", F.coalesce("root", "fp"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = written(rooted.join(low.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("fp", "root", "component_id"), "simhash-ids")
+    low = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
+    ids = written(attach(rooted, low, ["root"]).select("fp", "root", "component_id"), "simhash-ids")
     return attach(rows, ids, ["fp"])
 
 
