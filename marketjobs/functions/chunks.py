@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 STRETCH_DAYS = 3650
 
 
+def whole(*keys: str):
+    """All rows of a key."""
+    return W.partitionBy(*keys)
+
+
 def numbered(rows: DataFrame, days: int = STRETCH_DAYS) -> DataFrame:
     """rows (symbol, date) with rn, from 0, in order of date within each symbol."""
     staged = rows.withColumn("__stretch", F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / days))

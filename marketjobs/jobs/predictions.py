@@ -1,4 +1,4 @@
-"""Queries on stored predictions, and the same in SQL. Predictions are bound to bars: whole-number arithmetic makes them equal in both engines."""
+"""Queries on the stored history of the grid's predictions, and the same in SQL."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from ..functions.rolling import lead, series
 from ..operators import metrics, select, volatility
 from ..operators.metrics import KEYS
 from ..sources.tables import bars_daily
-from .daily import BARS, S, rnd
+from . import loop
+from .daily import S, rnd
+from .loop import HORIZONS, PRED
 
-HORIZONS, CONFIGS = (2, 5), range(8)
 CUTOFFS = ("1994-01-01", "1996-01-01", "1998-01-01")
 EDGE, MOST, LEAST = 0.01, 6, 2
 
@@ -23,27 +24,19 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History of eight configurations and two horizons; a configuration's newest rows are missing."""
-    rows = labels(spark, sf_dir).withColumn("cfg", F.explode(F.lit(list(CONFIGS)))).withColumn("cfg", F.col("cfg").cast("long"))
-    raw = (F.col("close") + F.col("rn") * 37 + F.col("cfg") * 11) % 101
-    rows = rows.where(F.col("rn") % 50 < F.lit(49) - F.col("cfg")).withColumn("raw", raw).withColumn("pred", F.rint(F.col("raw") / 5.0) * 5 / 100.0)
-    cls = (F.col("raw") >= 50).cast("int")
-    return rows.select(
-        "symbol", "date", "horizon", F.lit("boosted").alias("model"), (F.col("cfg") % 2 + 1).cast("int").alias("train_years"), F.concat(F.lit("set"), F.floor(F.col("cfg") / 2).cast("string")).alias("features"), F.lit(1.0).alias("pi_size"), F.lit("together").alias("pi_handling"),
-        F.when(F.col("cfg") < 4, 5).otherwise(10).alias("min_feats"), F.floor(F.col("rn") / 5).cast("int").alias("run"), "pred", cls.alias("pred_class"), F.col("label").alias("test_pos_n"), (cls == F.col("label")).cast("int").alias("acc"),
-    )
+    return loop.history(spark, sf_dir).select("symbol", "date", *KEYS, "run", "pred", "pred_class", "test_pos_n", "acc")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.with_composite(metrics.config_metrics(predictions(spark, sf_dir)))
+def scored(history: DataFrame) -> DataFrame:
+    return metrics.with_composite(metrics.config_metrics(history))
 
 
 def config_metrics(spark, sf_dir):
-    return scored(spark, sf_dir)
+    return scored(predictions(spark, sf_dir))
 
 
 def top_by_horizon(spark, sf_dir):
-    return select.top(scored(spark, sf_dir), 5, "horizon", "composite", "log_loss").select(*KEYS, "composite", "log_loss", "rank")
+    return select.top(scored(predictions(spark, sf_dir)), 5, "horizon", "composite", "log_loss").select(*KEYS, "composite", "log_loss", "rank")
 
 
 def calibration(spark, sf_dir):
@@ -58,15 +51,16 @@ def streak_buckets(spark, sf_dir):
 
 
 def best_per_set(spark, sf_dir):
-    return select.best_per_set(scored(spark, sf_dir), 3).select(*KEYS, "composite", "rank")
+    return select.best_per_set(scored(predictions(spark, sf_dir)), 3).select(*KEYS, "composite", "rank")
 
 
 def edge_select(spark, sf_dir):
-    return select.edge_select(scored(spark, sf_dir), EDGE, MOST, LEAST).select(*KEYS, "pos_edge", "neg_edge", "composite", "rank")
+    return select.edge_select(scored(predictions(spark, sf_dir)), EDGE, MOST, LEAST).select(*KEYS, "pos_edge", "neg_edge", "composite", "rank")
 
 
 def semi_selected(spark, sf_dir):
-    return select.of_selected(predictions(spark, sf_dir), best_per_set(spark, sf_dir)).select("symbol", "date", *KEYS, "pred")
+    rows = predictions(spark, sf_dir)
+    return select.of_selected(rows, select.best_per_set(scored(rows), 3)).select("symbol", "date", *KEYS, "pred")
 
 
 def pending_days(spark, sf_dir):
@@ -74,8 +68,9 @@ def pending_days(spark, sf_dir):
 
 
 def ensemble(spark, sf_dir):
-    m = scored(spark, sf_dir)
-    return select.ensemble(select.of_selected(predictions(spark, sf_dir), select.best_per_set(m, 3)), m)
+    rows = predictions(spark, sf_dir)
+    m = scored(rows)
+    return select.ensemble(select.of_selected(rows, select.best_per_set(m, 3)), m)
 
 
 def ensemble_precision(spark, sf_dir):
@@ -106,17 +101,6 @@ def history_append(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (config_metrics, top_by_horizon, calibration, streak_buckets, best_per_set, edge_select, semi_selected, pending_days, ensemble, ensemble_precision, price_ratio, cutoff_metrics, history_dedup, history_append)}
 
 K = ", ".join(KEYS)
-PRED = "WITH " + BARS.strip() + f""",
-l AS (
-  SELECT symbol, date, close, rn, r AS horizon, CASE r WHEN 2 THEN CASE WHEN c2 > close THEN 1 WHEN c2 <= close THEN 0 END ELSE CASE WHEN c5 > close THEN 1 WHEN c5 <= close THEN 0 END END AS label
-  FROM (SELECT symbol, date, close, row_number() OVER {S} AS rn, lead(close, 2) OVER {S} AS c2, lead(close, 5) OVER {S} AS c5 FROM bars), (VALUES (2), (5)) h(r)),
-g AS (SELECT *, (close + rn * 37 + cfg * 11) % 101 AS raw FROM l, unnest(range(0, 8)) u(cfg) WHERE rn % 50 < 49 - cfg),
-pred AS (
-  SELECT symbol, date, horizon, 'boosted' AS model, (cfg % 2 + 1)::INT AS train_years, 'set' || (cfg // 2) AS features, 1.0::DOUBLE AS pi_size, 'together' AS pi_handling, CASE WHEN cfg < 4 THEN 5 ELSE 10 END AS min_feats,
-    (rn // 5)::INT AS run, round_even(raw / 5.0::DOUBLE, 0) * 5 / 100.0::DOUBLE AS pred, (raw >= 50)::INT AS pred_class, label AS test_pos_n, ((raw >= 50)::INT = label)::INT AS acc
-  FROM g)"""
-
-
 def _metrics(source: str, keys: str) -> str:
     d = lambda a, b: f"({a})::DOUBLE / nullif({b}, 0)"
     return f"""(SELECT {keys}, records, {rnd('ups::DOUBLE / records', 6)} AS pos_rate, {rnd(f'({d("tp", "pp")} + {d("tn", "np")}) / 2', 2)} AS bal_prec, {rnd(f'({d("stp", "spp")} + {d("stn", "snp")}) / 2', 2)} AS bal_prec_th,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, fitting, intraday, modelling, predictions
+from . import daily, fitting, intraday, loop, modelling, predictions
 
-PARTS = (daily, intraday, predictions, modelling, fitting)
+PARTS = (daily, intraday, loop, predictions, modelling, fitting)
 
 
 def queries() -> dict:
