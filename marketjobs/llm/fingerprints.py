@@ -7,6 +7,9 @@ it, their canonical forms are compared byte by byte (grouped by hash and form);
 
 Likeness of exact digests is 1 for equal and 0 for unequal ones.
 
+The tables are kept small, and each plan has few copies of them, as the driver holds and prints its plans: pages are short, Hangul
+syllables are taken apart by arithmetic, and canonical forms are made once to hash them and once to compare them.
+
 Order of documents: ids are cut into blocks at bounds taken from a range partitioning; the first documents of a block go to the block
 before as well, so each block knows the document after its last, and texts move once.
 
@@ -30,13 +33,18 @@ from .common import attach, packed, read, unpacked, written
 #: Java may not know the latest marks; to it they are unassigned.
 TWO_MARKS = r"[\p{M}\p{Cn}]{2}"
 ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
-PAGE = 8  # bits of a table's page
+PAGE = 5  # bits of a table's page
 
 
 #: The one mark that case folding makes a letter; it is folded when the marks are in order.
 IOTA, IOTA_FOLDED = chr(0x345), chr(0x3B9)
 
 
+#: Hangul syllables follow each other by their leading consonant, vowel and trailing consonant or none.
+SYLLABLES, LEAD, VOWEL, TAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
+LEADS, VOWELS, TAILS = 19, 21, 28
+
+
 def folded(c: str) -> str:
     if c.isspace():
         return " "
@@ -59,7 +67,7 @@ def tables() -> tuple[list, list, str]:
     fold, order = {}, {}
     for cp in (*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1)):
         c = chr(cp)
-        if (to := folded(c)) != c:
+        if (to := folded(c)) != c and not 0 <= cp - SYLLABLES < LEADS * VOWELS * TAILS:
             fold[cp] = to
         if rank := unicodedata.combining(c):
             order[cp] = rank
@@ -76,13 +84,24 @@ def looked_up(table: Column, char: Column) -> Column:
     return let(F.ascii(char), lambda cp: F.get(F.get(table, F.call_function("shiftright", cp, F.lit(PAGE))), cp.bitwiseAND(F.lit((1 << PAGE) - 1))))
 
 
+def jamo(char: Column) -> Column:
+    """The parts of a Hangul syllable; null for other characters."""
+    own = lambda first, n, at: F.substr(F.lit("".join(chr(first + i) for i in range(n))), at + 1, F.lit(1))
+
+    def parts(k: Column) -> Column:
+        tail = F.when(k % TAILS > 0, own(TAIL, TAILS, (k % TAILS).cast("int"))).otherwise(F.lit(""))
+        return F.concat(own(LEAD, LEADS, F.floor(k / (VOWELS * TAILS)).cast("int")), own(VOWEL, VOWELS, F.floor(k / TAILS).cast("int") % VOWELS), tail)
+
+    return F.when((char >= chr(SYLLABLES)) & (char < chr(SYLLABLES + LEADS * VOWELS * TAILS)), parts(F.ascii(char) - SYLLABLES))
+
+
 def canonical(text: Column) -> Column:
     fold, order, marks = tables()
     # Runs of ASCII, and single characters beyond it.
     pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
     replaced = let(
         literal(fold, "array<array<string>>"),
-        lambda t: F.array_join(F.transform(pieces, lambda p: F.when(F.ascii(p) < 128, F.lower(p)).otherwise(F.coalesce(looked_up(t, p), p))), ""),
+        lambda t: F.array_join(F.transform(pieces, lambda p: F.when(F.ascii(p) < 128, F.lower(p)).otherwise(F.coalesce(looked_up(t, p), jamo(p), p))), ""),
     )
 
     def in_order(s: Column) -> Column:
@@ -108,16 +127,22 @@ def named(h: Column, nr: Column) -> Column:
     return F.concat(part(h["a"]), part(h["b"]), F.when(nr > 0, F.concat(F.lit("-"), nr.cast("string"))).otherwise(F.lit("")))
 
 
-def numbers(forms: DataFrame) -> DataFrame:
-    """forms (h, form, keys) -> written (keys, nr): the number, from 0, of a form among the unequal ones of its hash; rows of hashes with a single form are left out."""
+def numbers(forms: DataFrame) -> DataFrame | None:
+    """forms (h, form, keys) -> written (keys, nr): the number, from 0, of a form among the unequal ones of its hash; rows of hashes with a
+    single form are left out, and without a hash of several forms there is no table."""
     keys = [c for c in forms.columns if c not in ("h", "form")]
     unequal = forms.select("h", "form").distinct()  # byte comparison; copies meet in each task first
-    shared = unequal.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("h2"))
-    ranked = written(unequal.join(shared, F.col("h") == F.col("h2"), "left_semi").withColumn("nr", F.row_number().over(W.partitionBy("h").orderBy("form")) - 1), "digest-numbers")
-    if not ranked.count():
-        return ranked.select(*[F.lit(None).cast(forms.schema[k].dataType).alias(k) for k in keys], "nr").limit(0)
+    shared = written(unequal.groupBy("h").count().where("count > 1").select(F.col("h").alias("h2")), "digest-clashes")
+    if shared.isEmpty():
+        return None
+    few = written(forms.join(shared, F.col("h") == F.col("h2"), "left_semi").distinct(), "digest-forms")
+    ranked = few.select("h", "form").distinct().withColumn("nr", F.row_number().over(W.partitionBy("h").orderBy("form")) - 1)
     ranked = ranked.select(F.col("h").alias("h2"), F.col("form").alias("form2"), "nr")
-    return written(forms.join(ranked, (F.col("h") == F.col("h2")) & (F.col("form") == F.col("form2"))).select(*keys, "nr"), "digest-nr")
+    return written(few.join(ranked, (F.col("h") == F.col("h2")) & (F.col("form") == F.col("form2"))).select(*keys, "nr"), "digest-nr")
+
+
+def with_number(rows: DataFrame, nr: DataFrame | None, keys: list[str], name: str = "nr") -> DataFrame:
+    return rows.withColumn(name, F.lit(0)) if nr is None else attach(rows, nr.withColumnRenamed("nr", name), keys)
 
 
 def fingerprinted(docs: DataFrame, hash_of=wide_hash) -> DataFrame:
@@ -127,9 +152,10 @@ def fingerprinted(docs: DataFrame, hash_of=wide_hash) -> DataFrame:
     rows = written(keyed.select("doc_id", "th", form.alias("form")).select("doc_id", "th", hash_of(F.col("form")).alias("h")).distinct(), "digests")
     shared = rows.groupBy("h").count().where("count > 1").select(F.col("h").alias("h2"))
     wanted = written(rows.join(shared, F.col("h") == F.col("h2"), "left_semi"), "digests-shared")
-    nr = numbers(attach(keyed.select("doc_id", "th", "text"), wanted, ["doc_id", "th"], "inner").select("doc_id", "th", "h", form.alias("form")).distinct())
+    texts = attach(keyed.select("doc_id", "th", "text"), wanted, ["doc_id", "th"], "inner")
+    nr = numbers(texts.select("doc_id", "th", "h", form.alias("form")))
     whole = packed(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.xxhash64("__row.text").alias("th"))
-    out = attach(attach(whole, rows, ["doc_id", "th"]), nr, ["doc_id", "th"])
+    out = with_number(attach(whole, rows, ["doc_id", "th"]), nr, ["doc_id", "th"])
     return unpacked(out.withColumn("fingerprint", named(F.col("h"), F.col("nr"))), "fingerprint")
 
 
@@ -190,19 +216,20 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str, hash_of=wide_hash) -> Dat
     both = rows.select("doc_id", "th", F.lit(None).cast("long").alias("next_doc_id"), F.lit(None).cast("long").alias("next_th"), "h", F.lit(False).alias("edit"))
     both = both.unionByName(rows.select("doc_id", "th", "next_doc_id", "next_th", F.col("e").alias("h"), F.lit(True).alias("edit")))
     shared = both.groupBy("h").count().where("count > 1").select(F.col("h").alias("h2"))
-    wanted = written(both.join(shared, F.col("h") == F.col("h2"), "left_semi"), "digest-wanted")
+    wanted = written(both.join(shared, F.col("h") == F.col("h2"), "left_semi").distinct(), "digest-wanted")
     ids = wanted.select("doc_id", "th").unionByName(wanted.where("edit").select(F.col("next_doc_id").alias("doc_id"), F.col("next_th").alias("th")))
     texts = written(attach(keyed, written(ids.distinct(), "digest-ids"), ["doc_id", "th"], "inner").distinct(), "digest-texts")
-    own = wanted.where(~F.col("edit"))
-    forms = own.join(texts.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).withColumn("x", F.col("text")).drop("d", "t", "text")
-    edits = wanted.where("edit").join(texts.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).drop("d", "t")
-    edits = edits.join(texts.withColumnsRenamed({"doc_id": "d", "th": "t", "text": "following"}), F.col("next_doc_id").eqNullSafe(F.col("d")) & (F.col("next_th") == F.col("t"))).drop("d", "t")
-    edits = edits.withColumn("x", edited(F.col("text"), F.col("following"))).drop("text", "following")
-    nr = numbers(forms.unionByName(edits).withColumn("form", canonical(F.col("x"))).drop("x").distinct())
-    own_nr = written(nr.where(~F.col("edit")).select("doc_id", "th", "nr").distinct(), "digest-own-nr")
-    edit_nr = written(nr.where("edit").select("doc_id", "th", "next_doc_id", "next_th", F.col("nr").alias("edit_nr")).distinct(), "digest-edit-nr")
-    rows = attach(attach(rows, own_nr, ["doc_id", "th"]), edit_nr, ["doc_id", "th", "next_doc_id", "next_th"])
-    rows = attach(rows, own_nr.select(F.col("doc_id").alias("next_doc_id"), F.col("th").alias("next_th"), F.col("nr").alias("next_nr")), ["next_doc_id", "next_th"])
+    found = attach(wanted, texts, ["doc_id", "th"], "inner")
+    following = texts.select(F.col("doc_id").alias("next_doc_id"), F.col("th").alias("next_th"), F.col("text").alias("following"))
+    edits = attach(found.where("edit"), following, ["next_doc_id", "next_th"], "inner").withColumn("text", edited(F.col("text"), F.col("following"))).drop("following")
+    nr = numbers(found.where(~F.col("edit")).unionByName(edits).withColumn("form", canonical(F.col("text"))).drop("text"))
+    own_nr = edit_nr = next_nr = None
+    if nr is not None:
+        own_nr = written(nr.where(~F.col("edit")).select("doc_id", "th", "nr").distinct(), "digest-own-nr")
+        edit_nr = written(nr.where("edit").select("doc_id", "th", "next_doc_id", "next_th", "nr").distinct(), "digest-edit-nr")
+        next_nr = own_nr.select(F.col("doc_id").alias("next_doc_id"), F.col("th").alias("next_th"), "nr")
+    rows = with_number(with_number(rows, own_nr, ["doc_id", "th"]), edit_nr, ["doc_id", "th", "next_doc_id", "next_th"], "edit_nr")
+    rows = with_number(rows, next_nr, ["next_doc_id", "next_th"], "next_nr")
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     rows = rows.withColumn("fingerprint", named(F.col("h"), F.col("nr"))).withColumn("edited_fingerprint", named(F.col("e"), F.col("edit_nr"))).withColumn("next_fingerprint", named(F.col("next_h"), F.col("next_nr")))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"))
