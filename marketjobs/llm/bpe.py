@@ -133,11 +133,11 @@ def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max
         words = batch.column("words")
         n = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32())
         coded = words.flatten().dictionary_encode()
-        own = coded.dictionary.cast(pa.binary()).to_pylist()
+        own = coded.dictionary
         if len(known) + len(own) > max_words:
             known, fresh = Numbers(), True
         numbers, at = known.of(own)
-        new = [own[i] for i in at.tolist()]
+        new = own.take(pa.array(at)).cast(pa.binary()).to_pylist()
         done_at = [i for i, w in enumerate(new) if w in table or len(w) > max_fold]
         done_ids = [[table[new[i]]] if new[i] in table else library(path, pattern).encode_ordinary(new[i].decode()) for i in done_at]
         for i in done_at:

@@ -3,7 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+
+#: Odd factors of the mixing of 64 bits, and the seeds of the two halves of a digest. Fixed values.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    return x ^ (x >> np.uint64(31))
+
+
+def digests(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each string, as two arrays: sums of mixed (place, byte), taken over the whole buffer at once."""
+    if not len(words):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    offset = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
+    offset = offset - offset[0]
+    size = np.diff(offset)
+    place = (np.arange(len(data)) - np.repeat(offset[:-1], size)).astype(np.uint64)
+    cell, out = (place << np.uint64(8)) | data, []
+    for seed in SEEDS:
+        upto = np.r_[np.uint64(0), np.cumsum(mixed(cell + np.uint64(seed)))]
+        out.append(mixed(upto[offset[1:]] - upto[offset[:-1]] + size.astype(np.uint64)))
+    return out[0], out[1]
 
 
 class Numbers:
@@ -15,22 +41,23 @@ class Numbers:
     def __len__(self) -> int:
         return len(self.number)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of distinct words, and the places of those that are new."""
-        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
-        high, low = digest[:, 0], digest[:, 1]
-        at = np.searchsorted(self.high, high)
-        found = np.zeros(len(words), bool)
+        high, low = digests(words)
+        order = np.argsort(high)  # sorted look-ups meet the table in order
+        h, w = high[order], low[order]
+        place = np.searchsorted(self.high, h)
+        found = np.zeros(len(h), bool)
         if len(self):
-            at = np.minimum(at, len(self) - 1)
-            found = (self.high[at] == high) & (self.low[at] == low)
-        number = np.empty(len(words), np.int32)
-        number[found] = self.number[at[found]]
-        new = np.flatnonzero(~found)
+            near = np.minimum(place, len(self) - 1)
+            found = (self.high[near] == h) & (self.low[near] == w)
+        number = np.empty(len(h), np.int32)
+        number[order[found]] = self.number[near[found]] if len(self) else 0
+        fresh = ~found
+        new = np.sort(order[fresh])
         number[new] = len(self) + np.arange(len(new))
-        high, low, every = np.r_[self.high, high[new]], np.r_[self.low, low[new]], np.r_[self.number, number[new]]
-        order = np.argsort(high, kind="stable")
-        self.high, self.low, self.number = high[order], low[order], every[order]
+        place = place[fresh]
+        self.high, self.low, self.number = (np.insert(own, place, x) for own, x in ((self.high, h[fresh]), (self.low, w[fresh]), (self.number, number[order[fresh]])))
         return number, new
 
 

@@ -1,15 +1,16 @@
 """Token ids as grammar-compressed binary shards.
 
 Documents go to ranges of ascending doc_id; a task encodes those of its range with the tokenizers library and cuts their ids into
-shards. A shard is compressed by Re-Pair: frequent pairs of neighbouring symbols are replaced by nonterminals, in rounds,
-until no pair is frequent or the rounds are used up. A shard's row in the files holds the rules (left, right), the number of
+shards. A shard is compressed by Re-Pair: pairs of neighbouring symbols that occur LEAST times or more are replaced by nonterminals,
+the most frequent first, until no pair occurs so often. A shard's row in the files holds the rules (left, right), the number of
 ids each symbol expands to, the compressed sequence with the place of every few symbols, and the documents with their places,
 so that any range of ids is decoded from the symbols that cover it alone.
 
 Files: Parquet with one row per shard; integers are little-endian (u4: unsigned 32 bits, u8: 64 bits).
 
-Encoding goes by distinct pieces: the tokenizer drops white space and splits at it, so words can be encoded apart, and words without
-apostrophes and marks also at runs of other than letters and digits and at each digit. A worker's dictionary is bounded and starts anew when full.
+Encoding goes by distinct pieces: the tokenizer drops white space and splits at it, so words can be encoded apart, and most words
+also at runs of other than letters and digits and at each digit. Which characters allow such cuts is found out from the library itself.
+A worker's dictionary is bounded and starts anew when full.
 
 Defined results: null and empty texts have the end id only; rows with one doc_id are written in order of their text; null ids come first;
 other columns are not written; an empty table gives no shards and no rows.
@@ -31,13 +32,15 @@ from .common import attach, new_path, read, small_batches, written
 from .dictionary import Lists, Numbers
 
 END_ID = 1
-#: Ids per shard (a document is not cut); rounds of replacement and new symbols a round; the least count of a pair.
-SHARD_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 6, 2048, 32
+#: Ids per shard (a document is not cut); the count from which a pair of a shard is frequent.
+SHARD_IDS, LEAST = 1 << 20, 32
 #: The place of every so many symbols is stored.
 STEP = 256
 MAX_PIECES = 2_000_000
-#: Words with one of these are encoded whole: contractions, marks that join a letter, and the letter whose lower case is a letter and a mark.
-WHOLE = r"['\pM\x{0130}]"
+#: Where words are cut into pieces: around runs of other than letters and digits, and around each digit.
+CUTS = r"([^\s\pL\pN]+|\pN)"
+#: Characters are tried below this one; words with others are encoded whole.
+TRIED = 0x30000
 #: Bytes of text, and pieces given to the library, at once.
 BLOCK_BYTES, AT_ONCE = 6 << 20, 1024
 
@@ -69,44 +72,83 @@ def word_ends(path: str) -> np.ndarray:
     return out
 
 
+def cut(words: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(words, CUTS, r" \1 ")
+
+
+@cache
+def whole_words(path: str) -> str:
+    """A regex class: words with one of its characters are encoded whole, as cutting could change their ids.
+
+    These are apostrophes (contractions), marks (they may join a letter) and characters that are not assigned yet, and all at which
+    the library, tried with the character between letters, digits and symbols, cuts a word otherwise than `cut` does.
+    """
+    from unicodedata import category
+
+    t = tokenizer(path)
+    pieces = lambda s: [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(s))]
+    odd = {ord("'")}
+    for start in range(0x80, TRIED, 1024):
+        kind = {chr(c): category(chr(c)) for c in range(start, start + 1024)}
+        odd.update(ord(c) for c, k in kind.items() if k[0] == "M" or k in ("Cn", "Cs"))
+        some = [c for c, k in kind.items() if k[0] != "M" and k not in ("Cn", "Cs")]
+        words = [f"a{c}b{c}{c}1{c}.{c}" for c in some]
+        parted = cut(pa.array(words, pa.string())).to_pylist()
+        if pieces(" ".join(words)) != pieces(" ".join(parted)):
+            odd.update(ord(c) for c, w, p in zip(some, words, parted, strict=True) if pieces(w) != pieces(p))
+    points = np.array(sorted(odd))
+    first = np.flatnonzero(np.diff(points, prepend=-2) != 1)
+    last = np.r_[first[1:], len(points)] - 1
+    return "[" + "".join(rf"\x{{{points[a]:X}}}-\x{{{points[b]:X}}}" for a, b in zip(first, last, strict=True)) + rf"\x{{{TRIED:X}}}-\x{{10FFFF}}]"
+
+
 class Encoder:
-    """Texts -> ids, through the ids of distinct pieces."""
+    """Texts -> ids, through the ids of distinct pieces. whole: the class of whole_words."""
 
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
-        self.path, self.max_pieces = path, max_pieces
+    def __init__(self, path: str, whole: str, max_pieces: int = MAX_PIECES):
+        self.path, self.whole, self.max_pieces = path, whole, max_pieces
         self.known, self.lists = Numbers(), Lists()
 
-    def pieces(self, found: list[str]) -> np.ndarray:
+    def pieces(self, found: pa.Array) -> np.ndarray:
         """Numbers of the pieces in self.lists."""
         if len(self.known) + len(found) > self.max_pieces:
             self.known, self.lists = Numbers(), Lists()
-        numbers, at = self.known.of([p.encode() for p in found])
-        new = [found[i] for i in at.tolist()]
-        for i in range(0, len(new), AT_ONCE):
-            self.lists.add(*self.library_ids(new[i : i + AT_ONCE]))
+        numbers, at = self.known.of(found)
+        new = found.take(pa.array(at)).to_pylist()
+        if new:
+            ids, sizes = zip(*(self.library_ids(new[i : i + AT_ONCE]) for i in range(0, len(new), AT_ONCE)), strict=True)
+            self.lists.add(np.concatenate(ids), np.concatenate(sizes))
         return numbers
 
     def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces in a row, and their numbers. Almost every piece is one word to the library, and a word's last id, and no
         other, is a word end. No piece here is without a word, so if there are as many ends as pieces, each is one word."""
-        ids = np.array(tokenizer(self.path).encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(tokenizer(self.path).encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(word_ends(self.path)[ids])
         if len(ends) == len(pieces) and all(map(str.strip, pieces)):
             return ids, np.diff(np.r_[-1, ends])
         each = [e.ids for e in tokenizer(self.path).encode_batch_fast(pieces, add_special_tokens=False)]
         return np.fromiter((x for own in each for x in own), np.uint32), np.array([len(own) for own in each], np.int64)
 
+    def parted(self, words: pa.Array) -> pa.Array:
+        """Distinct words -> lists of their pieces."""
+        plain = pc.invert(pc.match_substring_regex(words, r"[^\pL]"))
+        same = pc.or_(plain, pc.match_substring_regex(words, self.whole))
+        at = np.flatnonzero(~same.to_numpy(zero_copy_only=False))
+        if len(at):
+            words = pc.replace_with_mask(words, pc.invert(same), cut(words.take(pa.array(at))))
+        return pc.ascii_split_whitespace(words)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and their number by text."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
         per_text = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
-        parted = pc.if_else(pc.match_substring_regex(words, WHOLE), words, pc.replace_substring_regex(words, r"([^\s\pL\pN]+|\pN)", r" \1 "))
-        parts = pc.ascii_split_whitespace(parted)
+        parts = self.parted(words)
         n_parts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         pieces = parts.flatten().dictionary_encode()
-        number = self.pieces(pieces.dictionary.to_pylist())
+        number = self.pieces(pieces.dictionary)
         per_piece = number[pieces.indices.to_numpy(zero_copy_only=False)] if len(pieces) else np.empty(0, np.int64)
         flat, size = self.lists.take(per_piece)
         ends = np.r_[0, np.cumsum(size)][np.cumsum(n_parts)] if len(n_parts) else np.empty(0, np.int64)
@@ -118,15 +160,15 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, whole: str) -> Encoder:
     """One for each Python worker: its dictionary outlives the tasks."""
-    return Encoder(path)
+    return Encoder(path, whole)
 
 
 # --- Re-Pair ---
 
 
-BINS = 22
+BINS = 20
 
 
 def bins_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -134,60 +176,72 @@ def bins_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * np.uint32(2654435761) + right * np.uint32(40503)) >> np.uint32(32 - BINS)
 
 
-def frequent(seq: np.ndarray, bins: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Keys (left << 32 | right) of the most frequent pairs with a count of `least` or more, most frequent first.
-
-    Pairs are counted by their bins first; only those in bins that are full enough are sorted and counted themselves.
+class Sequence:
+    """Symbols, the bins of their pairs, and the number of pairs in each bin, which follow each replacement."""
+
+    def __init__(self, seq: np.ndarray):
+        self.seq, self.bins = seq, bins_of(seq[:-1], seq[1:])
+        self.count = np.bincount(self.bins, minlength=1 << BINS)
+
+    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys (left << 32 | right) of the pairs with a count of `least` or more, in order; where they are, and which of them is there.
+
+        Only pairs whose bins are full enough are sorted and counted themselves.
+        """
+        at = np.flatnonzero((self.count >= least)[self.bins])
+        pair = (self.seq[at].astype(np.uint64) << np.uint64(32)) | self.seq[at + 1]
+        key, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        often = n >= least
+        rank = np.cumsum(often) - 1
+        hit = often[which]
+        return key[often], at[hit], rank[which[hit]]
+
+    def replace(self, at: np.ndarray, symbol: np.ndarray) -> None:
+        """The pairs at the places `at`, none of which overlap, become symbols."""
+        seq, bins = self.seq, self.bins
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        before = at[at > 0] - 1
+        before = before - ~keep[before]  # a removed symbol's pair begins one place earlier
+        new = np.zeros(len(seq), bool)  # the left symbols of changed pairs
+        new[at] = new[before] = True
+        gone = new.copy()
+        gone[at + 1] = True
+        np.subtract.at(self.count, bins[gone[:-1]], 1)
+        seq = seq.copy()
+        seq[at] = symbol
+        self.seq = seq = seq[keep]
+        self.bins = bins = np.r_[bins, np.uint32(0)][keep][:-1]
+        changed = np.flatnonzero(new[keep][:-1])
+        bins[changed] = bins_of(seq[changed], seq[changed + 1])
+        np.add.at(self.count, bins[changed], 1)
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sequence, rules, base): symbols from base on are nonterminals; rules has a row (left, right) for each, of smaller symbols.
+
+    Pairs within half of the largest count left are replaced together, from the left where they overlap, then those within half
+    of what is left, and so on, until no pair occurs `least` times.
     """
-    count = np.bincount(bins, minlength=1 << BINS)
-    full = np.flatnonzero(count >= least)
-    if len(full) > 2 * most:
-        full = full[np.argpartition(count[full], len(full) - 2 * most)[len(full) - 2 * most :]]
-    marked = np.zeros(1 << BINS, bool)
-    marked[full] = True
-    at = np.flatnonzero(marked[bins])
-    key, n = np.unique((seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1], return_counts=True)
-    key, n = key[n >= least], n[n >= least]
-    return key[np.lexsort((key, -n))][:most]
-
-
-def replace(seq: np.ndarray, bins: np.ndarray, keys: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """seq with pairs in keys replaced by first + their number, from the left in each run of overlapping pairs; how often each was."""
-    order = np.argsort(keys)
-    ranked = keys[order]
-    marked = np.zeros(1 << BINS, bool)
-    marked[bins_of((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))] = True
-    at = np.flatnonzero(marked[bins])
-    pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-    slot = np.minimum(np.searchsorted(ranked, pair), len(ranked) - 1)
-    hit = ranked[slot] == pair
-    at, slot = at[hit], slot[hit]
-    if not len(at):
-        return seq, np.zeros(len(keys), np.int64)
-    run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-    even = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
-    at, which = at[even], order[slot[even]]
-    out = seq.copy()
-    out[at] = first + which
-    keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    return out[keep], np.bincount(which, minlength=len(keys))
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sequence, rules, base): symbols from base on are nonterminals; rules has a row (left, right) for each, of smaller symbols."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules, first = ids.astype(np.uint32), np.empty((0, 2), np.uint32), base
-    for _ in range(rounds):
-        bins = bins_of(seq[:-1], seq[1:])
-        if len(seq) < 2 or not len(keys := frequent(seq, bins, per_round, least)):
-            break
-        seq, used = replace(seq, bins, keys, first)
-        rules = np.r_[rules, np.c_[keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)].astype(np.uint32)]
-        first += len(keys)
-        if used.sum() * 50 < len(seq):
-            break
-    return seq, rules, base
+    state, rules, first = Sequence(ids.astype(np.uint32)), [np.empty((0, 2), np.uint32)], base
+    limit = 0
+    while len(state.seq) > 1:
+        limit = max(least, (limit or int(state.count.max())) // 2)
+        keys, at, which = state.frequent(limit)
+        if not len(keys):
+            if limit == least:
+                break
+            continue
+        run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+        even = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
+        at, which = at[even], which[even]
+        used, which = np.unique(which, return_inverse=True)
+        state.replace(at, (first + which).astype(np.uint32))
+        keys = keys[used]
+        rules.append(np.c_[keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)].astype(np.uint32))
+        first, limit = first + len(keys), 0
+    return state.seq, np.concatenate(rules), base
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -242,6 +296,7 @@ def id_range(row: dict, start: int, stop: int) -> np.ndarray:
 def write(docs: DataFrame, out: str, path: str | None = None, shard_ids: int = SHARD_IDS) -> None:
     """Writes docs (doc_id, text) as shards to the folder out."""
     path = path or vocabulary()
+    whole = whole_words(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -249,7 +304,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, shard_ids: int = S
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        task, part, known = TaskContext.get().partitionId(), 0, encoder(path)
+        task, part, known = TaskContext.get().partitionId(), 0, encoder(path, whole)
         ids, docs, sizes, total = [], [], [], 0
         for batch in batches:
             text, doc_id = batch.column("text"), batch.column("doc_id")
@@ -257,13 +312,13 @@ def write(docs: DataFrame, out: str, path: str | None = None, shard_ids: int = S
             for i in range(0, batch.num_rows, step):
                 flat, n = known.encode(text.slice(i, step))
                 ends = np.cumsum(n)
-                whole = np.insert(flat, ends, END_ID)
+                ended = np.insert(flat, ends, END_ID)
                 n = n + 1
                 done = np.r_[0, np.cumsum(n)]
                 own, a = doc_id.slice(i, step).to_pylist(), 0
                 while a < len(n):
                     b = max(a + 1, int(np.searchsorted(done, done[a] + shard_ids - total, "right")) - 1)
-                    ids.append(whole[done[a] : done[b]])
+                    ids.append(ended[done[a] : done[b]])
                     docs.extend(own[a:b])
                     sizes.append(n[a:b])
                     total += int(done[b] - done[a])
@@ -291,7 +346,8 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the shards in a folder, decoded shard by shard; start: ids of all documents before; ids: binary, u4."""
+    """(doc_id, start, n_tokens, ids, shard_ids, shard_symbols) of the shards in a folder, decoded shard by shard; start: ids of all documents
+    before; ids: binary, u4; the last two: ids of the document's shard, and the symbols and rules that hold them."""
     shards = spark.read.schema(SHARD).parquet(path)
     starts = written(shard_starts(shards), "token-starts")
     joined = attach(shards.select("task", "part", "rules", "sequence", "base", "doc_id", "at"), starts, ["task", "part"])
@@ -304,13 +360,28 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 at = np.r_[np.frombuffer(row["at"], "<u8").astype(np.int64), len(ids)]
                 docs = batch.column("doc_id").slice(i, 1).flatten()
                 values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.record_batch([docs, pa.array(row["start"] + at[:-1]), pa.array(np.diff(at)), values.cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                held = (len(row["sequence"]) + len(row["rules"])) // 4
+                sizes = [pa.array(np.full(len(docs), n, np.int64)) for n in (len(ids), held)]
+                yield pa.record_batch([docs, pa.array(row["start"] + at[:-1]), pa.array(np.diff(at)), values.cast(pa.binary()), *sizes], names=["doc_id", "start", "n_tokens", "ids", "shard_ids", "shard_symbols"])
+
+    return joined.select("rules", "sequence", "base", "doc_id", "at", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, shard_ids long, shard_symbols long")
+
+
+def openings(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(doc_id, ids) with the first n ids of each document, by random access: only the symbols that cover them are expanded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = np.r_[np.frombuffer(row["at"], "<u8").astype(np.int64), row["n_ids"]]
+                ids = [id_range(row, a, min(b, a + n)).astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(row["doc_id"], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return joined.select("rules", "sequence", "base", "doc_id", "at", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.schema(SHARD).parquet(path).drop("first_id", "task", "part").mapInArrow(run, "doc_id long, ids binary")
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-shards")
     with small_batches(spark):
         write(read(spark, sf_dir, "documents"), path)
-    return documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard_ids", "shard_symbols")
