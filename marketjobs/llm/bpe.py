@@ -6,8 +6,14 @@ literal rank map (an array of hash buckets, as a map literal is searched from en
 take the words' ids. Nothing is shuffled or broadcast; a task's dictionary is bounded and starts anew when full.
 Decoding concatenates the ids' binary pieces.
 
-Defined results: null and empty texts have no ids; repeated rows and tied ids are encoded row by row, in place; a word that is a token has its id without a fold; words of
-more than `max_fold` bytes, whose fold would take the square of their length, are merged by the tiktoken library with the same ranks; an empty table gives an empty result; only the id column of the input is handed on.
+The pattern is Java's, made to mean what it means to the library: letters and numbers that the one knows and the other does not (they are of
+different versions of Unicode) are asked of both and put right in the classes of the pattern.
+
+Where the pair of the lowest rank is in a word several times, all its places merge in one step, so a word takes as many steps as it has
+different merges, however long it is. Only for tokens where this could differ from one merge after the other do they go one by one.
+
+Defined results: null and empty texts have no ids; repeated rows and tied ids are encoded row by row, in place; a word that is a token has
+its id without a fold; an empty table gives an empty result; only the id column of the input is handed on.
 """
 
 from __future__ import annotations
@@ -22,16 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, written
 from .dictionary import Lists, Numbers
 
-#: White space of Unicode, which Java's \s is not. Fixed values.
-UNICODE_SPACE = r"\t\n\x0b\f\r \x85\xa0  -     　"
 BUCKETS = 1 << 16
-#: Words of more bytes are merged by the library; distinct words of a task before its dictionary starts anew.
-MAX_FOLD, MAX_WORDS = 256, 2_000_000
+#: Distinct words of a task before its dictionary starts anew.
+MAX_WORDS = 2_000_000
 #: Words whose ids are laid out at once; a document is not cut.
 BLOCK_WORDS = 1 << 18
 #: A task takes at least so many bytes of the input files: the more words it has, the more often it meets each again.
@@ -45,9 +50,62 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with white space as Unicode has it."""
-    return pattern.replace(r"(?!\S)", f"(?![^{UNICODE_SPACE}])").replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\s", f"[{UNICODE_SPACE}]")
+def spans(points: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of sorted numbers."""
+    first = np.flatnonzero(np.diff(points, prepend=-2) != 1)
+    return list(zip(points[first].tolist(), points[np.r_[first[1:], len(points)] - 1].tolist(), strict=True))
+
+
+def regex_class(points: np.ndarray) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans(points))
+
+
+CHARACTERS = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+@cache
+def library_class(name: str) -> np.ndarray:
+    """Code points that the library's regex engine has in a class: an encoding whose pattern is the class drops all others."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    step = 1 << 16
+    found = ("".join(map(chr, CHARACTERS[i : i + step])) for i in range(0, len(CHARACTERS), step))
+    return np.array([ord(c) for some in found for c in bytes(probe.encode_ordinary(some)).decode()])
+
+
+def java_classes(spark: SparkSession, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Code points in classes of Java's regex engine, as the executors have it; their runs are what comes to the driver."""
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    rows = spark.range(0x110000).where("id < 55296 or id >= 57344").select("id", char.alias("c"))
+    rows = rows.select("id", F.explode(F.array(*[F.when(F.col("c").rlike(n), F.lit(n)) for n in names])).alias("name")).where("name is not null")
+    run = F.col("id") - F.row_number().over(W.partitionBy("name").orderBy("id"))
+    found = rows.withColumn("run", run).groupBy("name", "run").agg(F.min("id").alias("a"), F.max("id").alias("b")).collect()
+    return {n: np.array(sorted(c for r in found if r["name"] == n for c in range(r.a, r.b + 1)), np.int64) for n in names}
+
+
+_patterns: dict[tuple[str, str], str] = {}
+
+
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    """The library's pattern for Java: white space, letters and numbers are what the library takes for them. Found out once for an application."""
+    key = (spark.sparkContext.applicationId, pattern)
+    if key not in _patterns:
+        java = java_classes(spark, (r"\p{L}", r"\p{N}"))
+        space = regex_class(library_class(r"\s"))
+        more = {n: np.setdiff1d(library_class(n), own) for n, own in java.items()}
+        less = {n: np.setdiff1d(own, library_class(n)) for n, own in java.items()}
+        # The characters in question are rare and high: a test of the lowest comes first.
+        among = lambda x: rf"[\x{{{x[0]:X}}}-\x{{10FFFF}}&&[{regex_class(x)}]]" if len(x) else ""
+        beyond = lambda x: rf"&&[\x{{0}}-\x{{{x[0] - 1:X}}}[^{regex_class(x)}]]" if len(x) else ""
+        own = {n: f"[[{n}{among(more[n])}]{beyond(less[n])}]" for n in java}
+        every, neither = np.union1d(*more.values()), np.setdiff1d(np.union1d(*less.values()), np.union1d(*map(library_class, java)))
+        other = rf"[[[^{space}\p{{L}}\p{{N}}]{among(neither)}]{beyond(every)}]"
+        out = pattern.replace(r"[^\s\p{L}\p{N}]", "\0other").replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", f"[{space}]")
+        for n, x in own.items():
+            out = out.replace(n, x)
+        _patterns[key] = out.replace("\0other", other)
+    return _patterns[key]
 
 
 @cache
@@ -86,6 +144,25 @@ def rank_map(path: str) -> Column:
     return literal(buckets, "array<map<string,string>>")
 
 
+@cache
+def one_by_one(path: str) -> str:
+    """Characters of the tokens whose places must not merge all at once: those in a token of lower rank (which would come next, before
+    the other places), and those that are made of pairs that can overlap."""
+    known, out = ranks(path), set()
+    for token, own in known.items():
+        lefts, rights = set(), set()
+        for i in range(1, len(token)):
+            a, b = known.get(token[:i]), known.get(token[i:])
+            if a is not None and b is not None:
+                out.update(x for x in (a, b) if x > own)
+                if a != b:
+                    lefts.add(a)
+                    rights.add(b)
+        if lefts & rights:
+            out.add(own)
+    return "".join(chr(x + OFFSET) for x in sorted(out))
+
+
 def rank(merges: Column, pair: Column) -> Column:
     found = F.get(merges, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     return F.coalesce(found[pair], F.lit(NO_PAIR))
@@ -96,10 +173,15 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def fold(word: Column, merges: Column) -> Column:
+def pair_ranks(parts: Column, merges: Column) -> Column:
+    """A character for the rank of each two neighbours."""
+    return let(F.split(parts, ""), lambda c: F.array_join(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: rank(merges, F.concat(x, F.get(c, i + 1)))), ""))
+
+
+def fold(word: Column, merges: Column, single: str) -> Column:
     """A character per byte -> a character per id: merges the pair of the lowest rank, the first of several, until there is none.
 
-    The state has the parts and the rank of each pair of neighbours; a merge changes two of these.
+    The state has the parts and the rank of each pair of neighbours; a merge of one place changes two of these. single: see one_by_one.
     """
 
     def merge(s: Column, best: Column, at: Column) -> Column:
@@ -107,22 +189,23 @@ def fold(word: Column, merges: Column) -> Column:
         p, r = s["p"], s["r"]
         left = F.when(at > 1, F.concat(F.left(r, at - 2), rank(merges, F.concat(F.substr(p, at - 1, F.lit(1)), best)))).otherwise(F.lit(""))
         right = F.when(at < F.char_length(r), F.concat(rank(merges, F.concat(best, F.substr(p, at + 2, F.lit(1)))), F.substr(r, at + 2))).otherwise(F.lit(""))
-        return F.struct(F.concat(F.left(p, at - 1), best, F.substr(p, at + 2)).alias("p"), F.concat(left, right).alias("r"))
+        one = F.struct(F.concat(F.left(p, at - 1), best, F.substr(p, at + 2)).alias("p"), F.concat(left, right).alias("r"))
+        every = let(F.replace(p, F.substr(p, at, F.lit(2)), best), lambda q: F.struct(q.alias("p"), F.when(F.char_length(q) > 1, pair_ranks(q, merges)).otherwise(F.lit("")).alias("r")))
+        return F.when((F.call_function("locate", best, r, at + 1) > 0) & ~F.contains(F.lit(single), best), every).otherwise(one)
 
     def step(s: Column, _: Column) -> Column:
         low = F.array_min(F.split(s["r"], ""))
         return F.when(s["r"] == "", s).otherwise(let(low, lambda best: F.when(best == NO_PAIR, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(merge(s, best, F.call_function("instr", s["r"], best)))))
 
     steps = F.sequence(F.lit(1), F.char_length(word) - 1)
-    pairs = F.array_join(F.transform(steps, lambda i: rank(merges, F.substr(word, i, F.lit(2)))), "")
-    folded = F.aggregate(steps, F.struct(word.alias("p"), pairs.alias("r")), step, lambda s: s["p"])
+    folded = F.aggregate(steps, F.struct(word.alias("p"), pair_ranks(word, merges).alias("r")), step, lambda s: s["p"])
     return F.when(F.char_length(word) > 1, folded).otherwise(word)
 
 
 CHUNK = "n array<int>, word array<int>, fresh boolean, parts array<string>, done_at array<int>, done_ids array<array<int>>"
 
 
-def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max_fold: int, max_words: int) -> Iterator[pa.RecordBatch]:
+def number_words(batches: Iterator[pa.RecordBatch], path: str, max_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, words) -> a row per batch: its documents, the number of each of their words, and the words that are new in this task."""
     known = Numbers()
     schema = lambda key: pa.schema([("doc_id", pa.list_(key)), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("parts", pa.list_(pa.string())), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
@@ -138,8 +221,8 @@ def number_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max
             known, fresh = Numbers(), True
         numbers, at = known.of(own)
         new = own.take(pa.array(at)).cast(pa.binary()).to_pylist()
-        done_at = [i for i, w in enumerate(new) if w in table or len(w) > max_fold]
-        done_ids = [[table[new[i]]] if new[i] in table else library(path, pattern).encode_ordinary(new[i].decode()) for i in done_at]
+        done_at = [i for i, w in enumerate(new) if w in table]
+        done_ids = [[table[new[i]]] for i in done_at]
         for i in done_at:
             new[i] = b""
         chars = single[np.frombuffer(b"".join(new), np.uint8)].tobytes()
@@ -177,23 +260,23 @@ def take_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def together(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """df with its scan's splits read several to a task where splits are small, but no fewer tasks than cores."""
+    """df with its scan's splits read several to a task where splits are small, but no fewer tasks than cores. With Spark's own split size it changes nothing; ids are the same either way."""
     spark = df.sparkSession
     split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     parts = df.rdd.getNumPartitions()
     return df.coalesce(min(parts, max(spark.sparkContext.defaultParallelism, -(-parts * split // task_bytes)))) if parts else df
 
 
-def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, max_fold: int = MAX_FOLD, max_words: int = MAX_WORDS, key: Column | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, max_words: int = MAX_WORDS, key: Column | None = None) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text). key: what stands for doc_id in the result, of any type."""
     import public_tokenizers
 
     path, pattern = path or vocabulary(), pattern or public_tokenizers.PATTERN
-    words = F.coalesce(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0)), F.array().cast("array<string>"))
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(java_pattern(docs.sparkSession, pattern)), F.lit(0)), F.array().cast("array<string>"))
     rows = together(docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")).select("doc_id", words.alias("words"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    chunks = rows.mapInArrow(lambda b: number_words(b, path, pattern, max_fold, max_words), f"doc_id array<{kind}>, {CHUNK}")
-    parts = let(rank_map(path), lambda merges: F.transform("parts", lambda w: fold(w, merges)))
+    chunks = rows.mapInArrow(lambda b: number_words(b, path, max_words), f"doc_id array<{kind}>, {CHUNK}")
+    parts = let(rank_map(path), lambda merges: F.transform("parts", lambda w: fold(w, merges, one_by_one(path))))
     chunks = chunks.withColumn("parts", parts)
     return chunks.mapInArrow(take_ids, f"doc_id {kind}, ids array<int>")
 

@@ -447,6 +447,7 @@ def test_bpe(spark, words):
 
     alpha = "aA'sStT  .,1é́ßİ ²x #日\n\t\r\x85 　'll'revm𝔘😀"
     texts = ["".join(RNG.choice(alpha) for _ in range(RNG.randint(0, 40))) for _ in range(1500)] + ["", "x" * 1000, " " * 300 + "x", "é" * 400, None, LONG]
+    texts += ["-" * 30_001, "ab" * 5000, "".join(RNG.choice("abcdeé") for _ in range(3000)), "the" * 2000, "ananas" * 700, "日本語" * 900, " " * 20_000]
     lib = bpe.library(bpe.vocabulary(), public_tokenizers.PATTERN)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = bpe.encoded(df, max_words=words).select("doc_id", "ids", bpe.decoded(F.col("ids")).alias("b")).collect()
@@ -456,6 +457,19 @@ def test_bpe(spark, words):
         assert r.ids == lib.encode_ordinary(t) and bytes(r.b).decode() == t
 
 
+def test_every_letter_of_the_library(spark):
+    """Characters that Java and the library class differently, and every 60th other one, before a contraction and between digits."""
+    import public_tokenizers
+
+    lib = bpe.library(bpe.vocabulary(), public_tokenizers.PATTERN)
+    odd = [np.setxor1d(own, bpe.library_class(n)) for n, own in bpe.java_classes(spark, (r"\p{L}", r"\p{N}")).items()]
+    points = sorted({*map(int, np.concatenate(odd)), *bpe.CHARACTERS[::60]})
+    assert len(points) > 18_000
+    texts = [f"S{chr(c)}'mv 1{chr(c)}2 .{chr(c)}" for c in points]
+    rows = bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert [texts[r.doc_id] for r in rows if r.ids != lib.encode_ordinary(texts[r.doc_id])] == []
+
+
 # --- 9 ---
 
 
