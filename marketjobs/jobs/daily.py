@@ -41,6 +41,10 @@ def rnd(x: str, n: int) -> str:
     return f"(round_even(({x}) * 1e{n}, 0) / 1e{n})"
 
 
+def whole(x: str, n: int) -> str:
+    return f"round_even(({x}) * 1e{n}, 0)::BIGINT"
+
+
 def div(a: str, b: str) -> str:
     return f"(({a})::DOUBLE / nullif(({b})::DOUBLE, 0))"
 
@@ -86,20 +90,25 @@ ORACLE = {
     "williams_r": sql({f"williams_{w}": rnd(div(f"({roll('max', 'high', w)} - close) * -100", f"{roll('max', 'high', w)} - {roll('min', 'low', w)}"), 4) for w in (5, 14)}),
     "cci": sql({f"cci_{w}": f"CASE WHEN len(l{w}) = {w} THEN " + rnd(div(f"(tp * {w} - list_sum(l{w})) * {w}", f"list_sum(list_transform(l{w}, lambda x: abs(x * {w} - list_sum(l{w}))))") + " / 0.015::DOUBLE", 4) + " END" for w in (5, 14)},
                "t AS (SELECT symbol, date, high + low + close AS tp FROM bars)", f"l AS (SELECT *, list(tp) OVER {over(5)} AS l5, list(tp) OVER {over(14)} AS l14 FROM t)", source="l"),
-    "bollinger": sql({"bb_high": rnd(div(f"{mean('close', 20)} + {std('close', 20)} * 2", "close"), 6), "bb_low": rnd(div(f"{mean('close', 20)} - {std('close', 20)} * 2", "close"), 6), "bb_mid_raw": rnd(div(f"{mean('close', 20)} * {std('close', 20)}", "close"), 4)}),
+    "bollinger": sql({"bb_high": "hi", "bb_low": "lo", "bb_mid_raw": "raw", "bb_mid": rnd(z("m", 42), 6)},
+        f"""r AS (SELECT *, {rnd(div(f"{mean('close', 20)} + {std('close', 20)} * 2", "close"), 6)} AS hi, {rnd(div(f"{mean('close', 20)} - {std('close', 20)} * 2", "close"), 6)} AS lo,
+  {rnd(div(f"{mean('close', 20)} * {std('close', 20)}", "close"), 4)} AS raw, {whole(div(f"{mean('close', 20)} * {std('close', 20)}", "close"), 4)} AS m FROM bars)""", source="r"),
     "fwd_return": sql({k: v for r in (1, 2, 5, 10) for k, v in {f"return_pct_{r}": rnd(div(f"({lead('close', r)} - close) * 100", "close"), 4), f"return_{r}": f"CASE WHEN {lead('close', r)} > close THEN 1 WHEN {lead('close', r)} <= close THEN 0 END"}.items()}),
     "past_return": sql({k: v for d in (1, 5) for k, v in {f"past_ret_pct_{d}": f"p{d}", f"past_ret_{d}": f"f{d}", f"past_ret_old_pct_{d}": f"o{d}", f"sum10_past_ret_{d}": f"(sum(f{d}) OVER {over(10)})::BIGINT"}.items()},
         "f AS (SELECT symbol, date, " + ", ".join(f"{rnd(div(f'(close - {lag("close", d)}) * 100', 'close'), 4)} AS p{d}, CASE WHEN close > {lag('close', d)} THEN 1 ELSE 0 END AS f{d}, {rnd(div(f'(close - {lag("close", d)}) * 100', lag('close', d)), 4)} AS o{d}" for d in (1, 5)) + " FROM bars)", source="f"),
     "obv": sql({**{k: v for w in (5, 10) for k, v in {f"obv_roc_{w}": rnd(div(f"v - {lag('v', w)}", lag("v", w)), 6), f"obv_z_{w}": rnd(z("v", w), 6)}.items()}, "obv": rnd(z("v", 42), 6)}, PREV, f"v AS (SELECT symbol, date, (sum({UP} - {DOWN}) OVER {UPTO})::BIGINT AS v FROM p)", source="v"),
-    "vol_ratio": sql({f"vol_ratio_{w}": f"coalesce({rnd(div(roll('sum', 'up', w), roll('sum', 'down', w)), 6)}, 0)" for w in (10, 25)}, PREV, f"v AS (SELECT symbol, date, {UP} AS up, {DOWN} AS down FROM p)", source="v"),
+    "vol_ratio": sql({k: v for w in (10, 25, 50, 100) for k, v in {f"vol_ratio_{w}": f"r{w} / 1e6::DOUBLE", f"vol_ratio_{w}_z": rnd(z(f"r{w}", 42), 6)}.items()}, PREV, f"v AS (SELECT symbol, date, {UP} AS up, {DOWN} AS down FROM p)",
+        "r AS (SELECT symbol, date, " + ", ".join(f"coalesce({whole(div(roll('sum', 'up', w), roll('sum', 'down', w)), 6)}, 0) AS r{w}" for w in (10, 25, 50, 100)) + " FROM v)", source="r"),
     "cmf": sql({f"cmf_{w}": rnd(div(roll("sum", "flow", w), roll("sum", "volume", w)), 6) for w in (10, 20)}, f"f AS (SELECT *, {FLOW} AS flow FROM bars)", source="f"),
-    "adl": sql({"adl": f"(sum(round_even({FLOW} * 1000, 0)::BIGINT) OVER {UPTO})::DOUBLE / 1000.0"}),
+    "adl": sql({"adl": "a::DOUBLE / 1000.0", "adl_z": rnd(z("a", 42), 6)}, f"a AS (SELECT symbol, date, (sum(round_even({FLOW} * 1000, 0)::BIGINT) OVER {UPTO})::BIGINT AS a FROM bars)", source="a"),
     "vroc": sql({f"vroc_{w}": rnd(div(f"volume - {lag('volume', w)}", lag("volume", w)), 6) for w in (3, 5, 10)}),
     "vol_spike": sql({f"vol_spike_{w}": rnd(div("volume", f"CASE WHEN count(*) OVER {over(w)} = {w} THEN quantile_cont(volume::DOUBLE, 0.5) OVER {over(w)} END"), 6) for w in (10, 20)}),
     "atr": sql({k: v for w in (7, 14, 21) for k, v in {f"atr_{w}": rnd(f"s{w}::DOUBLE / {w}.0", 4), f"atr_z_{w}": rnd(z(f"s{w}", 42), 6)}.items()},
                f"t AS (SELECT symbol, date, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM bars)",
                "s AS (SELECT symbol, date, " + ", ".join(f"{roll('sum', 'tr', w)}::BIGINT AS s{w}" for w in (7, 14, 21)) + " FROM t)", source="s"),
-    "volatility": sql({f"volatility_{w}": f"coalesce({rnd(roll('stddev_samp', 'ret', w), 6)}, 0)" for w in (5, 10, 25)}, f"r AS (SELECT symbol, date, {div(f'close - {lag("close")}', lag('close'))} AS ret FROM bars)", source="r"),
+    "volatility": sql({k: v for w in (5, 10, 25) for k, v in {f"volatility_{w}": f"coalesce(v{w} / 1000.0::DOUBLE, 0)", f"volatility_{w}_z": f"coalesce({rnd(z(f'v{w}', 42), 6)}, 0)", f"price_vol_ratio_{w}_z": f"coalesce({rnd(z(f'p{w}', 42), 6)}, 0)"}.items()},
+        f"r AS (SELECT symbol, date, close, {div(f'close - {lag("close")}', lag('close'))} AS ret FROM bars)", "v AS (SELECT symbol, date, close, " + ", ".join(f"{whole(roll('stddev_samp', 'ret', w), 3)} AS v{w}" for w in (5, 10, 25)) + " FROM r)",
+        "q AS (SELECT *, " + ", ".join(f"{whole(div('close', f'v{w} / 1000.0::DOUBLE'), 0)} AS p{w}" for w in (5, 10, 25)) + " FROM v)", source="q"),
     "num_days": "WITH RECURSIVE " + BARS.strip() + f""",
 m AS (SELECT symbol, date, row_number() OVER {S} AS rn, close * 10 AS c, {roll('sum', 'close', 10)} AS m FROM bars),
 n AS (
@@ -112,9 +121,9 @@ SELECT symbol, date, v AS num_days_10 FROM n""",
         f"l AS (SELECT * FROM (SELECT symbol, date, CASE WHEN {lead('close', 5)} > close THEN 1 WHEN {lead('close', 5)} <= close THEN 0 END AS label FROM bars) WHERE label IS NOT NULL)",
         f"i AS (SELECT *, row_number() OVER {S} - row_number() OVER (PARTITION BY symbol, label ORDER BY date) AS isle FROM l)",
         "t AS (SELECT symbol, date, label, (row_number() OVER (PARTITION BY symbol, label, isle ORDER BY date) * CASE label WHEN 1 THEN 1 ELSE -1 END)::INT AS streak FROM i)", source="t"),
-    "context_ffill": sql({n: f"last_value({n} IGNORE NULLS) OVER {UPTO}" for n in ("vx_change", "vx_cross", "vx_std", "sk_change", "sk_cross", "sk_std")},
+    "context_ffill": sql({n: f"last_value({n} IGNORE NULLS) OVER {UPTO}" for s in ("vx", "sk") for n in (f"{s}_change_1", f"{s}_change_5", f"{s}_change_10", f"{s}_cross", f"{s}_std")},
         "c AS (SELECT 'context' AS symbol, l_shipdate::DATE AS date, max(CASE WHEN l_returnflag = 'R' THEN round(l_extendedprice * 100)::BIGINT END) AS vx, min(CASE WHEN l_returnflag = 'N' THEN round(l_extendedprice * 100)::BIGINT END) AS sk FROM lineitem WHERE day(l_shipdate) % 7 <> 0 GROUP BY 2)",
-        "x AS (SELECT date, " + ", ".join(f"{rnd(div(f'{n} - {lag(n)}', lag(n)), 6)} AS {n}_change, CASE WHEN {mean(n, 3)} > {mean(n, 20)} THEN 1 ELSE -1 END AS {n}_cross, {rnd(std(n, 5), 1)} AS {n}_std" for n in ("vx", "sk")) + " FROM c)",
+        "x AS (SELECT date, " + ", ".join(", ".join(f"{rnd(div(f'{n} - {lag(n, d)}', lag(n, d)), 6)} AS {n}_change_{d}" for d in (1, 5, 10)) + f", CASE WHEN {mean(n, 3)} > {mean(n, 20)} THEN 1 ELSE -1 END AS {n}_cross, {rnd(std(n, 5), 1)} AS {n}_std" for n in ("vx", "sk")) + " FROM c)",
         "j AS (SELECT symbol, bars.date, x.* EXCLUDE (date) FROM bars LEFT JOIN x ON bars.date = x.date)", source="j"),
     "flagship": "WITH " + BARS.strip() + f""",
 f AS (SELECT symbol, close * 10 > {roll('sum', 'close', 10)} AS above, CASE WHEN {lead('close', 5)} > close THEN 1 WHEN {lead('close', 5)} <= close THEN 0 END AS up FROM bars)

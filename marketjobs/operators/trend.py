@@ -6,37 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rolling import div, lag, last, mean, rnd, roll, series, std_exact, upto
+from ..functions.rolling import KEEP, div, lag, last, mean, rnd, roll, series, upto, z_exact
 
 LONG, SHORT = (10, 25, 50, 100, 200), (5, 10, 15)
 
 
-def sma_ratio(bars: DataFrame, windows=SHORT) -> DataFrame:
+def sma_ratio(bars: DataFrame, windows=SHORT, keep=KEEP) -> DataFrame:
     """close / SMA_w, and the ratio of each two neighbouring averages."""
     close = F.col("close")
     out = [rnd(div(close, mean(close, w)), 6).alias(f"sma_{w}") for w in windows]
     out += [rnd(div(mean(close, a), mean(close, b)), 6).alias(f"sma_{a}_{b}") for a, b in zip(windows, windows[1:], strict=False)]
-    return bars.select("symbol", "date", *out)
+    return bars.select(*keep, *out)
 
 
-def close_rel(bars: DataFrame, windows=SHORT) -> DataFrame:
+def close_rel(bars: DataFrame, windows=SHORT, keep=KEEP) -> DataFrame:
     """close over the highest high and the lowest low; high and low over the same."""
     out = []
     for w in windows:
         top, bottom = roll(F.max, F.col("high"), w), roll(F.min, F.col("low"), w)
         out += [rnd(div(F.col("close"), top), 6).alias(f"close_rel_max_{w}"), rnd(div(F.col("close"), bottom), 6).alias(f"close_rel_min_{w}")]
         out += [rnd(div(F.col("high"), top), 6).alias(f"rel_max_{w}"), rnd(div(F.col("low"), bottom), 6).alias(f"rel_min_{w}")]
-    return bars.select("symbol", "date", *out)
+    return bars.select(*keep, *out)
 
 
-def sma_lag(bars: DataFrame, windows=(10, 25), look=20) -> DataFrame:
+def sma_lag(bars: DataFrame, windows=(10, 25), look=20, keep=KEEP) -> DataFrame:
     """SMA_w over its own lowest and highest value of the last `look` rows."""
-    out = bars.select("symbol", "date", *[mean(F.col("close"), w).alias(f"s{w}") for w in windows])
+    out = bars.select(*keep, *[mean(F.col("close"), w).alias(f"s{w}") for w in windows])
     cols = [x for w in windows for x in (rnd(div(F.col(f"s{w}"), roll(F.min, F.col(f"s{w}"), look)), 6).alias(f"sma_{w}_rel_min"), rnd(div(F.col(f"s{w}"), roll(F.max, F.col(f"s{w}"), look)), 6).alias(f"sma_{w}_rel_max"))]
-    return out.select("symbol", "date", *cols)
+    return out.select(*keep, *cols)
 
 
-def rows_since(bars: DataFrame, windows=(10, 50)) -> DataFrame:
+def rows_since(bars: DataFrame, windows=(10, 50), keep=KEEP) -> DataFrame:
     """Rows since the first highest high and the first lowest low of a window."""
     rn = F.row_number().over(series())
     out = bars.withColumn("rn", rn)
@@ -46,19 +46,19 @@ def rows_since(bars: DataFrame, windows=(10, 50)) -> DataFrame:
         bottom = F.min(F.struct("low", F.col("rn").alias("at"))).over(last(w))
         full = F.col("rn") >= w
         cols += [F.when(full, F.col("rn") + top["at"]).alias(f"since_max_{w}"), F.when(full, F.col("rn") - bottom["at"]).alias(f"since_min_{w}")]
-    return out.select("symbol", "date", *cols)
+    return out.select(*keep, *cols)
 
 
-def open_gap(bars: DataFrame) -> DataFrame:
-    return bars.select("symbol", "date", rnd(div(F.col("open"), lag("close")), 6).alias("open_gap"))
+def open_gap(bars: DataFrame, keep=KEEP) -> DataFrame:
+    return bars.select(*keep, rnd(div(F.col("open"), lag("close")), 6).alias("open_gap"))
 
 
-def zscores(bars: DataFrame, windows=(5, 10, 25, 50)) -> DataFrame:
+def zscores(bars: DataFrame, windows=(5, 10, 25, 50), keep=KEEP) -> DataFrame:
     close = F.col("close")
-    return bars.select("symbol", "date", *[rnd(div(close - mean(close, w), std_exact(close, w)), 6).alias(f"zscore_{w}") for w in windows])
+    return bars.select(*keep, *[rnd(z_exact(close, w), 6).alias(f"zscore_{w}") for w in windows])
 
 
-def norm_slope(bars: DataFrame, windows=(10, 25, 50)) -> DataFrame:
+def norm_slope(bars: DataFrame, windows=(10, 25, 50), keep=KEEP) -> DataFrame:
     """Least-squares slope of close / first close over places 0..w-1, from exact sums."""
     rn, close = F.col("rn"), F.col("close")
     out, cols = bars.withColumn("rn", F.row_number().over(series()).cast("long")), []
@@ -68,7 +68,7 @@ def norm_slope(bars: DataFrame, windows=(10, 25, 50)) -> DataFrame:
         top = F.lit(2) * (sxy - (rn - w + 1) * s) - F.lit(w - 1) * s
         slope = top.cast("double") * F.lit(6.0) / F.lit(float(w * (w * w - 1)))
         cols.append(rnd(div(slope, lag("close", w - 1)), 6).alias(f"slope_{w}"))
-    return out.select("symbol", "date", *cols)
+    return out.select(*keep, *cols)
 
 
 def run_counter(rows: DataFrame, sign: Column, name: str) -> DataFrame:
@@ -100,8 +100,8 @@ def lead_of(c: str) -> Column:
     return F.lead(c).over(series())
 
 
-def num_days(bars: DataFrame, w: int = 10) -> DataFrame:
+def num_days(bars: DataFrame, w: int = 10, keep=KEEP) -> DataFrame:
     """Rows above (positive) or below the w-row average."""
-    out = bars.select("symbol", "date", (F.col("close") * w).alias("c"), roll(F.sum, F.col("close"), w).alias("m"))
+    out = bars.select(*keep, (F.col("close") * w).alias("c"), roll(F.sum, F.col("close"), w).alias("m"))
     sign = F.when(F.col("c") > F.col("m"), 1).when(F.col("c") < F.col("m"), -1).otherwise(0)
-    return run_counter(out, sign, f"num_days_{w}").select("symbol", "date", f"num_days_{w}")
+    return run_counter(out, sign, f"num_days_{w}").select(*keep, f"num_days_{w}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import div, lag, rnd, roll, std_exact, mean, upto
+from ..functions.rolling import KEEP, div, lag, mean, rnd, roll, std_exact, steps, upto, z_exact
 
 
 def up_down() -> tuple[Column, Column]:
@@ -13,21 +13,23 @@ def up_down() -> tuple[Column, Column]:
     return F.when(c > p, F.col("volume")).otherwise(0), F.when(c < p, F.col("volume")).otherwise(0)
 
 
-def obv(bars: DataFrame, windows=(5, 10), z: int = 42) -> DataFrame:
+def obv(bars: DataFrame, windows=(5, 10), z: int = 42, keep=KEEP) -> DataFrame:
     """On-balance volume, its rate of change and scores; the sum itself is replaced by its z-score."""
     out = bars.withColumn("prev", lag("close"))
     up, down = up_down()
     out = out.withColumn("obv", F.sum(up - down).over(upto()))
     cols = [x for w in windows for x in (rnd(div(F.col("obv") - lag("obv", w), lag("obv", w)), 6).alias(f"obv_roc_{w}"), rnd(div(F.col("obv") - mean(F.col("obv"), w), std_exact(F.col("obv"), w)), 6).alias(f"obv_z_{w}"))]
-    return out.select("symbol", "date", *cols, rnd(div(F.col("obv") - mean(F.col("obv"), z), std_exact(F.col("obv"), z)), 6).alias("obv"))
+    return out.select(*keep, *cols, rnd(div(F.col("obv") - mean(F.col("obv"), z), std_exact(F.col("obv"), z)), 6).alias("obv"))
 
 
-def vol_ratio(bars: DataFrame, windows=(10, 25)) -> DataFrame:
-    """Volume of rising over falling days; 0 where unknown, warm-up included."""
+def vol_ratio(bars: DataFrame, windows=(10, 25, 50, 100), z: int = 42, keep=KEEP) -> DataFrame:
+    """Volume of rising over falling days, 0 where unknown, warm-up included; and its score, from millionths."""
     out = bars.withColumn("prev", lag("close"))
     up, down = up_down()
     out = out.withColumn("up", up).withColumn("down", down)
-    return out.select("symbol", "date", *[F.coalesce(rnd(div(roll(F.sum, F.col("up"), w), roll(F.sum, F.col("down"), w)), 6), F.lit(0.0)).alias(f"vol_ratio_{w}") for w in windows])
+    out = out.select("*", *[F.coalesce(steps(div(roll(F.sum, F.col("up"), w), roll(F.sum, F.col("down"), w)), 6), F.lit(0)).alias(f"__r{w}") for w in windows])
+    ratio = lambda w: F.col(f"__r{w}")
+    return out.select(*keep, *[x for w in windows for x in ((ratio(w) / F.lit(1e6)).alias(f"vol_ratio_{w}"), rnd(z_exact(ratio(w), z), 6).alias(f"vol_ratio_{w}_z"))])
 
 
 def flow() -> Column:
@@ -36,22 +38,22 @@ def flow() -> Column:
     return F.coalesce(place * F.col("volume"), F.lit(0.0))
 
 
-def cmf(bars: DataFrame, windows=(10, 20)) -> DataFrame:
+def cmf(bars: DataFrame, windows=(10, 20), keep=KEEP) -> DataFrame:
     out = bars.withColumn("flow", flow())
-    return out.select("symbol", "date", *[rnd(div(roll(F.sum, F.col("flow"), w), roll(F.sum, F.col("volume"), w)), 6).alias(f"cmf_{w}") for w in windows])
+    return out.select(*keep, *[rnd(div(roll(F.sum, F.col("flow"), w), roll(F.sum, F.col("volume"), w)), 6).alias(f"cmf_{w}") for w in windows])
 
 
-def adl(bars: DataFrame) -> DataFrame:
-    """Accumulation and distribution: the running sum of the flow, each day's rounded to thousandths, which sum exactly."""
-    steps = F.rint(flow() * 1000).cast("long")
-    return bars.select("symbol", "date", (F.sum(steps).over(upto()) / F.lit(1000.0)).alias("adl"))
+def adl(bars: DataFrame, z: int = 42, keep=KEEP) -> DataFrame:
+    """Accumulation and distribution: the running sum of the flow, each day's rounded to thousandths, which sum exactly; and its score."""
+    out = bars.select("*", F.sum(steps(flow(), 3)).over(upto()).alias("__adl"))
+    return out.select(*keep, (F.col("__adl") / F.lit(1000.0)).alias("adl"), rnd(z_exact(F.col("__adl"), z), 6).alias("adl_z"))
 
 
-def vroc(bars: DataFrame, windows=(3, 5, 10)) -> DataFrame:
-    return bars.select("symbol", "date", *[rnd(div(F.col("volume") - lag("volume", w), lag("volume", w)), 6).alias(f"vroc_{w}") for w in windows])
+def vroc(bars: DataFrame, windows=(3, 5, 10), keep=KEEP) -> DataFrame:
+    return bars.select(*keep, *[rnd(div(F.col("volume") - lag("volume", w), lag("volume", w)), 6).alias(f"vroc_{w}") for w in windows])
 
 
-def vol_spike(bars: DataFrame, windows=(10, 20)) -> DataFrame:
+def vol_spike(bars: DataFrame, windows=(10, 20), keep=KEEP) -> DataFrame:
     """Volume over its rolling median."""
     median = lambda w: roll(lambda x: F.percentile(x, F.lit(0.5)), F.col("volume"), w)
-    return bars.select("symbol", "date", *[rnd(div(F.col("volume"), median(w)), 6).alias(f"vol_spike_{w}") for w in windows])
+    return bars.select(*keep, *[rnd(div(F.col("volume"), median(w)), 6).alias(f"vol_spike_{w}") for w in windows])
