@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rolling import lag, lead
-from ..operators import fit, folds, momentum, scan, trend, volume
+from ..functions.rolling import div as safe_div
+from ..functions.rolling import lag, lead, without_inf
+from ..operators import fit, folds, momentum, prune, scan, trend, volatility, volume
 from ..sources.tables import bars_daily
 from .daily import BARS, S, div, over, rnd
 from .daily import ORACLE as DAILY
 
 FEATURES = ["ret1", "gap", "span", "vol"]
+FOLDS = folds.Folds(train=folds.DAYS_A_YEAR, test=5, step=5, purge=5)
 
 
 def macd(spark, sf_dir):
@@ -22,19 +24,21 @@ def adx(spark, sf_dir):
     return scan.adx(bars_daily(spark, sf_dir))
 
 
-def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with label, four features (unknown where a price before is zero) and a missing value's infinity as 0, in slices of folds."""
     bars = bars_daily(spark, sf_dir)
     label = F.when(lead("close", 5) > F.col("close"), 1).when(lead("close", 5) <= F.col("close"), 0)
-    rows = bars.select("symbol", "date", label.alias("label"), (F.col("close") / lag("close")).alias("ret1"), (F.col("open") / lag("close")).alias("gap"), (F.col("high") / F.col("low")).alias("span"), F.col("volume").cast("double").alias("vol"))
-    return folds.with_folds(folds.numbered(rows), 1, None, 5, 5, 5)
+    features = {"ret1": safe_div(F.col("close"), lag("close")), "gap": safe_div(F.col("open"), lag("close")), "span": safe_div(F.col("high"), F.col("low")), "vol": F.col("volume").cast("double")}
+    rows = bars.select("symbol", "date", label.alias("label"), *[x.alias(n) for n, x in features.items()])
+    return folds.with_slices(folds.numbered(without_inf(rows, FEATURES)), FOLDS)
 
 
 def walk_forward_fit(spark, sf_dir):
-    return fit.walk_forward(folded(spark, sf_dir), FEATURES)
+    return fit.walk_forward(sliced(spark, sf_dir), FEATURES, FOLDS)
 
 
 def perm_importance(spark, sf_dir):
-    return fit.importance(folded(spark, sf_dir), FEATURES)
+    return fit.importance(sliced(spark, sf_dir), FEATURES, FOLDS)
 
 
 def importance_rollup(spark, sf_dir):
@@ -45,17 +49,44 @@ def importance_chosen(spark, sf_dir):
     return fit.chosen_features(perm_importance(spark, sf_dir))
 
 
+#: Operators of the panel in order; of equal names the first one stays.
+PANEL = (
+    trend.sma_ratio, trend.close_rel, trend.sma_lag, trend.rows_since, trend.open_gap, trend.zscores, trend.norm_slope, trend.num_days, momentum.rsi, momentum.williams_r, momentum.cci, momentum.bollinger,
+    volume.obv, volume.vol_ratio, volume.cmf, volume.adl, volume.vroc, volume.vol_spike, volatility.atr, volatility.volatility, scan.macd, scan.adx, momentum.past_return, momentum.fwd_return,
+)
+#: Sets of the panel's columns by the beginnings of their names, as a catalog.
+SETS = {
+    "ma": ("sma_", "close_rel_", "rel_", "since_", "open_gap", "num_days"), "rsi": ("rsi_",), "macd": ("macd",), "volume": ("obv", "vol_ratio_", "cmf_", "adl", "vroc_", "vol_spike_"), "atr_adx": ("atr_", "plus_di", "minus_di", "adx"),
+    "volatility": ("volatility_", "price_vol_"), "slope": ("slope_", "zscore_", "williams_", "cci_", "bb_"), "past_return": ("past_ret_", "sum10_"),
+}
+
+
 def feature_panel(spark, sf_dir):
-    """Features and labels of a day in one row: the parts share partitioning and order, so joins on (symbol, date) move the bars once each; of equal names the first one stays."""
-    bars = bars_daily(spark, sf_dir)
-    out = None
-    for part in (trend.sma_ratio(bars), momentum.past_return(bars), momentum.williams_r(bars), volume.vroc(bars), momentum.fwd_return(bars)):
-        fresh = [c for c in part.columns if out is None or c not in out.columns]
-        out = part if out is None else out.join(part.select("symbol", "date", *fresh), ["symbol", "date"])
-    return out
+    """All features and labels of a day in one row: each operator hands on what it is given, and all windows are by symbol in order of date, so the bars move once and nothing is joined."""
+    out = bars_daily(spark, sf_dir)
+    own = out.columns[2:]
+    for operator in PANEL:
+        known = out.columns
+        more = operator(out, keep=tuple(known))
+        out = more.select(*dict.fromkeys(more.columns))
+    return out.drop(*own)
+
+
+def catalog_of(spark: SparkSession, columns: list[str]) -> DataFrame:
+    """set_name, col_name, pos: the columns of each set, in order, by the pattern of their names."""
+    rows = [(name, c, i) for name, starts in SETS.items() for i, c in enumerate(c for c in columns if c.startswith(starts))]
+    return spark.createDataFrame(rows, "set_name string, col_name string, pos int")
+
+
+def set_coverage(spark, sf_dir):
+    """By feature set and column: how many days of the panel have a value."""
+    panel = feature_panel(spark, sf_dir)
+    names = [c for c in panel.columns if c not in ("symbol", "date")]
+    counts = panel.agg(F.array(*[F.struct(F.lit(c).alias("col_name"), F.count(c).alias("days")) for c in names]).alias("x")).select(F.inline("x"))
+    return prune.resolved(catalog_of(spark, names)).join(counts, "col_name").select("set_name", "col_name", "days")
 
 
-QUERIES = {f.__name__: f for f in (macd, adx, walk_forward_fit, perm_importance, importance_rollup, importance_chosen, feature_panel)}
+QUERIES = {f.__name__: f for f in (macd, adx, walk_forward_fit, perm_importance, importance_rollup, importance_chosen, feature_panel, set_coverage)}
 
 NUM = f"b AS (SELECT *, row_number() OVER {S} AS rn FROM bars)"
 
@@ -80,4 +111,10 @@ p AS (SELECT symbol, date, {div('CASE WHEN rn > 1 THEN u / n END', 'atr')} * 100
 x AS (SELECT *, {div('abs(plus - minus)', 'plus + minus')} * 100 AS dx FROM p)
 SELECT symbol, date, {rnd('plus', 3)} AS plus_di, {rnd('minus', 3)} AS minus_di, CASE WHEN count(dx) OVER {over(14)} = 14 THEN {rnd(f'avg(dx) OVER {over(14)}', 3)} END AS adx FROM x""",
 }
-ORACLE["feature_panel"] = "SELECT * FROM " + " JOIN ".join(f"({DAILY[n]}) t{i}" + (" USING (symbol, date)" if i else "") for i, n in enumerate(("sma_ratio", "past_return", "williams_r", "vroc", "fwd_return")))
+PARTS = [ORACLE.get(f.__name__) or DAILY["zscore" if f is trend.zscores else f.__name__] for f in PANEL]
+ORACLE["feature_panel"] = "SELECT * FROM " + " JOIN ".join(f"({part}) t{i}" + (" USING (symbol, date)" if i else "") for i, part in enumerate(PARTS))
+ORACLE["set_coverage"] = f"""
+WITH panel AS ({ORACLE["feature_panel"]}),
+n AS (UNPIVOT (SELECT count(COLUMNS(* EXCLUDE (symbol, date))) FROM panel) ON COLUMNS(*) INTO NAME col_name VALUE days),
+s AS (SELECT * FROM (VALUES {', '.join(f"('{name}', '{start}')" for name, starts in SETS.items() for start in starts)}) v(set_name, start))
+SELECT set_name, col_name, days FROM n JOIN s ON starts_with(col_name, start)"""

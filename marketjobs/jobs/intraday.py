@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import minutes as m
-from ..sources.tables import bars_minute, calendar
-from .daily import div, rnd
+from ..operators import momentum, trend
+from ..sources.tables import bars_minute, bars_of_days, calendar
+from .daily import S, div, lead, mean, rnd
 
 INTERVALS = (5, 15, 60)
 
@@ -45,7 +47,27 @@ def session_roll3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.rolled(session_pct(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (session_labels, session_ratios, session_pct, session_magnitude, first_last_range, session_roll3)}
+def session_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each session, and whether it closes early, from the time of its close."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
+    return m.with_session(calendar(bars_minute(spark, sf_dir).select(F.to_date(local).alias("date"))))
+
+
+def session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares, magnitudes and ranges of each day with a first interval, with their means over three days: one grouping, and no join."""
+    days = m.by_day(ratios(spark, sf_dir), *[f(s) for s in m.SESSIONS for f in (m.percent, m.magnitude)], *[m.ranges(i) for i in INTERVALS]).where("first_5m is not null")
+    return days.join(m.rolled(days), ["symbol", "date"])
+
+
+def minute_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session features of the minutes with daily features and labels of the same symbols and days."""
+    daily = bars_of_days(labelled(spark, sf_dir))
+    features = momentum.fwd_return(trend.sma_ratio(daily, (3, 5), keep=("symbol", "date", "close")), (1, 2), keep=("symbol", "date", "sma_3", "sma_5", "sma_3_5"))
+    return session_features(spark, sf_dir).select("symbol", "date", *MINUTE_COLUMNS).join(features, ["symbol", "date"])
+
+
+MINUTE_COLUMNS = ("first_5m", "last_5m", "early_open_up", "early_open_pos_avg", "early_open_up_roll3", "midday_flat_roll3")
+QUERIES = {f.__name__: f for f in (session_calendar, session_features, minute_panel, session_labels, session_ratios, session_pct, session_magnitude, first_last_range, session_roll3)}
 
 FINE = "CASE " + " ".join(f"WHEN {f'tod <= 570 + session_duration AND tod >= {a}' if b is None else f'tod > 570 + session_duration AND tod < {b}' if a is None else f'tod >= {a} AND tod < {b}'} THEN '{n}'" for n, a, b in m.DETAIL) + " ELSE 'other' END"
 BASE = f"""WITH e AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS minute, {{'ts': ts, 'id': event_id}} AS stamp, round(value * 100)::BIGINT AS cents FROM events),
@@ -94,3 +116,16 @@ ORACLE = {
     "first_last_range": RATIOS + "\nSELECT * FROM (SELECT symbol, date, " + ", ".join(_range(i) for i in INTERVALS) + " FROM r GROUP BY symbol, date) WHERE first_5m IS NOT NULL",
     "session_roll3": RATIOS + f", d AS ({PCT})\nSELECT symbol, date, " + ", ".join(f"{rnd(f'avg({c}) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 4)} AS {c}_roll3" for c in KNOWN) + " FROM d",
 }
+NAMES = [f"{s}_{k}" for s in m.SESSIONS for k in ("up", "down", "flat", "pos_avg", "pos_max", "neg_avg", "neg_min")] + [f"{n}_{i}m" for i in INTERVALS for n in ("first", "last")]
+ROLLED = [c for c in NAMES if not any(x in c for x in ("close_", "post_", "overnight_"))]
+FEATURES = RATIOS + ",\nd AS (SELECT symbol, date, " + ",\n".join([f(s) for s in m.SESSIONS for f in (_pct, _mag)] + [_range(i) for i in INTERVALS]) + """ FROM r GROUP BY symbol, date),
+s AS (SELECT *, """ + ", ".join(f"{rnd(f'avg({c}) OVER w', 4)} AS {c}_roll3" for c in ROLLED) + """ FROM d WHERE first_5m IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+ORACLE["session_calendar"] = BASE + "\nSELECT date, date + to_hours(CASE WHEN session_duration = 210 THEN 13 ELSE 16 END) AS close_et, session_duration, session_duration < 390 AS is_early_close FROM cal"
+ORACLE["session_features"] = FEATURES + "\nSELECT * FROM s"
+ORACLE["minute_panel"] = FEATURES + f""",
+y AS (SELECT symbol, date, arg_max(close, ts) AS close FROM l GROUP BY symbol, date),
+f AS (
+  SELECT symbol, date, {", ".join(f"{rnd(div('close', mean('close', w)), 6)} AS sma_{w}" for w in (3, 5))}, {rnd(div(mean('close', 3), mean('close', 5)), 6)} AS sma_3_5,
+    {", ".join(f"{rnd(div(f'({lead("close", r)} - close) * 100', 'close'), 4)} AS return_pct_{r}, CASE WHEN {lead('close', r)} > close THEN 1 WHEN {lead('close', r)} <= close THEN 0 END AS return_{r}" for r in (1, 2))}
+  FROM y)
+SELECT symbol, date, {", ".join(MINUTE_COLUMNS)}, f.* EXCLUDE (symbol, date) FROM s JOIN f USING (symbol, date)"""

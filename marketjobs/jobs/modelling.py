@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rolling import lag, lead, rnd
+from ..functions.rolling import div, lag, lead, rnd
 from ..operators import folds, prune
 from ..sources.tables import bars_daily
 from .daily import BARS, S
+from .daily import div as sql_div
 from .daily import rnd as sql_rnd
 
 YEARS, RUNS, STEP, TEST, PURGE = 1, 20, 5, 5, 5
 FEATURES = ["ret1", "ret2", "gap", "span", "vol"]
+REPRESENTED = 0.3
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +54,13 @@ def grid(spark, sf_dir):
     """The configurations of each symbol that has rows for them."""
     params = folds.grid(spark, horizon=[2, 5], train_years=[1, 3], min_feats=[5, 10])
     sizes = numbered(spark, sf_dir).groupBy("symbol").agg(F.max("rn").alias("n"))
-    return sizes.join(F.broadcast(params), F.col("n") >= F.col("train_years") * folds.DAYS_A_YEAR + F.col("horizon")).select("symbol", "horizon", "train_years", "min_feats")
+    return sizes.join(params, F.col("n") >= F.col("train_years") * folds.DAYS_A_YEAR + F.col("horizon")).select("symbol", "horizon", "train_years", "min_feats")
 
 
 def catalog(spark, sf_dir):
     """Sets of columns from the data: a set per order status, its columns the priorities in order, some in several sets."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lower("o_orderstatus").alias("set_name"), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")).alias("col_name"), "o_orderkey")
-    return rows.where("o_orderkey % 3 = 0 or set_name = 'f'").groupBy("set_name", "col_name").agg(F.min("o_orderkey").alias("pos"))
+    return rows.groupBy("set_name", "col_name").agg(F.min("o_orderkey").alias("pos"))
 
 
 def set_pairs(spark, sf_dir):
@@ -78,7 +80,7 @@ def normalize_names(spark, sf_dir):
 def features(spark, sf_dir):
     bars = bars_daily(spark, sf_dir)
     one = lag("close")
-    return bars.select("symbol", (F.col("close") / one).alias("ret1"), (F.col("close") / lag("close", 2)).alias("ret2"), (F.col("open") / one).alias("gap"), (F.col("high") / F.col("low")).alias("span"), F.col("volume").cast("double").alias("vol"), (lead("close", 5) / F.col("close")).alias("ahead"))
+    return bars.select("symbol", div(F.col("close"), one).alias("ret1"), div(F.col("close"), lag("close", 2)).alias("ret2"), div(F.col("open"), one).alias("gap"), div(F.col("high"), F.col("low")).alias("span"), F.col("volume").cast("double").alias("vol"), div(lead("close", 5), F.col("close")).alias("ahead"))
 
 
 def corr_pairs(spark, sf_dir):
@@ -93,7 +95,12 @@ def target_corr(spark, sf_dir):
     return prune.target_corr(features(spark, sf_dir), FEATURES, "ahead").select("col", "pos", rnd(F.col("r"), 6).alias("r"))
 
 
-QUERIES = {f.__name__: f for f in (fold_plan, fold_rows, fold_class_dist, walk_forward_rate, grid, set_pairs, resolve_sets, normalize_names, corr_pairs, corr_prune, target_corr)}
+def representatives(spark, sf_dir):
+    rows = features(spark, sf_dir)
+    return prune.representatives(prune.correlations(rows, FEATURES), prune.target_corr(rows, FEATURES, "ahead"), REPRESENTED)
+
+
+QUERIES = {f.__name__: f for f in (representatives, fold_plan, fold_rows, fold_class_dist, walk_forward_rate, grid, set_pairs, resolve_sets, normalize_names, corr_pairs, corr_prune, target_corr)}
 
 ROWS = "WITH " + BARS.strip() + f""",
 lab AS (
@@ -107,8 +114,8 @@ plan AS (
 fold AS (
   SELECT num.*, run, 'test' AS part FROM num JOIN plan ON num.symbol = plan.symbol AND rn BETWEEN test_start AND test_end
   UNION ALL SELECT num.*, run, 'train' FROM num JOIN plan ON num.symbol = plan.symbol AND rn BETWEEN train_start AND train_end)"""
-CAT = "WITH cat AS (SELECT lower(o_orderstatus) AS set_name, lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS col_name, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 3 = 0 OR lower(o_orderstatus) = 'f' GROUP BY 1, 2),\npairs AS (SELECT a.s || '-' || b.s AS name FROM (SELECT DISTINCT set_name AS s FROM cat) a JOIN (SELECT DISTINCT set_name AS s FROM cat) b ON a.s < b.s)"
-FEAT = "WITH " + BARS.strip() + f",\nx AS (SELECT close::DOUBLE / lag(close) OVER {S} AS ret1, close::DOUBLE / lag(close, 2) OVER {S} AS ret2, open::DOUBLE / lag(close) OVER {S} AS gap, high::DOUBLE / low AS span, volume::DOUBLE AS vol, lead(close, 5) OVER {S}::DOUBLE / close AS ahead FROM bars)".replace(f"lead(close, 5) OVER {S}::DOUBLE", f"(lead(close, 5) OVER {S})::DOUBLE")
+CAT = "WITH cat AS (SELECT lower(o_orderstatus) AS set_name, lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS col_name, min(o_orderkey) AS pos FROM orders GROUP BY 1, 2),\npairs AS (SELECT a.s || '-' || b.s AS name FROM (SELECT DISTINCT set_name AS s FROM cat) a JOIN (SELECT DISTINCT set_name AS s FROM cat) b ON a.s < b.s)"
+FEAT = "WITH " + BARS.strip() + f",\nx AS (SELECT {sql_div('close', f'lag(close) OVER {S}')} AS ret1, {sql_div('close', f'lag(close, 2) OVER {S}')} AS ret2, {sql_div('open', f'lag(close) OVER {S}')} AS gap, {sql_div('high', 'low')} AS span, volume::DOUBLE AS vol, {sql_div(f'lead(close, 5) OVER {S}', 'close')} AS ahead FROM bars)"
 PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 ORACLE = {
     "fold_plan": ROWS + "\nSELECT * FROM plan",
@@ -127,5 +134,14 @@ SELECT name, string_agg(col_name, ',' ORDER BY k) AS cols FROM p GROUP BY name""
 SELECT name, regexp_replace(regexp_replace(lower(name), '[\\[\\]''"\\s]', '', 'g'), '[,_]+', '-', 'g') AS clean FROM n""",
     "corr_pairs": FEAT + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {sql_rnd(f'corr({a}, {b})', 6)} AS r FROM x" for a, b in PAIRS),
     "corr_prune": FEAT + "\nSELECT DISTINCT b AS dropped FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in PAIRS) + ") WHERE abs(r) > 0.5",
+    "representatives": FEAT.replace("WITH ", "WITH RECURSIVE ", 1) + ",\ntc AS (" + " UNION ALL ".join(f"SELECT '{a}' AS col, {i} AS pos, coalesce(abs(corr({a}, ahead)), 0) AS score FROM x" for i, a in enumerate(FEATURES)) + f"""),
+pr AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in PAIRS)}),
+li AS (SELECT a, b FROM pr WHERE abs(r) > {REPRESENTED} UNION ALL SELECT b, a FROM pr WHERE abs(r) > {REPRESENTED} UNION ALL SELECT col, col FROM tc),
+cl AS (SELECT a, list(b) AS members, arg_max(b, {{'s': score, 'p': -tc.pos}}) AS best FROM li JOIN tc ON b = col GROUP BY a),
+st AS (SELECT pos, a, members, best FROM cl JOIN tc ON a = col),
+go AS (
+  SELECT -1 AS place, []::VARCHAR[] AS used, []::VARCHAR[] AS kept
+  UNION ALL SELECT place + 1, CASE WHEN list_contains(used, a) THEN used ELSE list_concat(used, members) END, CASE WHEN list_contains(used, a) THEN kept ELSE list_append(kept, best) END FROM go JOIN st ON pos = place + 1)
+SELECT DISTINCT unnest(kept) AS col FROM go WHERE place = {len(FEATURES) - 1}""",
     "target_corr": FEAT + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS col, {i} AS pos, {sql_rnd(f'corr({a}, ahead)', 6)} AS r FROM x" for i, a in enumerate(FEATURES)),
 }

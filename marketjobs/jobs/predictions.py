@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rolling import lead, series
+from ..functions.rolling import lead, rounded, series
 from ..operators import metrics, select, volatility
 from ..operators.metrics import KEYS
+from ..sources.shared import written
 from ..sources.tables import bars_daily
 from . import loop
 from .daily import S, rnd
@@ -50,6 +51,11 @@ def streak_buckets(spark, sf_dir):
     return metrics.streak_buckets(predictions(spark, sf_dir), found)
 
 
+def top_by_wba(spark, sf_dir):
+    """The ten best configurations of each horizon by their scores by streak, saved and read back, in hundredths."""
+    return rounded(written(select.top(streak_buckets(spark, sf_dir), 10, "horizon", "wba_close", "wba_open").select(*KEYS, "wba_close", "wba_open", "rank"), "top-by-wba"))
+
+
 def best_per_set(spark, sf_dir):
     return select.best_per_set(scored(predictions(spark, sf_dir)), 3).select(*KEYS, "composite", "rank")
 
@@ -98,7 +104,7 @@ def history_append(spark, sf_dir):
     return select.merged(rows.where("horizon = 2"), rows, 5)
 
 
-QUERIES = {f.__name__: f for f in (config_metrics, top_by_horizon, calibration, streak_buckets, best_per_set, edge_select, semi_selected, pending_days, ensemble, ensemble_precision, price_ratio, cutoff_metrics, history_dedup, history_append)}
+QUERIES = {f.__name__: f for f in (top_by_wba, config_metrics, top_by_horizon, calibration, streak_buckets, best_per_set, edge_select, semi_selected, pending_days, ensemble, ensemble_precision, price_ratio, cutoff_metrics, history_dedup, history_append)}
 
 K = ", ".join(KEYS)
 def _metrics(source: str, keys: str) -> str:
@@ -172,3 +178,6 @@ SELECT symbol, date, {K}, run, pred FROM (SELECT symbol, date, {K}, run, pred FR
 QUALIFY row_number() OVER (PARTITION BY symbol, date, {K} ORDER BY run DESC, pred) = 1""",
     "history_append": PRED + f"\nSELECT DISTINCT {K}, run, pred_class FROM pred WHERE horizon = 2 UNION ALL SELECT DISTINCT {K}, run, pred_class FROM pred WHERE horizon = 5",
 }
+ORACLE["top_by_wba"] = f"""
+WITH t AS ({ORACLE["streak_buckets"]}), k AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY wba_close DESC NULLS LAST, wba_open DESC NULLS LAST, {K})::INT AS rank FROM t)
+SELECT {K}, {rnd('wba_close', 2)} AS wba_close, {rnd('wba_open', 2)} AS wba_open, rank FROM k WHERE rank <= 10"""

@@ -179,9 +179,8 @@ def pair_ranks(parts: Column, merges: Column) -> Column:
 
 
 def fold(word: Column, merges: Column, single: str) -> Column:
-    """A character per byte -> a character per id: merges the pair of the lowest rank, the first of several, until there is none.
-
-    The state has the parts and the rank of each pair of neighbours; a merge of one place changes two of these. single: see one_by_one.
+    """word (p: a character per byte, r: one for the rank of each two neighbours) -> a character per id: merges the pair of the lowest rank, the
+    first of several, until there is none. A merge of one place changes two of the ranks. single: see one_by_one.
     """
 
     def merge(s: Column, best: Column, at: Column) -> Column:
@@ -197,21 +196,36 @@ def fold(word: Column, merges: Column, single: str) -> Column:
         low = F.array_min(F.split(s["r"], ""))
         return F.when(s["r"] == "", s).otherwise(let(low, lambda best: F.when(best == NO_PAIR, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(merge(s, best, F.call_function("instr", s["r"], best)))))
 
-    steps = F.sequence(F.lit(1), F.char_length(word) - 1)
-    folded = F.aggregate(steps, F.struct(word.alias("p"), pair_ranks(word, merges).alias("r")), step, lambda s: s["p"])
-    return F.when(F.char_length(word) > 1, folded).otherwise(word)
+    steps = F.sequence(F.lit(1), F.char_length(word["r"]))
+    return F.when(word["r"] == "", word["p"]).otherwise(F.aggregate(steps, word, step, lambda s: s["p"]))
+
+
+#: The first ranks of a word are of pairs of bytes: they are read off a table of all such pairs, for all new words at once.
+CHUNK = "n array<int>, word array<int>, fresh boolean, parts array<struct<p: string, r: string>>, done_at array<int>, done_ids array<array<int>>"
+
+
+PARTS = pa.struct([("p", pa.string()), ("r", pa.string())])
+
+
+def four_bytes(chars: list[str]) -> np.ndarray:
+    """Characters beyond the first plane, of four bytes each in UTF-8."""
+    return np.frombuffer("".join(chars).encode(), np.uint8).reshape(-1, 4)
 
 
-CHUNK = "n array<int>, word array<int>, fresh boolean, parts array<string>, done_at array<int>, done_ids array<array<int>>"
+def strings(chars: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Strings of so many characters of four bytes, laid out in a row."""
+    ends = np.r_[0, 4 * np.cumsum(size)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(chars.tobytes()))
 
 
 def number_words(batches: Iterator[pa.RecordBatch], path: str, max_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, words) -> a row per batch: its documents, the number of each of their words, and the words that are new in this task."""
     known = Numbers()
-    schema = lambda key: pa.schema([("doc_id", pa.list_(key)), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("parts", pa.list_(pa.string())), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
+    schema = lambda key: pa.schema([("doc_id", pa.list_(key)), ("n", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("parts", pa.list_(PARTS)), ("done_at", pa.list_(pa.int32())), ("done_ids", pa.list_(pa.list_(pa.int32())))])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     fresh, table = True, ranks(path)
-    single = np.frombuffer("".join(chr(table[bytes([i])] + OFFSET) for i in range(256)).encode(), np.uint8).reshape(256, 4)
+    single = four_bytes([chr(table[bytes([i])] + OFFSET) for i in range(256)])
+    paired = four_bytes([chr(table[x] + OFFSET) if x in table else NO_PAIR for x in (bytes([i, j]) for i in range(256) for j in range(256))])
     for batch in batches:
         words = batch.column("words")
         n = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32())
@@ -225,9 +239,12 @@ def number_words(batches: Iterator[pa.RecordBatch], path: str, max_words: int) -
         done_ids = [[table[new[i]]] for i in done_at]
         for i in done_at:
             new[i] = b""
-        chars = single[np.frombuffer(b"".join(new), np.uint8)].tobytes()
-        ends = np.r_[0, 4 * np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))].astype(np.int32)
-        parts = pa.StringArray.from_buffers(len(new), pa.py_buffer(ends), pa.py_buffer(chars))
+        data, size = np.frombuffer(b"".join(new), np.uint8), np.fromiter(map(len, new), np.int64, len(new))
+        inside = np.ones(len(data), bool)
+        inside[np.cumsum(size)[size > 0] - 1] = False  # the last byte of a word starts no pair
+        at = np.flatnonzero(inside)
+        pairs = data[at].astype(np.int64) * 256 + data[np.minimum(at + 1, len(data) - 1)] if len(at) else at
+        parts = pa.StructArray.from_arrays([strings(single[data], size), strings(paired[pairs], np.maximum(size - 1, 0))], fields=list(PARTS))
         word = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
         docs = batch.column("doc_id")
         del own, new, coded, words, batch

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,32 @@ def with_folds(rows: DataFrame, years: int, runs: int | None, step: int, test: i
     return test_rows.unionByName(out.select(*rows.columns, F.explode("train").alias("run"), F.lit("train").alias("part")))
 
 
+@dataclass(frozen=True)
+class Folds:
+    """Equidistant folds of a series, counted from its newest row back; per_slice of them are fitted together."""
+
+    train: int
+    test: int
+    step: int
+    purge: int
+    runs: int | None = None
+    per_slice: int = 16
+
+    def last_run(self, n: int) -> int:
+        last = (n - self.test - self.purge - self.train) // self.step
+        return last if self.runs is None else min(last, self.runs - 1)
+
+
+def with_slices(rows: DataFrame, f: Folds) -> DataFrame:
+    """numbered rows, once for each slice of folds that needs them."""
+    back, wide = F.col("n") - F.col("rn"), f.per_slice * f.step
+    reach = (f.per_slice - 1) * f.step + f.test + f.purge + f.train - 1
+    last = F.floor((F.col("n") - f.test - f.purge - f.train) / f.step)
+    last = F.floor((last if f.runs is None else F.least(last, F.lit(f.runs - 1))) / f.per_slice)
+    lo, hi = F.greatest(F.ceil((back - reach) / wide), F.lit(0)), F.least(F.floor(back / wide), last)
+    return rows.withColumn("slice", F.explode(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
+
+
 def class_dist(folded: DataFrame, *keys: str) -> DataFrame:
     test = folded.where("part = 'test'")
     n = F.count("*")

@@ -22,14 +22,20 @@ DETAIL = (
 SESSIONS = tuple(x[0] for x in DETAIL)
 
 
+def with_session(calendar: DataFrame) -> DataFrame:
+    """calendar (date, close_et: time of the close in New York) with session_duration in minutes since the open, and is_early_close: before 16:00."""
+    minute = F.hour("close_et") * 60 + F.minute("close_et")
+    return calendar.withColumn("session_duration", minute - OPEN).withColumn("is_early_close", minute < 960)
+
+
 def labelled(minutes: DataFrame, calendar_of) -> DataFrame:
     """minutes (ts in UTC) with date and minute of New York, session_duration, labels, and distances to open and close.
 
-    calendar_of: DataFrame with date -> (date, session_duration); a row a day, so it is broadcast.
+    calendar_of: DataFrame with date -> (date, close_et), a row a day.
     """
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
     out = minutes.withColumn("local", local).withColumn("date", F.to_date("local")).withColumn("tod", F.hour("local") * 60 + F.minute("local")).drop("local")
-    out = out.join(F.broadcast(calendar_of(out)), "date", "left")
+    out = out.join(with_session(calendar_of(out)).select("date", "session_duration"), "date", "left")
     tod, end = F.col("tod"), F.col("session_duration") + OPEN
     coarse = F.when(tod < 420, "overnight").when(tod < OPEN, "pre_market").when(tod <= end, "open_market").otherwise("post_market")
     fine = F

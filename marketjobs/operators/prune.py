@@ -15,16 +15,22 @@ BATCH = 200
 def resolve_sets(sets: DataFrame, catalog: DataFrame) -> DataFrame:
     """name (parts joined by -) -> its columns in order of first appearance, each once. A part without columns raises."""
     parts = sets.select("name", F.posexplode(F.split("name", "-")).alias("part_pos", "set_name"))
-    joined = parts.join(F.broadcast(catalog), "set_name", "left")
+    joined = parts.join(catalog, "set_name", "left")
     missing = F.when(F.col("col_name").isNull(), F.raise_error(F.concat(F.lit("unknown feature set: "), F.col("set_name"))).cast("string")).otherwise(F.col("col_name"))
     first = joined.withColumn("col_name", missing).groupBy("name", "col_name").agg(F.min(F.struct("part_pos", "pos")).alias("p"))
     return first.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "col_name"))), lambda x: x["col_name"]).alias("cols"))
 
 
+def resolved(catalog: DataFrame) -> DataFrame:
+    """set_name, pos, col_name of single sets, through resolve_sets."""
+    one = resolve_sets(catalog.select(F.col("set_name").alias("name")).distinct(), catalog)
+    return one.select(F.col("name").alias("set_name"), F.posexplode("cols").alias("pos", "col_name"))
+
+
 def set_pairs(catalog: DataFrame) -> DataFrame:
     """All unordered pairs of set names."""
     names = catalog.select("set_name").distinct()
-    return names.alias("a").join(F.broadcast(names.alias("b")), F.col("a.set_name") < F.col("b.set_name")).select(F.concat_ws("-", "a.set_name", "b.set_name").alias("name"))
+    return names.alias("a").join(names.alias("b"), F.col("a.set_name") < F.col("b.set_name")).select(F.concat_ws("-", "a.set_name", "b.set_name").alias("name"))
 
 
 def normalized(names: DataFrame, column: str = "name") -> DataFrame:
@@ -49,20 +55,20 @@ def pruned(corr: DataFrame, limit: float) -> DataFrame:
     return corr.where(F.abs("r") > limit).select(F.col("b").alias("dropped")).distinct()
 
 
-def representatives(corr: DataFrame, target: DataFrame, limit: float) -> list[str]:
-    """Of each cluster of correlated columns, in column order, the one closest to the target. The input is one row per pair of columns."""
-    near: dict[str, set[str]] = {}
-    for r in corr.where(F.abs("r") > limit).select("a", "b").collect():
-        near.setdefault(r.a, set()).add(r.b)
-        near.setdefault(r.b, set()).add(r.a)
-    score = {r.col: abs(r.r or 0.0) for r in target.orderBy("pos").collect()}
-    out, seen = [], set()
-    for c in score:
-        if c not in seen:
-            cluster = [c, *sorted((near.get(c, set()) - seen), key=list(score).index)]
-            seen.update(cluster)
-            out.append(max(cluster, key=score.get))
-    return out
+def representatives(corr: DataFrame, target: DataFrame, limit: float) -> DataFrame:
+    """Of each cluster of correlated columns, in column order, the one closest to the target. One row per column or pair of columns goes in.
+
+    A column that no earlier cluster has used opens a cluster of all columns it correlates with, used ones too; the first of equals stands for it.
+    """
+    both = corr.where(F.abs("r") > limit).select("a", "b")
+    links = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(target.select(F.col("col").alias("a"), F.col("col").alias("b")))
+    score = target.select(F.col("col").alias("b"), F.coalesce(F.abs("r"), F.lit(0.0)).alias("score"), (-F.col("pos")).alias("back"))
+    clusters = links.join(score, "b").groupBy("a").agg(F.collect_set("b").alias("members"), F.max_by("b", F.struct("score", "back")).alias("best"))
+    listed = clusters.join(target.select(F.col("col").alias("a"), "pos"), "a").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "members", "best"))).alias("all"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("used"), none.alias("out"))
+    step = lambda s, x: F.when(F.array_contains(s["used"], x["a"]), s).otherwise(F.struct(F.array_union(s["used"], x["members"]).alias("used"), F.array_union(s["out"], F.array(x["best"])).alias("out")))
+    return listed.select(F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("col"))
 
 
 def target_corr(rows: DataFrame, columns: list[str], target: str) -> DataFrame:

@@ -35,16 +35,21 @@ def edge_select(metrics: DataFrame, edge: float, most: int, least: int) -> DataF
 
 
 def of_selected(pred: DataFrame, chosen: DataFrame, keys=KEYS) -> DataFrame:
-    """The predictions of the chosen configurations (few rows: broadcast)."""
-    return pred.join(F.broadcast(chosen.select(*keys).distinct()), list(keys), "left_semi")
+    """The predictions of the chosen configurations. Spark broadcasts them where their size allows."""
+    return pred.join(chosen.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def pending_days(history: DataFrame, labels: DataFrame, least: int = 2, keys=KEYS) -> DataFrame:
-    """Configurations with their last as-of date and the labelled days after it, if more than `least`: counts per date from one running sum, not a join per date."""
+    """Configurations with their last as-of date and the labelled days after it, if more than `least`.
+
+    The days after each date are one running count per horizon over distinct dates; a configuration looks up its last date.
+    labels has the dates of the history, labelled or not.
+    """
     last = history.groupBy(*keys).agg(F.max("date").alias("last_date"))
-    days = labels.where("label is not null").select("horizon", "date").distinct()
-    joined = F.broadcast(last).join(days, "horizon").where(F.col("date") > F.col("last_date"))
-    return joined.groupBy(*keys, "last_date").agg(F.count("*").alias("pending")).where(F.col("pending") > least)
+    days = labels.groupBy("horizon", F.col("date").alias("last_date")).agg(F.max(F.col("label").isNotNull().cast("long")).alias("known"))
+    after = W.partitionBy("horizon").orderBy(F.col("last_date").desc()).rowsBetween(W.unboundedPreceding, -1)
+    counted = days.select("horizon", "last_date", F.coalesce(F.sum("known").over(after), F.lit(0)).alias("pending"))
+    return last.join(counted, ["horizon", "last_date"]).where(F.col("pending") > least).select(*keys, "last_date", "pending")
 
 
 def edge_of(pred: Column) -> Column:
@@ -57,7 +62,7 @@ def edge_of(pred: Column) -> Column:
 
 def ensemble(pred: DataFrame, metrics: DataFrame, n: int = 1, keys=KEYS) -> DataFrame:
     """By symbol, horizon and date: summed edges of the configurations, the ensemble's prediction, and the place of the date."""
-    rows = pred.join(F.broadcast(metrics.select(*keys, "pos_rate", "pprec", "nprec").distinct()), list(keys)).withColumn("edge", edge_of(F.col("pred")))
+    rows = pred.join(metrics.select(*keys, "pos_rate", "pprec", "nprec").distinct(), list(keys)).withColumn("edge", edge_of(F.col("pred")))
     out = rows.groupBy("symbol", "horizon", "date").agg(F.sum("edge").alias("e"))
     out = out.withColumn("ensemble_edge", F.col("e") / 100.0).withColumn("ensemble_pred", rnd(F.col("e") / 100.0 / n + 0.5, 2))
     return out.withColumn("days_to_exp", F.row_number().over(W.partitionBy("symbol", "horizon").orderBy("date"))).drop("e")
@@ -75,7 +80,7 @@ def price_ratio(pred: DataFrame, bars: DataFrame) -> DataFrame:
     """Predictions of dates with the close of the date and the symbol's last close over it."""
     last = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("last_close"))
     days = pred.select("symbol", "horizon", "date").distinct()
-    rows = days.join(bars.select("symbol", "date", F.col("close").alias("predicted_price")), ["symbol", "date"]).join(F.broadcast(last), "symbol")
+    rows = days.join(bars.select("symbol", "date", F.col("close").alias("predicted_price")), ["symbol", "date"]).join(last, "symbol")
     return rows.withColumn("ratio", rnd(div(F.col("last_close"), F.col("predicted_price")) - 1, 6))
 
 

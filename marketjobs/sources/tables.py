@@ -43,6 +43,14 @@ def bars_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar(minutes: DataFrame) -> DataFrame:
-    """date, session_duration: the weekdays of the minutes (column date); a day in thirteen closes early. A row a day, a few hundred a year."""
+    """date, close_et: the weekdays of the minutes (column date); a day in thirteen closes at 13:00, the others at 16:00. A row a day, a few hundred a year."""
     days = minutes.select("date").distinct().where(F.dayofweek("date").between(2, 6))
-    return days.withColumn("session_duration", F.when(F.dayofmonth("date") % 13 == 0, 210).otherwise(390))
+    hour = F.when(F.dayofmonth("date") % 13 == 0, 13).otherwise(16)
+    return days.withColumn("close_et", (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour)).cast("timestamp_ntz"))
+
+
+def bars_of_days(minutes: DataFrame) -> DataFrame:
+    """symbol, date, open, high, low, close (cents), volume: minute bars (with date, ts) by day."""
+    return minutes.groupBy("symbol", "date").agg(
+        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").cast("long").alias("volume")
+    )

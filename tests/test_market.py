@@ -69,9 +69,9 @@ def test_scan_is_ewm(spark, chunk):
     df = bars(spark, closes)
     alpha = 2.0 / 13
     first = F.row_number().over(rolling.series()) == 1
-    got = col(scan.scan(df, F.when(first, F.col("close")).otherwise(F.col("close") * alpha), 1 - alpha, "e", chunk), "e")
+    got = col(scan.scan(df, {"e": (F.when(first, F.col("close")).otherwise(F.col("close") * alpha), 1 - alpha)}, chunk), "e")
     assert np.allclose(got, pd.Series(closes).ewm(span=12, adjust=False).mean())
-    got = col(scan.weighted(df, F.when(~first, F.col("close").cast("double")), 1 / 14, "w"), "w")
+    got = col(scan.weighted(df, {"w": F.when(~first, F.col("close").cast("double"))}, 1 / 14), "w")
     want = pd.Series([np.nan, *closes[1:]]).ewm(alpha=1 / 14).mean()
     assert got[0] is None and np.allclose(got[1:], want[1:])
 
@@ -92,7 +92,7 @@ def test_session_labels_on_boundaries(spark):
     for month, offset in ((1, 5), (7, 4)):
         rows = [(dt.datetime(2024, month, 3, *map(int, t.split(":"))) + dt.timedelta(hours=offset), t) for t in times]
         df = spark.createDataFrame(rows, "ts timestamp_ntz, t string")
-        out = minutes.labelled(df, lambda d: d.select("date").distinct().withColumn("session_duration", F.lit(390))).collect()
+        out = minutes.labelled(df, lambda d: d.select("date", F.lit("2024-01-03 16:00:00").cast("timestamp_ntz").alias("close_et")).distinct()).collect()
         assert {r.t: r.detail for r in out} == times and all(r.date == dt.date(2024, month, 3) for r in out)
 
 
@@ -131,11 +131,27 @@ def test_folds(spark, step, test, purge):
         assert len(got[k]["train"]) == 20 and p.test_start - p.train_end - 1 == purge
 
 
+@pytest.mark.parametrize(("step", "test", "purge", "per"), [(5, 5, 5, 16), (3, 7, 0, 2), (10, 4, 2, 1)])
+def test_slices_have_the_rows_of_their_folds(spark, step, test, purge, per):
+    rows = spark.createDataFrame([(s, DAY + dt.timedelta(days=i), i % 2, float(i)) for s, n in (("a", 90), ("b", 33), ("c", 5)) for i in range(n)], "symbol string, date date, label int, x double")
+    numbered = folds.numbered(rows)
+    f = folds.Folds(20, test, step, purge, per_slice=per)
+    seen = lambda x, y: lambda z: np.full(len(z), x.min() * 1000 + x.max())
+    got = {}
+    for r in fit.walk_forward(folds.with_slices(numbered, f), ["x"], f, seen).collect():
+        got.setdefault((r.symbol, r.run), []).append((r.date, r.pred, r.train_n))
+    plan = {(r.symbol, r.run): r for r in folds.plan(numbered.groupBy("symbol").agg(F.max("rn").alias("n")), 1, 99, step, test, purge, days=20).collect()}
+    assert set(got) == set(plan)
+    for k, p in plan.items():
+        days = [DAY + dt.timedelta(days=i) for i in range(p.test_start - 1, p.test_end)]
+        assert sorted(d for d, _, _ in got[k]) == days and {(x, n) for _, x, n in got[k]} == {((p.train_start - 1) * 1000.0 + p.train_end - 1, 20)}
+
+
 def test_fits_cover_the_series(spark, monkeypatch):
-    rows = [(s, DAY + dt.timedelta(days=i), *[100.0 + i * 7 % 13] * 4, 10) for s, n in (("a", 400), ("b", 330), ("c", 100)) for i in range(n)]
+    rows = [(s, DAY + dt.timedelta(days=i), *[0.0 if i == 50 else 100.0 + i * 7 % 13] * 4, 10) for s, n in (("a", 400), ("b", 330), ("c", 100)) for i in range(n)]
     bars = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume long")
     monkeypatch.setattr(fitting, "bars_daily", lambda spark, sf_dir: bars)
-    got = {(r.symbol, r.run): (r.n, r.d) for r in fitting.folded(spark, "").where("part = 'test'").groupBy("symbol", "run").agg(F.count("*").alias("n"), F.countDistinct("date").alias("d")).collect()}
+    got = {(r.symbol, r.run): (r.n, r.d) for r in fitting.walk_forward_fit(spark, "").groupBy("symbol", "run").agg(F.count("*").alias("n"), F.countDistinct("date").alias("d")).collect()}
     runs = {s: (n - 5 - 255) // 5 + 1 for s, n in (("a", 400), ("b", 330))}
     assert got == {(s, i): (5, 5) for s, k in runs.items() for i in range(k)} and runs["a"] > 10
 
@@ -145,11 +161,15 @@ def test_stumps_learn_and_importance_is_repeatable(spark):
     x = rng.normal(size=(400, 2))
     y = (x[:, 0] > 0).astype(float)
     assert ((fit.boosted_stumps(x[:300], y[:300])(x[300:]) > 0.5) == y[300:]).mean() > 0.95
-    rows = spark.createDataFrame([("s", 0, DAY + dt.timedelta(days=i), "train" if i < 300 else "test", int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(400)], "symbol string, run long, date date, part string, label int, a double, b double")
-    scored = fit.walk_forward(rows, ["a", "b"])
+    holes = np.c_[x, np.full(400, np.nan)]  # a feature without a value is left out, and nothing else
+    assert ((fit.boosted_stumps(holes[:300], y[:300])(holes[300:]) > 0.5) == y[300:]).mean() > 0.95
+    rows = spark.createDataFrame([("s", DAY + dt.timedelta(days=i), int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(400)], "symbol string, date date, label int, a double, b double")
+    f = folds.Folds(train=300, test=100, step=100, purge=0)
+    sliced = folds.with_slices(folds.numbered(rows), f)
+    scored = fit.walk_forward(sliced, ["a", "b"], f)
     assert scored.count() == 100 and scored.where("(pred >= 0.5) = (label = 1)").count() > 95
-    pi = {r.feature: r for r in fit.importance(rows.repartition(7), ["a", "b"]).collect()}
-    assert pi["a"].pi_mean > 0.3 > abs(pi["b"].pi_mean) and pi["a"] == {r.feature: r for r in fit.importance(rows, ["a", "b"]).collect()}["a"]
+    pi = {r.feature: r for r in fit.importance(sliced.repartition(7), ["a", "b"], f).collect()}
+    assert pi["a"].pi_mean > 0.3 > abs(pi["b"].pi_mean) and pi["a"] == {r.feature: r for r in fit.importance(sliced, ["a", "b"], f).collect()}["a"]
     chosen = fit.chosen_features(spark.createDataFrame([("s", 0, "a", 0.4, 0.0), ("s", 0, "b", 0.001, 0.0), ("s", 0, "c", 0.0, 0.0)], "symbol string, run long, feature string, pi_mean double, pi_std double"))
     assert sorted(r.feature for r in chosen.collect()) == ["a", "b"]
 
@@ -162,7 +182,99 @@ def test_sets(spark):
         prune.resolve_sets(spark.createDataFrame([("x-nope",)], "name string"), catalog).collect()
     corr = spark.createDataFrame([("a", "b", 0, 1, 0.9), ("a", "c", 0, 2, 0.1), ("b", "c", 1, 2, 0.2)], "a string, b string, i int, j int, r double")
     target = spark.createDataFrame([("a", 0, 0.1), ("b", 1, -0.5), ("c", 2, 0.3)], "col string, pos int, r double")
-    assert prune.representatives(corr, target, 0.5) == ["b", "c"] and [r.dropped for r in prune.pruned(corr, 0.5).collect()] == ["b"]
+    assert sorted(r.col for r in prune.representatives(corr, target, 0.5).collect()) == ["b", "c"] and [r.dropped for r in prune.pruned(corr, 0.5).collect()] == ["b"]
+
+
+def test_representatives_of_a_chain(spark):
+    """a ~ b ~ c, and c opens a cluster of its own with b, which is used and still the best of it."""
+    corr = spark.createDataFrame([("a", "b", 0, 1, 0.9), ("a", "c", 0, 2, 0.1), ("b", "c", 1, 2, -0.9), ("a", "d", 0, 3, None)], "a string, b string, i int, j int, r double")
+    target = spark.createDataFrame([("a", 0, 0.2), ("b", 1, -0.5), ("c", 2, 0.3), ("d", 3, None)], "col string, pos int, r double")
+    assert sorted(r.col for r in prune.representatives(corr, target, 0.5).collect()) == ["b", "d"]
+
+
+def outcome(rows, c, sets, names, end):
+    """Chosen features and rates of one fold in plain Python; rows up to `end` (from 1) are known."""
+    part = rows[end - c.pi_rows : end]
+    hits = lambda own: max(sum(r[1] for r in own), len(own) - sum(r[1] for r in own))
+    gain = {f: sum(hits([r for r in part if r[2][f] == k]) for k in range(3)) - hits(part) for f in names}
+    best = lambda own: sorted(own, key=lambda f: (-gain[f], f))
+
+    def take(own, limit, least, most=99):
+        good = [f for f in best(own) if gain[f] * 100 > limit * c.pi_rows]
+        return (good if len(good) >= least else best(own)[:least])[:most]
+
+    own = [sets[s] for s in c.features.split("-")]
+    new = own[1] if len(own) > 1 else []
+    chosen = {
+        "together": lambda: take([f for p in own for f in p], 3, c.min_feats), "separately": lambda: [f for p in own for f in take(p, 3, c.min_feats)],
+        "exclude_new": lambda: [*take(own[0], 3, c.min_feats), *new], "cap_new": lambda: [*take(own[0], 3, c.min_feats), *take(new, 1, 0, 4)],
+    }[c.pi_handling]()
+    train, rate = rows[end - c.train : end], {}
+    for f in chosen:
+        for k in range(3):
+            hit = [r[1] for r in train if r[2][f] == k]
+            rate[f, k] = (sum(hit) + 1) / (len(hit) + 2)
+    return chosen, rate
+
+
+@pytest.mark.parametrize("horizon", [2, 5])
+def test_grid_is_the_plain_walk(spark, monkeypatch, horizon):
+    from marketjobs.operators import walk
+
+    monkeypatch.setattr(walk, "DAYS_A_YEAR", 40)
+    monkeypatch.setattr(walk, "PI_DAYS", 30)
+    rng, sets = random.Random(horizon), {"x": ("f", "g"), "y": ("h",)}
+    names, n, test = ["f", "g", "h"], 120, 5
+    series = {s: [(i + 1, None if i >= n - horizon else int(rng.random() < 0.5), {k: rng.randrange(3) for k in names}) for i in range(n)] for s in "ab"}
+    for rows in series.values():  # h says more than the others
+        for i, (rn, y, own) in enumerate(rows):
+            if y is not None and rng.random() < 0.6:
+                rows[i] = (rn, y, own | {"h": 2 * y})
+    df = spark.createDataFrame([(s, DAY + dt.timedelta(days=rn), rn, n, y, *own.values()) for s, rows in series.items() for rn, y, own in rows], "symbol string, date date, rn int, n int, label int, f int, g int, h int")
+    configs = [walk.Config(y, f, 1.0, h, m) for y in (1, 2) for f in ("x", "x-y") for h in walk.MODES for m in (1, 2) if f == "x-y" or h == "together"]
+    got = {(r.symbol, r.date, *(r[k] for k in metrics.KEYS)): r for r in walk.run_grid(df, horizon, test, configs, sets).collect()}
+    want = 0
+    for s, rows in series.items():
+        for c in configs:
+            for rn, y, own in rows[: n - horizon]:
+                run = (n - horizon - rn) // test
+                end = n - horizon - run * test - test - horizon
+                if end < c.train:
+                    continue
+                want += 1
+                chosen, rate = outcome(rows, c, sets, names, end)
+                r = got[s, DAY + dt.timedelta(days=rn), horizon, "rate", c.train_years, c.features, 1.0, c.pi_handling, c.min_feats]
+                raw = sum(rate[f, own[f]] for f in chosen) / len(chosen)
+                assert r.n_features == len(set(chosen)) and abs(r.pred - raw) <= 0.025 + 1e-5 and (r.run, r.test_pos_n, r.train_n) == (run, y, c.train)
+                assert r.train_end == DAY + dt.timedelta(days=end) and r.train_start == DAY + dt.timedelta(days=end - c.train + 1) and r.acc == int(r.pred_class == y)
+    assert len(got) == want > 0
+    newest = walk.run_grid(df, horizon, test, configs, sets, last_only=True).collect()
+    assert {(r.symbol, (r.date - DAY).days) for r in newest} == {(s, n - i) for s in "ab" for i in range(horizon)} and all(r.test_pos_n is None and r.acc is None for r in newest)
+    assert all((r.train_end - DAY).days == n - 2 * horizon for r in newest)
+
+
+def test_modes_are_checked():
+    from marketjobs.operators import walk
+
+    with pytest.raises(ValueError, match="unknown handling"):
+        walk.checked([walk.Config(1, "x", 1.0, "run_together", 1)], {"x": ("f",)})
+    with pytest.raises(KeyError, match="nope"):
+        walk.checked([walk.Config(1, "x-nope", 1.0, "together", 1)], {"x": ("f",)})
+
+
+def test_squash_and_infinities(spark):
+    df = spark.createDataFrame([(0.0, float("inf"), None), (2.0, float("-inf"), 0.126)], "s double, x double, y double")
+    out = rolling.rounded(rolling.without_inf(df.withColumn("p", metrics.logistic(F.col("s"))), ["x", "y"])).collect()
+    assert [(r.x, r.y, r.p) for r in out] == [(0.0, None, 0.5), (0.0, 0.13, 0.88)]
+
+
+def test_scans_and_the_panel_move_bars_once(spark, monkeypatch):
+    df = bars(spark, range(1, 50)).repartition(3)
+    monkeypatch.setattr(fitting, "bars_daily", lambda spark, sf_dir: df)
+    for out in (scan.macd(df), scan.adx(df), fitting.feature_panel(spark, "")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {c for p in fitting.SETS.values() for c in p}
 
 
 def test_daily_windows_share_one_shuffle(spark):
