@@ -60,7 +60,11 @@ def regex_class(points: np.ndarray) -> str:
     return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans(points))
 
 
-CHARACTERS = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+def characters(step: int = 1 << 12) -> Iterator[str]:
+    """All code points but surrogates, some at a time."""
+    for a in range(0, 0x110000, step):
+        if not 0xD800 <= a < 0xE000:
+            yield "".join(map(chr, range(a, a + step)))
 
 
 @cache
@@ -69,9 +73,8 @@ def library_class(name: str) -> np.ndarray:
     import tiktoken
 
     probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    step = 1 << 16
-    found = ("".join(map(chr, CHARACTERS[i : i + step])) for i in range(0, len(CHARACTERS), step))
-    return np.array([ord(c) for some in found for c in bytes(probe.encode_ordinary(some)).decode()])
+    found = [np.frombuffer(bytes(probe.encode_ordinary(some)).decode().encode("utf-32-le"), np.uint32) for some in characters()]
+    return np.concatenate(found).astype(np.int64)
 
 
 def java_classes(spark: SparkSession, names: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -81,7 +84,7 @@ def java_classes(spark: SparkSession, names: tuple[str, ...]) -> dict[str, np.nd
     rows = rows.select("id", F.explode(F.array(*[F.when(F.col("c").rlike(n), F.lit(n)) for n in names])).alias("name")).where("name is not null")
     run = F.col("id") - F.row_number().over(W.partitionBy("name").orderBy("id"))
     found = rows.withColumn("run", run).groupBy("name", "run").agg(F.min("id").alias("a"), F.max("id").alias("b")).collect()
-    return {n: np.array(sorted(c for r in found if r["name"] == n for c in range(r.a, r.b + 1)), np.int64) for n in names}
+    return {n: np.concatenate([np.arange(a, b + 1) for a, b in sorted((r.a, r.b) for r in found if r["name"] == n)]) for n in names}
 
 
 _patterns: dict[tuple[str, str], str] = {}
@@ -123,25 +126,25 @@ def library(path: str, pattern: str):
 
 def literal(value: object, kind: str) -> Column:
     """A nested literal: the optimizer folds the call into one."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
 
 
 def rank_map(path: str) -> Column:
     """The rank map as one literal, in hash buckets: of two characters a + b whose ids' bytes joined are a token, that token's character.
 
     Ids are written as characters here, one code point each (id + OFFSET), so that a word's parts are a string: Spark cuts and
-    joins strings much faster than arrays, and comparing characters compares ranks.
+    joins strings much faster than arrays, and comparing characters compares ranks. A bucket is a string too, of NO_PAIR and the three
+    characters for each entry: an array of short strings is small in the driver's plans.
     """
     known = ranks(path)
-    buckets: list[dict[str, str] | None] = [None] * BUCKETS
+    buckets = [""] * BUCKETS
     for token, rank in known.items():
         for i in range(1, len(token)):
             a, b = known.get(token[:i]), known.get(token[i:])
             if a is not None and b is not None:
-                pair = chr(a + OFFSET) + chr(b + OFFSET)
-                at = xxhash.xxh64_intdigest(pair, 42) % BUCKETS
-                buckets[at] = (buckets[at] or {}) | {pair: chr(rank + OFFSET)}
-    return literal(buckets, "array<map<string,string>>")
+                left, right = chr(a + OFFSET), chr(b + OFFSET)
+                buckets[xxhash.xxh64_intdigest(right, xxhash.xxh64_intdigest(left, 42)) % BUCKETS] += NO_PAIR + left + right + chr(rank + OFFSET)
+    return literal([x or NO_PAIR for x in buckets], "array<string>")
 
 
 @cache
@@ -163,9 +166,10 @@ def one_by_one(path: str) -> str:
     return "".join(chr(x + OFFSET) for x in sorted(out))
 
 
-def rank(merges: Column, pair: Column) -> Column:
-    found = F.get(merges, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    return F.coalesce(found[pair], F.lit(NO_PAIR))
+def rank(merges: Column, left: Column, right: Column) -> Column:
+    """The part that two parts make, which is their rank too; NO_PAIR, with which all buckets begin, if they make none."""
+    bucket = F.get(merges, F.xxhash64(left, right).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    return F.left(F.call_function("substring_index", bucket, F.concat(F.lit(NO_PAIR), left, right), F.lit(-1)), F.lit(1))
 
 
 def let(value: Column, then) -> Column:
@@ -175,7 +179,7 @@ def let(value: Column, then) -> Column:
 
 def pair_ranks(parts: Column, merges: Column) -> Column:
     """A character for the rank of each two neighbours."""
-    return let(F.split(parts, ""), lambda c: F.array_join(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: rank(merges, F.concat(x, F.get(c, i + 1)))), ""))
+    return let(F.split(parts, ""), lambda c: F.array_join(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: rank(merges, x, F.get(c, i + 1))), ""))
 
 
 def fold(word: Column, merges: Column, single: str) -> Column:
@@ -186,15 +190,16 @@ def fold(word: Column, merges: Column, single: str) -> Column:
     def merge(s: Column, best: Column, at: Column) -> Column:
         """at: the place of the pair, from 1; best: its rank, which is the new part."""
         p, r = s["p"], s["r"]
-        left = F.when(at > 1, F.concat(F.left(r, at - 2), rank(merges, F.concat(F.substr(p, at - 1, F.lit(1)), best)))).otherwise(F.lit(""))
-        right = F.when(at < F.char_length(r), F.concat(rank(merges, F.concat(best, F.substr(p, at + 2, F.lit(1)))), F.substr(r, at + 2))).otherwise(F.lit(""))
-        one = F.struct(F.concat(F.left(p, at - 1), best, F.substr(p, at + 2)).alias("p"), F.concat(left, right).alias("r"))
+        left = F.when(at > 1, rank(merges, F.substr(p, at - 1, F.lit(1)), best)).otherwise(F.lit(""))
+        right = F.when(at < F.char_length(r), rank(merges, best, F.substr(p, at + 2, F.lit(1)))).otherwise(F.lit(""))
+        # Of the ranks go the pair's own and those on either side.
+        one = F.struct(F.overlay(p, best, at, F.lit(2)).alias("p"), F.overlay(r, F.concat(left, right), F.greatest(at - 1, F.lit(1)), F.when(at > 1, 3).otherwise(2)).alias("r"))
         every = let(F.replace(p, F.substr(p, at, F.lit(2)), best), lambda q: F.struct(q.alias("p"), F.when(F.char_length(q) > 1, pair_ranks(q, merges)).otherwise(F.lit("")).alias("r")))
         return F.when((F.call_function("locate", best, r, at + 1) > 0) & ~F.contains(F.lit(single), best), every).otherwise(one)
 
     def step(s: Column, _: Column) -> Column:
         low = F.array_min(F.split(s["r"], ""))
-        return F.when(s["r"] == "", s).otherwise(let(low, lambda best: F.when(best == NO_PAIR, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(merge(s, best, F.call_function("instr", s["r"], best)))))
+        return F.when(s["r"] == "", s).otherwise(let(low, lambda best: F.when(best == NO_PAIR, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(let(F.call_function("instr", s["r"], best), lambda at: merge(s, best, at)))))
 
     steps = F.sequence(F.lit(1), F.char_length(word["r"]))
     return F.when(word["r"] == "", word["p"]).otherwise(F.aggregate(steps, word, step, lambda s: s["p"]))
