@@ -6,7 +6,7 @@ itself fixes when: the words a source gives up to time t follow the integral up
 document's place in its source's running word count into a training position. Sorting by position gives the mix.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; rows repeated or with tied
-ids are taken as separate rows, ordered by (hash of id, id, size); an empty table gives an empty mix; a source without words has target 0.
+ids are taken as separate rows, ordered by (hash of id and text, id, size); an empty table gives an empty mix; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import WORD, attach, read, written
 #: Weight schedules, dealt to the sources in turn; they integrate to 3, 1 and 2: early, even, late.
 SCHEDULES = ((4.0, 3.0, 2.0), (1.0, 1.0, 1.0), (1.0, 2.0, 3.0))
 SHARE, CAP = 1.5, 2.0
-#: Documents of a source are ordered by a hash of their id, cut into bins of so many documents of the whole table each.
+#: Documents of a source are ordered by a hash of their id and text, cut into bins of so many documents of the whole table each.
 BIN_ROWS = 20_000
 
 
@@ -63,6 +63,11 @@ def targets(sources: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap:
     return ranked.withColumn("target", F.least("most", last * F.col("weight"))).select("source", "source_size", "turn", "target")
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """Hash of a document's id and text, by which those of a source are ordered and cut into bins: rows of one or no id are spread too."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: float = CAP, bin_rows: int = BIN_ROWS) -> DataFrame:
     """One row per document: doc_id, source, th (hash of the text), size, source_size, target, copies, taken, position (of the first copy, null if none), positions (of all copies).
 
@@ -71,8 +76,8 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: float =
     of the rest of the target, documents are taken while their middle lies within it.
     """
     sized = written(
-        docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"
-    ).withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("order_key")), "mix-sizes"
+    )
     rows = sized.count()
     digits = max(2, math.ceil(math.log(max(rows, 1) / bin_rows, 16))) if rows else 2
     sized = sized.withColumn("bin", F.substring("order_key", 1, digits))
@@ -114,7 +119,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM per),
