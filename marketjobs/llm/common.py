@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -12,42 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..sources.shared import new_path, shared_dir, written
+from ..sources.tables import read
+
+__all__ = ["attach", "is_small", "new_path", "packed", "read", "shared_dir", "small_batches", "unpacked", "words", "written"]
+
 #: White space between words; a word is everything else. Fixed values.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local mode gets a folder of its own, and a cluster an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = made.get() if made.isDefined() else None
-    if not path:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: the lineage ends there and a lost executor takes nothing with it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: A side is broadcast up to so many bytes of its values.
 BROADCAST_BYTES = 8 << 20
 
