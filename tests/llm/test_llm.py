@@ -463,7 +463,7 @@ def test_every_letter_of_the_library(spark):
 
     lib = bpe.library(bpe.vocabulary(), public_tokenizers.PATTERN)
     odd = [np.setxor1d(own, bpe.library_class(n)) for n, own in bpe.java_classes(spark, (r"\p{L}", r"\p{N}")).items()]
-    points = sorted({*map(int, np.concatenate(odd)), *bpe.CHARACTERS[::60]})
+    points = sorted({*map(int, np.concatenate(odd)), *map(ord, "".join(bpe.characters())[::60])})
     assert len(points) > 18_000
     texts = [f"S{chr(c)}'mv 1{chr(c)}2 .{chr(c)}" for c in points]
     rows = bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
