@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks
-from ..functions.rolling import lag, lead
-from ..operators import walk
+from ..functions.rolling import lag, lead, rnd
+from ..operators import fit, walk
 from ..operators.metrics import KEYS
 from ..sources import history as stored
 from ..sources.shared import new_path, written
 from ..sources.tables import bars_daily
 from .daily import BARS, S
+from .daily import rnd as sql_rnd
 
 HORIZONS, TEST = (2, 5), 5
 SETS = {"trend": ("change", "gap"), "activity": ("body", "turnover")}
@@ -86,7 +87,33 @@ def runs_to_replay(spark, sf_dir):
     return out.withColumn("runs", F.floor(F.col("days") / TEST))
 
 
-QUERIES = {f.__name__: f for f in (run_grid, selection_modes, score_unlabelled, score_pending, runs_to_replay)}
+def fold_accuracy(spark, sf_dir):
+    """Share of rightly called test days by fold and configuration."""
+    return history(spark, sf_dir).groupBy("symbol", *KEYS, "run").agg(F.count("acc").alias("days"), rnd(F.avg("acc"), 6).alias("accuracy"))
+
+
+def distinct_sets(spark, sf_dir):
+    return history(spark, sf_dir).select("horizon", "features").distinct()
+
+
+def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_horizon(panel(spark, sf_dir), lambda rows, r: walk.importance_rows(rows, r, TEST, MODE_CONFIGS[0], SETS))
+
+
+def grid_importance(spark, sf_dir):
+    return importance_table(spark, sf_dir)
+
+
+def grid_importance_rollup(spark, sf_dir):
+    out = fit.rollup(written(importance_table(spark, sf_dir), "importance"), "symbol", "horizon")
+    return out.withColumns({c: rnd(F.col(c), 6) for c in ("pi_sum", "pi_avg")})
+
+
+def grid_importance_chosen(spark, sf_dir):
+    return fit.chosen_features(written(importance_table(spark, sf_dir), "importance"), keys=("symbol", "horizon", "run"))
+
+
+QUERIES = {f.__name__: f for f in (fold_accuracy, distinct_sets, grid_importance, grid_importance_rollup, grid_importance_chosen, run_grid, selection_modes, score_unlabelled, score_pending, runs_to_replay)}
 
 NAMES = walk.names_of(SETS)
 GROUP = {f: g for g, own in SETS.items() for f in own}
@@ -190,3 +217,12 @@ SELECT l.symbol, l.horizon, first_date, count(*) AS days, (count(*) // {TEST})::
 FROM l JOIN (SELECT symbol, horizon, min(date) AS first_date FROM pred GROUP BY symbol, horizon) p ON l.symbol = p.symbol AND l.horizon = p.horizon
 WHERE label IS NOT NULL AND date >= first_date GROUP BY l.symbol, l.horizon, first_date""",
 }
+IMPORTANCE = START + base_sql(MODE_CONFIGS[:1]) + "," + fit_sql(MODE_CONFIGS[:1], FOLD_ENDS) + f""",
+i AS (SELECT symbol, horizon, ((n - horizon - rn - {TEST} - horizon) // {TEST})::INT AS run, f AS feature, {sql_rnd('gain / 242.0::DOUBLE', 6)} AS pi_mean FROM wg)"""
+ORACLE["fold_accuracy"] = PRED + f"\nSELECT symbol, {K}, run, count(acc) AS days, {sql_rnd('avg(acc)', 6)} AS accuracy FROM pred GROUP BY ALL"
+ORACLE["distinct_sets"] = PRED + "\nSELECT DISTINCT horizon, features FROM pred"
+ORACLE["grid_importance"] = IMPORTANCE + "\nSELECT * FROM i"
+ORACLE["grid_importance_rollup"] = IMPORTANCE + f"\nSELECT symbol, horizon, feature, {sql_rnd('sum(pi_mean)', 6)} AS pi_sum, count(*) AS n, {sql_rnd('avg(pi_mean)', 6)} AS pi_avg FROM i GROUP BY symbol, horizon, feature"
+ORACLE["grid_importance_chosen"] = IMPORTANCE + """,
+k AS (SELECT *, count_if(pi_mean > 0.03) OVER (PARTITION BY symbol, horizon, run) AS good, row_number() OVER (PARTITION BY symbol, horizon, run ORDER BY pi_mean DESC, feature)::INT AS rank FROM i)
+SELECT symbol, horizon, run, feature, pi_mean, rank FROM k WHERE pi_mean > 0.03 OR good < 2 AND rank <= 2"""

@@ -77,6 +77,12 @@ def normalize_names(spark, sf_dir):
     return prune.normalized(names)
 
 
+def split_sizes(spark, sf_dir):
+    """Packed sizes made of the orders' prices and statuses."""
+    size = F.concat((F.floor(F.col("o_totalprice") / 50000) / 2).cast("string"), F.when(F.col("o_orderstatus") == "F", "-r").when(F.col("o_orderstatus") == "P", "-x").otherwise(""))
+    return prune.split_sizes(spark.read.parquet(f"{sf_dir}/orders.parquet").select(size.alias("packed")).distinct(), "packed")
+
+
 def features(spark, sf_dir):
     bars = bars_daily(spark, sf_dir)
     one = lag("close")
@@ -100,7 +106,7 @@ def representatives(spark, sf_dir):
     return prune.representatives(prune.correlations(rows, FEATURES), prune.target_corr(rows, FEATURES, "ahead"), REPRESENTED)
 
 
-QUERIES = {f.__name__: f for f in (representatives, fold_plan, fold_rows, fold_class_dist, walk_forward_rate, grid, set_pairs, resolve_sets, normalize_names, corr_pairs, corr_prune, target_corr)}
+QUERIES = {f.__name__: f for f in (split_sizes, representatives, fold_plan, fold_rows, fold_class_dist, walk_forward_rate, grid, set_pairs, resolve_sets, normalize_names, corr_pairs, corr_prune, target_corr)}
 
 ROWS = "WITH " + BARS.strip() + f""",
 lab AS (
@@ -132,6 +138,8 @@ p AS (SELECT name, col_name, min({'a': i, 'b': pos}) AS k FROM (SELECT name, i,
 SELECT name, string_agg(col_name, ',' ORDER BY k) AS cols FROM p GROUP BY name""",
     "normalize_names": """WITH n AS (SELECT DISTINCT '[''' || o_orderpriority || ''', ' || o_orderstatus || '_X]' AS name FROM orders)
 SELECT name, regexp_replace(regexp_replace(lower(name), '[\\[\\]''"\\s]', '', 'g'), '[,_]+', '-', 'g') AS clean FROM n""",
+    "split_sizes": r"""WITH p AS (SELECT DISTINCT (floor(o_totalprice / 50000) / 2)::DOUBLE::VARCHAR || CASE o_orderstatus WHEN 'F' THEN '-r' WHEN 'P' THEN '-x' ELSE '' END AS packed FROM orders)
+SELECT packed, CASE WHEN ends_with(packed, '-r') THEN 'separately' WHEN regexp_matches(packed, '^[0-9.]+$') THEN 'together' END AS pi_handling, try_cast(regexp_replace(packed, '-r$', '') AS DOUBLE) AS pi_size FROM p""",
     "corr_pairs": FEAT + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {sql_rnd(f'corr({a}, {b})', 6)} AS r FROM x" for a, b in PAIRS),
     "corr_prune": FEAT + "\nSELECT DISTINCT b AS dropped FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in PAIRS) + ") WHERE abs(r) > 0.5",
     "representatives": FEAT.replace("WITH ", "WITH RECURSIVE ", 1) + ",\ntc AS (" + " UNION ALL ".join(f"SELECT '{a}' AS col, {i} AS pos, coalesce(abs(corr({a}, ahead)), 0) AS score FROM x" for i, a in enumerate(FEATURES)) + f"""),

@@ -101,9 +101,9 @@ def importance(sliced: DataFrame, features: list[str], f: Folds, rows_used: int
     return sliced.groupBy("symbol", "slice").applyInPandas(run, "symbol string, run long, feature string, pi_mean double, pi_std double")
 
 
-def chosen_features(pi: DataFrame, limit: float = 0.03, least: int = 2) -> DataFrame:
+def chosen_features(pi: DataFrame, limit: float = 0.03, least: int = 2, keys=("symbol", "run")) -> DataFrame:
     """Per fold: all features above the limit, or else the best `least`."""
-    fold = W.partitionBy("symbol", "run")
+    fold = W.partitionBy(*keys)
     rows = pi.withColumn("good", F.count_if(F.col("pi_mean") > limit).over(fold)).withColumn("rank", F.row_number().over(fold.orderBy(F.col("pi_mean").desc(), "feature")))
     return rows.where((F.col("pi_mean") > limit) | (F.col("good") < least) & (F.col("rank") <= least)).drop("good")
 

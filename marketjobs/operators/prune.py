@@ -39,6 +39,13 @@ def normalized(names: DataFrame, column: str = "name") -> DataFrame:
     return names.withColumn("clean", clean)
 
 
+def split_sizes(rows: DataFrame, column: str = "pi_size") -> DataFrame:
+    """A packed size of the importance window, such as 1.5-r, as the number and the handling: -r is separately, nothing is together."""
+    packed = F.col(column)
+    handling = F.when(packed.endswith("-r"), "separately").when(packed.rlike(r"^[0-9.]+$"), "together")
+    return rows.withColumn("pi_handling", handling).withColumn("pi_size", F.regexp_replace(packed, "-r$", "").try_cast("double"))
+
+
 def correlations(rows: DataFrame, columns: list[str], batch: int = BATCH) -> DataFrame:
     """(a, b, i, j, r) for i < j: pairwise complete correlations, a batch of expressions per pass over the rows."""
     pairs = [(i, j, a, b) for (i, a), (j, b) in combinations(enumerate(columns), 2)]

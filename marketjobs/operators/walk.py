@@ -17,7 +17,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import lag, series, upto
+from ..functions.rolling import lag, rnd, series, upto
 from .folds import DAYS_A_YEAR
 from .metrics import KEYS, on_grid
 
@@ -189,6 +189,14 @@ def score_pending(rows: DataFrame, history: DataFrame, horizon: int, configs: li
     return scored(out.join(newest, "symbol"), names_of(sets))
 
 
+def importance_rows(rows: DataFrame, horizon: int, test: int, c: Config, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """symbol, horizon, run, feature, pi_mean: the importance of every feature in every fold of a configuration, as a share of the rows it is taken from."""
+    names, back = names_of(sets), F.col("n") - horizon - F.col("rn") - test - horizon
+    out = counted(rows, names, {c.pi_rows}).where((back >= 0) & (back % test == 0) & (F.col("rn") >= c.train))
+    gains = F.transform(importances(names, c.pi_rows), lambda g, i: F.struct(F.get(F.array(*[F.lit(n) for n in names]), i).alias("feature"), rnd(g / F.lit(float(c.pi_rows)), 6).alias("pi_mean")))
+    return out.select("symbol", F.lit(horizon).alias("horizon"), F.floor(back / test).cast("int").alias("run"), F.inline(gains))
+
+
 def chosen_features(rows: DataFrame, horizon: int, test: int, configs: list[Config], sets: dict[str, tuple[str, ...]]) -> DataFrame:
     """A row for each fold, configuration and chosen feature."""
     back = F.col("n") - horizon - F.col("rn") - test - horizon
