@@ -6,7 +6,8 @@ itself fixes when: the words a source gives up to time t follow the integral up
 document's place in its source's running word count into a training position. Sorting by position gives the mix.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; rows repeated or with tied
-ids are taken as separate rows, ordered by (hash of id and text, id, size); an empty table gives an empty mix; a source without words has target 0.
+ids are taken as separate rows, ordered by (hash of id and text, id, size); an empty table gives an empty mix; a source without words has
+target 0; columns other than doc_id, source and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
