@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, packed, read, unpacked, written
+from .common import BROADCAST_BYTES, attach, packed, read, unpacked, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Groups of more distinct fingerprints are dealt again by further bits.
@@ -214,22 +214,25 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = GROUP) -> DataFrame
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b), by large and small stars in turn until nothing changes; the root is the smallest node."""
+    """(node, root) for the nodes of edges (a, b), by large and small stars in turn until nothing changes; the root is the smallest node.
+
+    The centres of stars are broadcast while the edges' counted bytes are few; beyond that adaptive execution splits hot ones.
+    """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before, now = None, state()
+    while now != before:
+        side = F.broadcast if 48 * now[0] <= BROADCAST_BYTES else lambda df: df
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-lows")
-        large = attach(both, low, ["a"], "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        large = both.join(side(low), F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large-star")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "star-lows")
-        small = attach(large, low, ["a"], "inner")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        small = large.join(side(low), F.col("a") == F.col("n"))
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         edges = written(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, now = now, state()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
