@@ -22,7 +22,7 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 #: A side is broadcast up to so many bytes of its values.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def value_bytes(x: Column, kind: DataType) -> Column:
