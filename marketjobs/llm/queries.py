@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, fingerprints, html, mixing, quality, secrets, sharding, simhash, tokens, urls
+from . import bpe, fingerprints, html, merkle, mixing, quality, secrets, sharding, simhash, tokens, trie, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8_bpe,
         "op9_mix": mixing.op9_mix,
         "op10_secrets": secrets.op10_secrets,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_trie": trie.op12_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.OP3_SQL, "op4_shards": sharding.OP4_SQL, "op6_urls": urls.OP6_SQL, "op9_mix": mixing.OP9_SQL}
+    return {
+        "op3_quality": quality.OP3_SQL,
+        "op4_shards": sharding.OP4_SQL,
+        "op6_urls": urls.OP6_SQL,
+        "op9_mix": mixing.OP9_SQL,
+        "op11_merkle": merkle.OP11_SQL,
+        "op12_trie": trie.OP12_SQL,
+    }
