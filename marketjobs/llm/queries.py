@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, fingerprints, html, merkle, mixing, quality, secrets, sharding, simhash, tokens, trie, urls
+from . import ann, bpe, fingerprints, html, merkle, mixing, quality, secrets, sharding, simhash, tokens, trie, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": secrets.op10_secrets,
         "op11_merkle": merkle.op11_merkle,
         "op12_trie": trie.op12_trie,
+        "op13_neighbours": ann.op13_neighbours,
     }
 
 
