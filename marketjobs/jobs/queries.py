@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, fitting, intraday, loop, modelling, predictions
+from . import daily, fitting, intraday, loop, modelling, pooled, predictions
 
-PARTS = (daily, intraday, loop, predictions, modelling, fitting)
+PARTS = (daily, intraday, loop, predictions, modelling, fitting, pooled)
 
 
 def queries() -> dict:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .folds import Folds
 
 ROUNDS, RATE, CUTS, SHUFFLES = 300, 0.1, 8, 10
+#: Tasks for each core of the session, so that the slices are even.
+TASKS = 4
 
 
 def boosted_stumps(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
@@ -61,6 +63,11 @@ def runs_of(rows: pd.DataFrame, f: Folds, features: list[str]):
         yield run, (x[train], y[train]), (x[test], rows.iloc[test])
 
 
+def dealt(sliced: DataFrame):
+    """Groups of slices, a numbered exchange: few bytes and much work, which adaptive execution would put into one task."""
+    return sliced.repartition(TASKS * sliced.sparkSession.sparkContext.defaultParallelism, "symbol", "slice").groupBy("symbol", "slice")
+
+
 def walk_forward(sliced: DataFrame, features: list[str], f: Folds, fitter=boosted_stumps) -> DataFrame:
     """sliced rows (symbol, slice, date, rn, n, label, features) -> the test rows of all folds with their probability."""
 
@@ -70,7 +77,7 @@ def walk_forward(sliced: DataFrame, features: list[str], f: Folds, fitter=booste
             out.append(pd.DataFrame({"symbol": test["symbol"], "run": k, "date": test["date"], "label": test["label"], "pred": fitter(x, y)(z), "train_n": len(y)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["symbol", "run", "date", "label", "pred", "train_n"])
 
-    return sliced.groupBy("symbol", "slice").applyInPandas(run, "symbol string, run long, date date, label int, pred double, train_n int")
+    return dealt(sliced).applyInPandas(run, "symbol string, run long, date date, label int, pred double, train_n int")
 
 
 def balanced_accuracy(y: np.ndarray, p: np.ndarray) -> float:
@@ -98,7 +105,7 @@ def importance(sliced: DataFrame, features: list[str], f: Folds, rows_used: int
             out += [(rows["symbol"].iloc[0], k, name, float(d.mean()), float(d.std())) for name, d in zip(features, drops, strict=True)]
         return pd.DataFrame(out, columns=["symbol", "run", "feature", "pi_mean", "pi_std"])
 
-    return sliced.groupBy("symbol", "slice").applyInPandas(run, "symbol string, run long, feature string, pi_mean double, pi_std double")
+    return dealt(sliced).applyInPandas(run, "symbol string, run long, feature string, pi_mean double, pi_std double")
 
 
 def chosen_features(pi: DataFrame, limit: float = 0.03, least: int = 2, keys=("symbol", "run")) -> DataFrame:

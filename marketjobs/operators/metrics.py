@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.rolling import div, rnd
 
 KEYS = ("horizon", "model", "train_years", "features", "pi_size", "pi_handling", "min_feats")
@@ -77,7 +78,7 @@ def calibration(pred: DataFrame, bins: int = 10, keys=("horizon", "features")) -
     The edges are one array per key; bins are right-closed, the first takes its low edge too.
     """
     rows = pred.na.drop(subset=[*keys, "pred", "test_pos_n"]).select(*keys, "pred", "test_pos_n")
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile("pred", F.lit([i / bins for i in range(bins + 1)]))).alias("edges"))
+    edges = quantiles(rows, list(keys), "pred", [i / bins for i in range(bins + 1)]).select(*keys, F.array_distinct("quantiles").alias("edges"))
     joined = rows.join(edges, list(keys))
     joined = joined.withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("pred")))))
     return joined.groupBy(*keys, "bin").agg(F.count("*").alias("n"), rnd(F.avg("pred"), 6).alias("p_mean"), rnd(F.avg(F.col("test_pos_n").cast("double")), 6).alias("y_rate"), F.min("pred").alias("p_min"), F.max("pred").alias("p_max"))
