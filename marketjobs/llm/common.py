@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from ..sources.shared import new_path, shared_dir, written
+from ..sources.shared import new_path, scratch, shared_dir, written
 from ..sources.tables import read
 
-__all__ = ["attach", "is_small", "new_path", "packed", "read", "shared_dir", "small_batches", "unpacked", "words", "written"]
+__all__ = ["attach", "is_small", "new_path", "packed", "read", "scratch", "shared_dir", "small_batches", "unpacked", "words", "written"]
 
 #: White space between words; a word is everything else. Fixed values.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,7 +22,7 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 #: A side is broadcast up to so many bytes of its values.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def value_bytes(x: Column, kind: DataType) -> Column:

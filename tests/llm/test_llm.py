@@ -417,10 +417,12 @@ def shingle_set(text: str | None) -> set[str]:
 
 
 @pytest.mark.parametrize("often", [6, 1])
-def test_near_copies_fall(spark, monkeypatch, often):
+@pytest.mark.parametrize("group", [1024, 4])
+def test_near_copies_fall(spark, monkeypatch, often, group):
     """Against all pairs; near copies of a Jaccard similarity from 0.6 to 1, most of them beyond 4 of 64 bits, and a passage that all share."""
     monkeypatch.setattr(near, "FREQUENT", often)
     monkeypatch.setattr(near, "SAMPLE", 2)
+    monkeypatch.setattr(near, "GROUP", group)
     passage, texts = prose(12), [None, "", " \n", "one two", "One  TWO", "two one"]
     for _ in range(12):
         base = prose(RNG.randint(20, 150)).split()
@@ -617,3 +619,21 @@ def test_positions_of_copies(spark, tmp_path):
 @pytest.mark.parametrize("query", [tokens.op1_tokens, fingerprints.op2_fingerprints, quality.op3_quality, sharding.op4_shards, simhash.op7_simhash, bpe.op8_bpe, mixing.op9_mix, secrets.op10_secrets])
 def test_empty_tables(spark, empty, query):
     assert query(spark, empty).count() == 0
+
+
+def test_counts_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    ruled = 0
+    for n in (1, 7, 60, 900, 5000):
+        for _ in range(40):
+            x = rng.integers(-(2**62), 2**62, n)
+            keep = rng.random()
+            y = np.unique(np.r_[x[rng.random(n) < keep], rng.integers(-(2**62), 2**62, int(n * (1 - keep) * rng.random()) + 1)])
+            x = np.unique(x)
+            linked = 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+            may = near.may_link(near.bin_counts(x), near.bin_counts(y), len(x), len(y))
+            assert may or not linked
+            ruled += not may
+    assert ruled > 60
+    full = near.bin_counts(np.zeros(300, np.int64))
+    assert near.may_link(full, full, 300, 300)
