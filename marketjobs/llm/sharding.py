@@ -5,9 +5,10 @@ the next bit; the others stay. The splits of many bits are found at once: bytes
 from there up to all shorter prefixes, and a bucket's depth is the first at which it fits. Only what still exceeds the
 limit at that depth goes into another round of longer prefixes, so rounds number at most a few.
 
-Rows with equal hashes (repeated or null ids) cannot be told apart by bits. If they are too many for a shard they are laid end to end,
-in order of (size % 1024, size), and the bytes before a row, over the limit, are the number of its overflow part, which is thus at most the limit
-plus one document. Rows of one size may change places, so they are numbered within pieces of the table: no task sees all of them.
+Rows with equal hashes (repeated or null ids) cannot be told apart by bits. If they are too many for a shard they go to overflow
+parts by size: those of at most 2^c bytes and more than half of that share parts of limit / 2^c rows, so a part is within the limit,
+and half full but for the last of its class. A row's part follows from its number among the rows of its size; these are numbered within
+pieces of the table, so no task sees all of them.
 
 Defined results: null texts have 0 bytes; a document above the limit is a shard of its own; an empty table has no shards; other columns
 are kept by `sharded`, but for shard and overflow, which it adds.
@@ -26,7 +27,6 @@ from .common import attach, packed, read, unpacked, written
 LIMIT = 16 << 20
 #: The query's limit: small, so that its buckets split on small tables too.
 QUERY_LIMIT = 256 << 10
-SIZE_CLASSES = 1024
 HASH_BITS = 60
 
 
@@ -50,19 +50,35 @@ def directory(rows: DataFrame, limit: int, depth: int) -> DataFrame:
     return written(cells.select("cell").join(found.withColumnRenamed("cell", "c"), F.col("cell") == F.col("c"), "left").drop("c"), "shard-directory")
 
 
+def part_sizes(rows: DataFrame, limit: int) -> DataFrame:
+    """(h, n_bytes, first, ahead, per_part) of rows (h, n_bytes): the row numbered nr of its size is in part first + (ahead + nr) / per_part."""
+    bits = F.when(F.col("n_bytes") <= 1, 0).otherwise(F.length(F.bin(F.col("n_bytes") - 1)))
+    sizes = rows.groupBy("h", "n_bytes").agg(F.count("*").alias("n")).withColumn("bits", bits)
+    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before("h", "bits", "n_bytes")), F.lit(0)))
+    per_part = F.greatest(F.lit(1).cast("long"), F.expr(f"{limit}L div shiftleft(1L, bits)"))
+    sizes = sizes.withColumn("per_part", F.when(F.col("bits") < 62, per_part).otherwise(1))
+    classes = sizes.groupBy("h", "bits").agg(F.ceil(F.sum("n") / F.first("per_part")).alias("parts"))
+    classes = classes.select("h", "bits", F.coalesce(F.sum("parts").over(before("h", "bits")), F.lit(0)).alias("first"))
+    return written(sizes.join(classes, ["h", "bits"]).select("h", "n_bytes", "first", "ahead", "per_part"), "shard-sizes")
+
+
+def in_parts(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (h, n_bytes, piece, others), written, with overflow; for hashes whose rows are too many for one shard."""
+    same = ["h", "n_bytes"]
+    pieces = rows.groupBy(*same, "piece").agg(F.count("*").alias("n"))
+    before = W.partitionBy(*same).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = written(pieces.select(*same, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("piece_start")), "shard-pieces")
+    nr = F.row_number().over(W.partitionBy(*same, "piece").orderBy(F.lit(1))) - 1
+    out = attach(rows.withColumn("nr", nr), pieces, [*same, "piece"]).withColumn("nr", F.col("nr") + F.col("piece_start"))
+    out = attach(out, part_sizes(rows, limit), same)
+    overflow = F.expr("first + (ahead + nr) div per_part").cast("long")
+    return out.withColumn("overflow", overflow).drop("nr", "piece_start", "first", "ahead", "per_part")
+
+
 def overflow_parts(rows: DataFrame, limit: int) -> DataFrame:
-    """rows (h, n_bytes, piece, others) with overflow, shard_bytes and shard_docs; for hashes whose rows are too many for one shard."""
-    rows = rows.withColumn("size_class", F.col("n_bytes") % SIZE_CLASSES)
-    runs = written(rows.groupBy("h", "size_class", "n_bytes", "piece").agg(F.count("*").alias("n")), "shard-runs")
-    before = lambda *keys: W.partitionBy(*keys[0]).orderBy(*keys[1]).rowsBetween(W.unboundedPreceding, -1)
-    classes = runs.groupBy("h", "size_class").agg(F.sum(F.col("n") * F.col("n_bytes")).alias("b"))
-    classes = written(classes.select("h", "size_class", F.coalesce(F.sum("b").over(before(["h"], ["size_class"])), F.lit(0)).alias("class_start")), "shard-classes")
-    inside = F.coalesce(F.sum(F.col("n") * F.col("n_bytes")).over(before(["h", "size_class"], ["n_bytes", "piece"])), F.lit(0))
-    runs = attach(runs.withColumn("inside", inside), classes, ["h", "size_class"])
-    runs = written(runs.select("h", "n_bytes", "piece", (F.col("class_start") + F.col("inside")).alias("run_start")), "shard-run-starts")
-    nr = F.row_number().over(W.partitionBy("h", "n_bytes", "piece").orderBy(F.lit(1))) - 1
-    out = attach(rows.withColumn("nr", nr), runs, ["h", "n_bytes", "piece"])
-    out = written(out.withColumn("overflow", F.floor((F.col("run_start") + F.col("nr") * F.col("n_bytes")) / limit).cast("long")).drop("nr", "run_start", "size_class"), "shard-overflow")
+    """in_parts with shard_bytes and shard_docs."""
+    out = written(in_parts(rows, limit), "shard-overflow")
     sums = written(out.groupBy("h", "overflow").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs")), "shard-overflow-sums")
     return attach(out.drop("shard_bytes", "shard_docs"), sums, ["h", "overflow"])
 
@@ -93,23 +109,16 @@ def hashed(size: Column) -> list[Column]:
 
 
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs with shard (bits) and overflow."""
+    """docs with shard (bits) and overflow. Rows of hashes with several parts, which cannot be joined by id, are written once with a number of their own."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     table = placed(written(docs.select("doc_id", *hashed(size)), "shard-rows"), limit)
-    same = W.partitionBy("doc_id", "n_bytes").orderBy("overflow")
-    parts = table.groupBy("doc_id", "n_bytes", "shard", "overflow").agg(F.count("*").alias("rows"))
-    parts = parts.withColumn("upto", F.sum("rows").over(same)).withColumn("parts", F.count("*").over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    parts = written(parts, "shard-parts")
-    # groups cut into several parts: their rows are numbered, and each part takes as many as placed() gave it
-    cut = parts.where("parts > 1").groupBy("doc_id", "n_bytes").agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list(F.struct("upto", "overflow"))).alias("ends"))
-    whole = parts.where("parts = 1").select("doc_id", "n_bytes", "shard", F.array(F.struct("upto", "overflow")).alias("ends"))
-    keyed = packed(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.coalesce(F.octet_length("__row.text"), F.lit(0)).cast("long").alias("n_bytes"))
-    found = attach(keyed, written(whole.unionByName(cut), "shard-of"), ["doc_id", "n_bytes"])
-    one = found.where(F.size("ends") == 1).withColumn("overflow", F.col("ends")[0]["overflow"])
-    nr = F.row_number().over(W.partitionBy("doc_id", "n_bytes").orderBy(F.lit(1)))
-    several = found.where(F.size("ends") > 1).withColumn("__nr", nr)
-    several = several.withColumn("overflow", F.filter("ends", lambda e: e["upto"] >= F.col("__nr"))[0]["overflow"]).drop("__nr")
-    return unpacked(one.unionByName(several), "shard", "overflow")
+    shards = written(table.groupBy("h").agg(F.first("shard").alias("shard"), F.max("overflow").alias("most")), "shard-of")
+    keyed = packed(docs).select("__row", key(F.col("__row.doc_id")).alias("h"), F.coalesce(F.octet_length("__row.text"), F.lit(0)).cast("long").alias("n_bytes"))
+    found = attach(keyed, shards, ["h"])
+    one = found.where("most = 0").select("__row", "shard", F.lit(0).cast("long").alias("overflow"))
+    several = written(found.where("most > 0").select("__row", "h", "n_bytes", "shard", F.monotonically_increasing_id().alias("nr"), F.spark_partition_id().alias("piece")), "shard-several")
+    parts = written(in_parts(several.select("h", "n_bytes", "piece", F.col("nr").alias("of")), limit).select(F.col("of").alias("nr"), "overflow"), "shard-parts")
+    return unpacked(one.unionByName(attach(several, parts, ["nr"]).select("__row", "shard", "overflow")), "shard", "overflow")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
@@ -129,9 +138,10 @@ WITH d AS (
 b AS (SELECT u, doc_id, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM d, unnest(range(0, 61)) AS r(depth)),
 s AS (SELECT *, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_docs FROM b WINDOW w AS (PARTITION BY depth, bucket)),
 f AS (SELECT u, min(CASE WHEN shard_bytes <= 262144 OR shard_docs = 1 THEN depth END) AS depth FROM s GROUP BY u),
-o AS (
-  SELECT u, h, n_bytes, floor(coalesce(sum(n_bytes) OVER (PARTITION BY h ORDER BY n_bytes % 1024, n_bytes, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 262144)::BIGINT AS overflow
-  FROM d JOIN f USING (u) WHERE depth IS NULL),
+z AS (SELECT u, h, n_bytes, CASE WHEN n_bytes <= 1 THEN 0 ELSE length(bin(n_bytes - 1)) END AS bits FROM d JOIN f USING (u) WHERE depth IS NULL),
+y AS (SELECT *, greatest(1, 262144 // (1::BIGINT << bits)) AS per_part, row_number() OVER (PARTITION BY h, bits ORDER BY n_bytes, u) - 1 AS nr FROM z),
+c AS (SELECT h, bits, sum(ceil(count(*)::DOUBLE / any_value(per_part))) OVER (PARTITION BY h ORDER BY bits) - ceil(count(*)::DOUBLE / any_value(per_part)) AS start FROM y GROUP BY h, bits),
+o AS (SELECT u, y.h, n_bytes, start::BIGINT + nr // per_part AS overflow FROM y JOIN c ON c.h = y.h AND c.bits = y.bits),
 p AS (SELECT u, overflow, sum(n_bytes) OVER (PARTITION BY h, overflow) AS shard_bytes, count(*) OVER (PARTITION BY h, overflow) AS shard_docs FROM o),
 a AS (
   SELECT u, doc_id, n_bytes, h, depth, 0::BIGINT AS overflow, shard_bytes, shard_docs FROM s JOIN f USING (u, depth)

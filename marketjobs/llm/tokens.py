@@ -10,7 +10,7 @@ Files: Parquet with one row per shard; integers are little-endian (u4: unsigned
 
 Encoding goes by distinct pieces: the tokenizer drops white space and splits at it, so words can be encoded apart, and most words
 also at runs of other than letters and digits and at each digit. Which characters allow such cuts is found out from the library itself.
-A worker's dictionary is bounded and starts anew when full.
+A worker's dictionary is bounded and starts anew when full. Added tokens, which the library finds in a text before anything else, are as it finds them.
 
 Defined results: null and empty texts have the end id only; rows with one doc_id are written in order of their text; null ids come first;
 other columns are not written; an empty table gives no shards and no rows.
@@ -58,9 +58,13 @@ def vocabulary() -> str:
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added(path: str) -> list[str]:
+    """Strings that the library finds in a text before it cuts words."""
+    return sorted({t.content for t in tokenizer(path).get_added_tokens_decoder().values()})
 
 
 @cache
@@ -140,8 +144,21 @@ class Encoder:
         return pc.ascii_split_whitespace(words)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts in a row, and their number by text."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+        """ids of all texts in a row, and their number by text. Texts with an added token go to the library whole."""
+        texts = texts.cast(pa.string())
+        hit = np.zeros(len(texts), bool)
+        for token in added(self.path):
+            hit |= pc.fill_null(pc.match_substring(texts, token, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        if not hit.any():
+            return self.encode_words(texts)
+        own = [e.ids for e in tokenizer(self.path).encode_batch_fast(texts.filter(pa.array(hit)).to_pylist(), add_special_tokens=False)]
+        ids, size = self.encode_words(pc.if_else(pa.array(hit), "", texts))
+        start, n = (np.cumsum(size) - size)[hit], np.array([len(x) for x in own], np.int64)
+        size[hit] = n
+        return np.insert(ids, np.repeat(start, n), np.fromiter((x for each in own for x in each), np.uint32)), size
+
+    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         per_text = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
