@@ -150,6 +150,11 @@ def label_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volatility.label_streak(labels.select("symbol", "date", F.col("return_5").alias("label")))
 
 
+def label_streak_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = momentum.fwd_return(bars_daily(spark, sf_dir), (5,))
+    return volatility.label_streak_long(labels.select("symbol", "date", F.col("return_5").alias("label")))
+
+
 def on_bars(f):
     return lambda spark, sf_dir: f(bars_daily(spark, sf_dir))
 
@@ -159,5 +164,9 @@ QUERIES = {
     "zscore": on_bars(trend.zscores),
     "context_ffill": context_ffill,
     "label_streak": label_streak,
+    "label_streak_long": label_streak_long,
+    "obv_long": on_bars(volume.obv_long),
+    "adl_long": on_bars(volume.adl_long),
     "flagship": flagship,
 }
+ORACLE |= {f"{name}_long": ORACLE[name] for name in ("obv", "adl", "label_streak")}

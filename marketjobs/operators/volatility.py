@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rolling import KEEP, div, lag, mean, rnd, roll, std, std_exact, steps, upto, z_exact
+from ..functions.segments import DAYS, run_length
 
 
 def with_range(bars: DataFrame) -> DataFrame:
@@ -64,3 +65,10 @@ def label_streak(labels: DataFrame) -> DataFrame:
     out = out.withColumn("n", F.row_number().over(W.partitionBy("symbol", "run").orderBy("date")))
     out = out.withColumn("streak", F.when(F.col("label") == 1, F.col("n")).otherwise(-F.col("n")))
     return out.select("symbol", "date", "label", "streak", F.coalesce(F.lag("streak").over(s), F.lit(0)).alias("streak_before"))
+
+
+def label_streak_long(labels: DataFrame, days: int = DAYS) -> DataFrame:
+    """label_streak for symbols of any length: segments hand on the value and length of their last run."""
+    rows = run_length(labels.where("label is not null").select("symbol", "date", "label"), "label", days)
+    signed = lambda label, n: F.when(F.col(label) == 1, F.col(n)).otherwise(-F.col(n))
+    return rows.select("symbol", "date", "label", signed("label", "__run").cast("int").alias("streak"), F.coalesce(signed("__last", "__last_run"), F.lit(0)).cast("int").alias("streak_before"))

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunks import by_chunks
 from ..functions.rolling import KEEP, div, lag, mean, rnd, roll, std_exact, steps, upto, z_exact
+from ..functions.segments import DAYS, running_sum
+
+#: Rows of a chunk of a long symbol.
+CHUNK = 1000
 
 
 def up_down() -> tuple[Column, Column]:
@@ -15,9 +20,11 @@ def up_down() -> tuple[Column, Column]:
 
 def obv(bars: DataFrame, windows=(5, 10), z: int = 42, keep=KEEP) -> DataFrame:
     """On-balance volume, its rate of change and scores; the sum itself is replaced by its z-score."""
-    out = bars.withColumn("prev", lag("close"))
     up, down = up_down()
-    out = out.withColumn("obv", F.sum(up - down).over(upto()))
+    return obv_scores(bars.withColumn("prev", lag("close")).withColumn("obv", F.sum(up - down).over(upto())), windows, z, keep)
+
+
+def obv_scores(out: DataFrame, windows=(5, 10), z: int = 42, keep=KEEP) -> DataFrame:
     cols = [x for w in windows for x in (rnd(div(F.col("obv") - lag("obv", w), lag("obv", w)), 6).alias(f"obv_roc_{w}"), rnd(div(F.col("obv") - mean(F.col("obv"), w), std_exact(F.col("obv"), w)), 6).alias(f"obv_z_{w}"))]
     return out.select(*keep, *cols, rnd(div(F.col("obv") - mean(F.col("obv"), z), std_exact(F.col("obv"), z)), 6).alias("obv"))
 
@@ -45,10 +52,26 @@ def cmf(bars: DataFrame, windows=(10, 20), keep=KEEP) -> DataFrame:
 
 def adl(bars: DataFrame, z: int = 42, keep=KEEP) -> DataFrame:
     """Accumulation and distribution: the running sum of the flow, each day's rounded to thousandths, which sum exactly; and its score."""
-    out = bars.select("*", F.sum(steps(flow(), 3)).over(upto()).alias("__adl"))
+    return adl_scores(bars.select("*", F.sum(steps(flow(), 3)).over(upto()).alias("__adl")), z, keep)
+
+
+def adl_scores(out: DataFrame, z: int = 42, keep=KEEP) -> DataFrame:
     return out.select(*keep, (F.col("__adl") / F.lit(1000.0)).alias("adl"), rnd(z_exact(F.col("__adl"), z), 6).alias("adl_z"))
 
 
+def obv_long(bars: DataFrame, z: int = 42, chunk: int = CHUNK, days: int = DAYS) -> DataFrame:
+    """obv for symbols of any length: what looks back a bounded number of rows is done in chunks, the sum in segments that hand on theirs."""
+    up, down = up_down()
+    signed = by_chunks(bars, lambda rows: rows.withColumn("prev", lag("close")).select("symbol", "date", (up - down).alias("signed")), 1, chunk)
+    return by_chunks(running_sum(signed, F.col("signed"), "obv", days), lambda rows: obv_scores(rows, z=z), z - 1, chunk)
+
+
+def adl_long(bars: DataFrame, z: int = 42, chunk: int = CHUNK, days: int = DAYS) -> DataFrame:
+    """adl for symbols of any length, as obv_long."""
+    summed = running_sum(bars, steps(flow(), 3), "__adl", days).select("symbol", "date", "__adl")
+    return by_chunks(summed, lambda rows: adl_scores(rows, z), z - 1, chunk)
+
+
 def vroc(bars: DataFrame, windows=(3, 5, 10), keep=KEEP) -> DataFrame:
     return bars.select(*keep, *[rnd(div(F.col("volume") - lag("volume", w), lag("volume", w)), 6).alias(f"vroc_{w}") for w in windows])
 
