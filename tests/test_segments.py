@@ -50,7 +50,8 @@ def test_one_symbol_is_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         for out, made in ((running_sum(df, F.col("volume"), "total", 30), "total"), (run_length(df.withColumn("v", F.col("volume") % 2), "v", 30), "__run")):
-            assert out.groupBy(F.spark_partition_id().alias("p")).agg(F.max(made)).count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+            rows = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.max(made), F.count("*").alias("n")).collect()]
+            assert len(rows) >= 3 and max(rows) < 0.6 * sum(rows)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
