@@ -148,7 +148,11 @@ class Encoder:
         texts = texts.cast(pa.string())
         hit = np.zeros(len(texts), bool)
         for token in added(self.path):
-            hit |= pc.fill_null(pc.match_substring(texts, token, ignore_case=True), False).to_numpy(zero_copy_only=False)
+            # Signs at its beginning have no case and are found fast; what has them is looked at again.
+            signs = token[: next((i for i, c in enumerate(token) if c.isalpha()), len(token))]
+            may = pc.fill_null(pc.match_substring(texts, signs), False).to_numpy(zero_copy_only=False) & ~hit
+            some = texts.filter(pa.array(may))
+            hit[may] = pc.match_substring(some, token, ignore_case=True).to_numpy(zero_copy_only=False)
         if not hit.any():
             return self.encode_words(texts)
         own = [e.ids for e in tokenizer(self.path).encode_batch_fast(texts.filter(pa.array(hit)).to_pylist(), add_special_tokens=False)]
