@@ -34,7 +34,7 @@ K, EVERY = 20, 20
 #: Distinct vectors that the graph and the classifier are fitted to, at most; of these, so many make a part.
 SAMPLE, PER_PART = 8192, 128
 #: Queries whose neighbours are found by brute force, and the share of them that the searched parts must hold.
-CALIBRATED, TARGET = 256, 0.95
+CALIBRATED, TARGET = 256, 0.97
 #: Rows and queries of a cell.
 ROWS, QUERIES = 8192, 8192
 #: Edges of a vector in the graph.
