@@ -5,16 +5,19 @@ the score's size is the capacity to the source (content) or to the sink (boilerp
 the same parent, are joined by smoothness edges, weaker the further apart they are in the tree. The maximum flow from source to sink
 leaves the cut of least cost: what the source still reaches is content.
 
-The classifier is a logistic regression on length, punctuation, links and place in the page; no names of elements or classes are
-among its features. It is fitted to a bounded sample of the pages (FIT_PAGES), whose blocks have labels where elements say what they
-are (article, main; nav, footer and the like), both classes weighing the same; pages without such elements get fixed weights.
-What elements and class names say of a block is added to the fitted score as evidence that a few neighbours alone do not outvote.
+The classifier is a logistic regression in two parts. What the text itself shows (length, punctuation, links, place in the page, paragraph
+or heading) is fitted to blocks whose part is stated by elements or names. What elements and names say of a block is evidence, with
+weights fitted on top, each kind against the labels of the other: boilerplate evidence against "lies in an article", and article evidence
+against "lies in boilerplate". Both are fitted to a bounded sample of the pages (FIT_PAGES), both classes weighing the same, and pulled
+to fixed weights, which stand alone where a class is missing. Inside an article a name counts by the share of the class that it makes,
+so that `related-work` lowers a score and does not decide; blocks of an article that nothing speaks against are always above zero.
 
 Pages are independent rows: no shuffle, and a task holds one batch. Time is linear in a page but for the flow, which runs in
 phases over its blocks and edges (at most two edges a block).
 
 Defined results: null and empty pages give empty text; broken markup (open tags, open comments, stray ends) is read as browsers do in
-the main; a page whose blocks all look like boilerplate gives empty text; repeated rows are extracted each; other columns are kept by
+the main; a page whose blocks all look like boilerplate gives empty text, unless it has an article: then all blocks of the
+article that nothing speaks against are its text; repeated rows are extracted each; other columns are kept by
 `extracted`, but columns named as those of its result are replaced.
 """
 
@@ -51,37 +54,52 @@ BOILERPLATE_NAMES = frozenset(
     "ad adbox ads adsbygoogle adslot adunit adv advert adverts advertisement advertising advertorial alert announcement banner billboard bookmark breadcrumb breadcrumbs byline captcha comment commentform commentlist comments consent cookie cookiebar cookies copyright cta disclaimer discussion disqus donate feedback filter flyout footer foot gdpr header hidden legal links login masthead menu meta modal nav navbar navigation newsletter notice notices notification optin overlay pager pagination paywall popup popular privacy promo promoted promotion rating recommend recommended related replies reply replyform respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar trending widget widgets".split()
 )
 CONTENT_NAMES = frozenset("article articlebody body content entry main post story text".split())
+#: Parts of a class name that say nothing of what it holds.
+CARRIERS = CONTENT_NAMES | frozenset("area bar block bottom box button buttons card cell col column container count form group hero icon icons inner item items left list module outer page panel posts right row section site slot top unit wrap wrapper".split())
+#: Names of boilerplate that are subjects of articles as well: inside an article they count half.
+AMBIGUOUS = frozenset("discussion feedback legal popular privacy rating related social trending".split())
+#: Names that belong to an article if they are inside it.
+OF_ARTICLE = frozenset("byline header meta tags".split())
 #: A class with one of these names describes a page's layout and not the part inside.
 LAYOUT_NAMES = frozenset("has is layout no with without".split())
 #: Parts of a class name: at hyphens and the like, and at capitals.
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PHRASES = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog in\b|share this|read more|terms of (?:use|service)|privacy policy", re.I)
 ENDING = ".!?…:;\"»”’)。！？"
-#: Evidence of elements and names: inside an article; under a content name; under boilerplate; with a phrase of boilerplate, outside an article. A fitted score is at most LIMIT on either side.
-IN_ARTICLE, IN_CONTENT, IN_BOILERPLATE, PHRASE, LIMIT = 1.5, 1.5, -9.0, -2.0, 3.0
 #: Smoothness of blocks that follow each other under one parent, and of the next ones under a parent that are apart; both halve with each further step in the tree, and are
-#: multiplied by BORDER where only one of the blocks is under boilerplate.
+#: multiplied by BORDER where only one of the blocks is under boilerplate (by less where names say so in part).
 FOLLOWS, SIBLINGS, BORDER = 2.0, 1.0, 0.1
-#: The classifier is fitted to at most so many pages, and pulled to the fixed weights with this strength.
-FIT_PAGES, PULL = 1000, 10.0
-#: Weights of FEATURES where pages cannot be fitted.
-FEATURES = ("one", "log_words", "ends", "links", "marks", "edge")
-FIXED = (-2.5, 0.9, 0.8, -3.5, 2.0, -0.8)
+#: The classifier is fitted to some FIT_PAGES pages, and pulled to the fixed weights with this strength, at least, or this share of the blocks.
+FIT_PAGES, PULL, PULL_SHARE = 1000, 10.0, 0.005
+#: What the text shows, and the weights where pages cannot be fitted. Its part of a score is at most LIMIT on either side.
+TEXT = ("one", "log_words", "ends", "links", "marks", "edge", "paragraph", "heading")
+FIXED_TEXT = (-2.5, 0.9, 0.8, -3.5, 2.0, -0.8, 0.5, 0.5)
+LIMIT = 2.5
+#: Evidence: inside an article; under a content name outside one; under an element, role or style of boilerplate; under its names; a phrase of it, outside an article.
+EVIDENCE = ("article", "content", "stated", "named", "phrase")
+FIXED_EVIDENCE = (4.0, 1.5, -8.0, -8.0, -2.0)
+FEATURES, FIXED = TEXT + EVIDENCE, FIXED_TEXT + FIXED_EVIDENCE
+PARAGRAPHS, HEADINGS = frozenset("blockquote figcaption p pre".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass(slots=True)
 class Node:
-    """An open element: number, parent, depth; whether it lies in boilerplate, an article, or under a content name."""
+    """An open element: number, parent, depth; whether an element or role puts it in boilerplate, how much names do (0 to 1), and whether it lies in an article or under a content name."""
 
     tag: str
     number: int
     parent: Node | None
     depth: int
-    bad: bool = False
+    stated: bool = False
     by_form: bool = False
+    named: float = 0.0
     article: bool = False
     content: bool = False
 
+    @property
+    def bad(self) -> float:
+        return 1.0 if self.stated else self.named
+
 
 @dataclass(slots=True)
 class Block:
@@ -92,34 +110,45 @@ class Block:
     main: bool = False
 
 
+def name_share(parts: list[str], article: bool) -> float:
+    """How much a class name speaks for boilerplate: outside an article any of its parts may, inside one by their share."""
+    own = BOILERPLATE_NAMES.intersection(parts)
+    if not article:
+        return float(bool(own))
+    own -= OF_ARTICLE
+    if not own:
+        return 0.0
+    share = len(own) / len(own.union(parts) - (CARRIERS - own))
+    return share / 2 if own <= AMBIGUOUS else share
+
+
 def opened(tag: str, attrs: str, number: int, parent: Node) -> Node:
-    node = Node(tag, number, parent, parent.depth + 1, parent.bad, parent.by_form, parent.article, parent.content)
+    node = Node(tag, number, parent, parent.depth + 1, parent.stated, parent.by_form, parent.named, parent.article, parent.content)
     if tag in ("article", "main"):
         if node.by_form or tag == "main":
-            node.bad = node.by_form = False
-        node.article = True
+            node.stated, node.by_form, node.named = False, False, 0.0
+        node.article = node.article or not node.bad
     elif tag in BOILERPLATE_TAGS or tag == "header" and not node.article:
-        node.bad, node.by_form = True, False
-    elif tag == "form" and not node.bad:
-        node.bad = node.by_form = True
+        node.stated, node.by_form = True, False
+    elif tag == "form" and not node.stated:
+        node.stated = node.by_form = True
     if attrs and tag not in ("body", "html"):
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 for word in value.split():
                     parts = [x.lower() for x in NAME.findall(word)]
-                    if not LAYOUT_NAMES.intersection(parts):
-                        own = BOILERPLATE_NAMES.intersection(parts) - ({"header", "meta", "byline", "tags", "text"} if node.article else set())
-                        if own and tag != "main":
-                            node.bad, node.by_form = True, False
-                        elif CONTENT_NAMES.intersection(parts):
-                            node.content = True
+                    if LAYOUT_NAMES.intersection(parts):
+                        continue
+                    share = name_share(parts, node.article) if tag != "main" else 0.0
+                    node.named = max(node.named, share)
+                    node.content = node.content or not share and not CONTENT_NAMES.isdisjoint(parts)
                 continue
             value = value.lower()
             if name == "role" and value in BOILERPLATE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                node.bad, node.by_form = True, False
+                node.stated, node.by_form = True, False
             elif name == "role" and value in ("main", "article"):
-                node.article = True
+                node.article = node.article or not node.bad
     return node
 
 
@@ -210,35 +239,35 @@ def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block of a page: edge is 0 in the middle of the page's text and 1 at its ends."""
     out, total, before = np.zeros((len(found), len(FEATURES))), sum(len(b.text) for b in found), 0
     for row, b in zip(out, found, strict=True):
-        text, size = b.text, len(b.text)
+        text, size, node = b.text, len(b.text), b.node
         words = text.count(" ") + 1
         marks = sum(map(text.count, ",.;:!?")) / words
         edge = abs(2 * (before + size / 2) / total - 1)
-        row[:] = (1.0, math.log(words), text[-1] in ENDING, b.in_links / size, min(marks, 0.5), edge)
+        phrase = not node.article and size < 200 and PHRASES.search(text) is not None
+        shown = (1.0, math.log(words), text[-1] in ENDING, b.in_links / size, min(marks, 0.5), edge, node.tag in PARAGRAPHS, node.tag in HEADINGS)
+        row[:] = (*shown, node.article, node.content and not node.article, node.stated, 0.0 if node.stated else node.named, phrase)
         before += size
     return out
 
 
-def evidence(b: Block) -> float:
-    node = b.node
-    phrase = not node.article and len(b.text) < 200 and PHRASES.search(b.text) is not None
-    return IN_BOILERPLATE * node.bad + IN_ARTICLE * node.article + IN_CONTENT * (node.content and not node.article) + PHRASE * phrase
+def shown(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The part of scores that the text gives."""
+    return np.clip(x[:, : len(TEXT)] @ weights[: len(TEXT)], -LIMIT, LIMIT)
 
 
 def scores(found: list[Block], weights: np.ndarray) -> list[float]:
-    fitted = np.clip(features(found) @ weights, -LIMIT, LIMIT)
-    return [float(x) + evidence(b) for x, b in zip(fitted, found, strict=True)]
+    x = features(found)
+    return (shown(x, weights) + x[:, len(TEXT) :] @ weights[len(TEXT) :]).tolist()
 
 
-def regression(x: np.ndarray, y: np.ndarray, pull: float = PULL) -> np.ndarray:
-    """Weights of a logistic regression, both classes weighing the same, pulled towards FIXED; FIXED if a class is missing."""
-    fixed = np.array(FIXED)
+def regression(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, offset: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights of a logistic regression beside an offset, both classes weighing the same, pulled towards fixed; fixed if a class is missing."""
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     if not n.all():
         return fixed
-    share, w = (len(y) / (2 * n))[y.astype(int)], fixed.copy()
+    pull, share, w = max(PULL, PULL_SHARE * len(y)), (len(y) / (2 * n))[y.astype(int)], fixed.copy()
     for _ in range(25):  # Newton's steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
         slope = x.T @ (share * (y - p)) - pull * (w - fixed)
         step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), slope)
         w = w + np.clip(step, -1, 1)
@@ -247,9 +276,21 @@ def regression(x: np.ndarray, y: np.ndarray, pull: float = PULL) -> np.ndarray:
     return w
 
 
+def weights_of(x: np.ndarray) -> np.ndarray:
+    """Weights from rows of FEATURES, a row for each block of which elements or names say something. Blocks of an article with evidence against them have no label."""
+    column, k = {f: x[:, i] for i, f in enumerate(FEATURES)}, len(TEXT)
+    article, bad = column["article"] > 0, (column["stated"] > 0) | (column["named"] > 0)
+    known = article != bad
+    out = np.array(FIXED)
+    out[:k] = regression(x[known, :k], article[known].astype(float), out[:k])
+    base, kinds = shown(x, out), np.array([f in ("article", "content") for f in EVIDENCE])
+    for own, label in ((~kinds, article), (kinds, ~bad)):
+        out[k:][own] = regression(x[known, k:][:, own], label[known].astype(float), out[k:][own], base[known])
+    return out
+
+
 def fitted(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
-    """Weights of FEATURES, from the labelled blocks of some `most` pages, chosen by a hash of the page and so at random; at most 64 blocks a page."""
-    width = len(FEATURES)
+    """Weights of FEATURES, from the blocks of some `most` different pages, chosen by a hash of the page and so at random; at most 64 blocks a page. Reruns agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,17 +298,15 @@ def fitted(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
             for page in batch.column("html"):
                 found = blocks(page.as_py() or "")
                 known = [i for i, b in enumerate(found) if b.node.bad or b.node.article]
-                own = features(found)[known[:: max(1, -(-len(known) // 64))]]
-                label = [float(not found[i].node.bad) for i in known[:: max(1, -(-len(known) // 64))]]
-                rows += [[*x, y] for x, y in zip(own.tolist(), label, strict=True)]
+                rows += features(found)[known[:: max(1, -(-len(known) // 64))]].tolist()
             yield pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
 
     h = F.pmod(F.xxhash64("html"), F.lit(1 << 30))
     total = pages.count()
-    some = pages.select("html").where(h < math.ceil((1 << 30) * min(1.0, most / max(1, total)))).limit(2 * most)
+    some = pages.select("html").where(h < math.ceil((1 << 30) * min(1.0, most / max(1, total)))).distinct()
+    some = some.orderBy(h, "html").limit(2 * most).repartition(8, "html")
     rows = sorted(r.row for r in some.mapInArrow(run, "row array<double>").collect())
-    table = np.array(rows).reshape(-1, width + 1)
-    return regression(table[:, :width], table[:, width])
+    return weights_of(np.array(rows).reshape(-1, len(FEATURES)))
 
 
 def apart(a: Node, b: Node) -> int:
@@ -286,7 +325,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
 
     def join(a: int, b: int, weight: float) -> None:
-        out.append((a, b, weight * (1.0 if found[a].node.bad == found[b].node.bad else BORDER)))
+        out.append((a, b, weight * (1 - (1 - BORDER) * abs(found[a].node.bad - found[b].node.bad))))
 
     for i, b in enumerate(found):
         if i:
@@ -359,6 +398,9 @@ def labelled(page: str, weights: np.ndarray | None = None) -> list[Block]:
         b.score = x
     for b, main in zip(found, min_cut([b.score for b in found], edges(found)), strict=True):
         b.main = main
+    if not any(b.main for b in found):
+        for b in found:
+            b.main = b.node.article and not b.node.bad
     return found
 
 
