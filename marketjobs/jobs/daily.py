@@ -167,6 +167,21 @@ QUERIES = {
     "label_streak_long": label_streak_long,
     "obv_long": on_bars(volume.obv_long),
     "adl_long": on_bars(volume.adl_long),
+    "extremes_long": on_bars(trend.extremes_long),
     "flagship": flagship,
 }
 ORACLE |= {f"{name}_long": ORACLE[name] for name in ("obv", "adl", "label_streak")}
+
+
+def extremes_sql(w: int) -> str:
+    over = f"CASE WHEN rn >= {w - 1} THEN {{}} OVER (PARTITION BY symbol ORDER BY rn ROWS {w - 1} PRECEDING) END"
+    top, bottom = over.format("max(high)"), over.format("min(low)")
+    first = over.format("max({'v': high, 'at': -rn})"), over.format("min({'v': low, 'at': rn})")
+    out = {f"close_rel_max_{w}": div("close", top), f"close_rel_min_{w}": div("close", bottom), f"williams_{w}": div(f"(({top}) - close) * -100", f"({top}) - ({bottom})")}
+    cols = [f"{rnd(x, 4 if c.startswith('w') else 6)} AS {c}" for c, x in out.items()]
+    return ", ".join([*cols, f"rn + ({first[0]}).at AS since_max_{w}", f"rn - ({first[1]}).at AS since_min_{w}"])
+
+
+ORACLE["extremes_long"] = "WITH " + BARS.strip() + f""",
+x AS (SELECT *, row_number() OVER {S} - 1 AS rn FROM bars)
+SELECT symbol, date, {', '.join(map(extremes_sql, (5, 252, 1000)))} FROM x"""

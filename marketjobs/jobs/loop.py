@@ -12,7 +12,7 @@ from ..functions.rolling import lag, lead, rnd
 from ..operators import fit, walk
 from ..operators.metrics import KEYS
 from ..sources import history as stored
-from ..sources.shared import new_path, written
+from ..sources.shared import new_path, once, path_of, written
 from ..sources.tables import bars_daily
 from .daily import BARS, S
 from .daily import rnd as sql_rnd
@@ -27,14 +27,23 @@ KNOWN_UNTIL = "1997-06-01"
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date, close, rn, n, features, and label_r for each horizon; written, as every horizon reads it."""
+    """symbol, date, close, rn, n, features, and label_r for each horizon; written once for all queries on the same tables."""
+    return once(spark, path_of(spark, "panel", *tables(sf_dir)), lambda: panel_rows(spark, sf_dir))
+
+
+def tables(sf_dir: str) -> list[str]:
+    """What bars are made of."""
+    return [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"]
+
+
+def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_daily(spark, sf_dir)
     rows = chunks.numbered(bars).withColumn("rn", (F.col("rn") + 1).cast("int"))
     rows = rows.withColumn("n", F.count("*").over(chunks.whole("symbol")).cast("int"))
     prev = lambda c: F.col(c) - lag(c)
     cols = [walk.bucket(prev("close")).alias("change"), walk.bucket(F.col("open") - lag("close")).alias("gap"), walk.bucket(F.col("close") - F.col("open")).alias("body"), walk.bucket(prev("volume")).alias("turnover")]
     labels = [F.when(lead("close", r) > F.col("close"), 1).when(lead("close", r) <= F.col("close"), 0).alias(f"label_{r}") for r in HORIZONS]
-    return written(rows.select("symbol", "date", "close", "rn", "n", *cols, *labels), "panel")
+    return rows.select("symbol", "date", "close", "rn", "n", *cols, *labels)
 
 
 def of_horizon(rows: DataFrame, r: int) -> DataFrame:
@@ -51,10 +60,11 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predictions of the grid, appended to a new history and read from it."""
-    rows, path = grid_rows(spark, sf_dir), new_path(spark, "history")
-    stored.append(rows, path)
-    return stored.load(spark, path, rows.schema)
+    """The predictions of the grid, from the stored history. The first query on a set of tables makes and appends them; the others only read."""
+    path = path_of(spark, "history", *tables(sf_dir))
+    if "grid" not in stored.runs(spark, path):
+        stored.append(grid_rows(spark, sf_dir), path, "grid")
+    return stored.load(spark, path)
 
 
 def run_grid(spark, sf_dir):
@@ -70,13 +80,27 @@ def score_unlabelled(spark, sf_dir):
     return each_horizon(panel(spark, sf_dir), lambda rows, r: walk.run_grid(rows, r, TEST, CONFIGS, SETS, last_only=True)).drop("test_pos_n", "acc")
 
 
-def score_pending(spark, sf_dir):
-    """Predictions of the labelled days since each configuration's last as-of date in a stored history."""
-    rows = panel(spark, sf_dir)
+def known_history(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a new history that ends at KNOWN_UNTIL."""
     path = new_path(spark, "history")
-    past = each_horizon(rows, lambda own, r: walk.run_grid(own, r, TEST, CONFIGS, SETS)).where(F.col("date") < F.lit(KNOWN_UNTIL).cast("date"))
-    stored.append(past, path)
-    return each_horizon(rows, lambda own, r: walk.score_pending(own, stored.load(spark, path, past.schema, r), r, CONFIGS, SETS))
+    stored.append(history(spark, sf_dir).where(F.col("date") < F.lit(KNOWN_UNTIL).cast("date")), path, "known")
+    return path
+
+
+def pending(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Predictions of the labelled days of a panel since each configuration's last as-of date in the history at a path."""
+    return each_horizon(rows, lambda own, r: walk.score_pending(own, stored.load(spark, path, horizon=r), r, CONFIGS, SETS))
+
+
+def score_pending(spark, sf_dir):
+    return pending(spark, panel(spark, sf_dir), known_history(spark, sf_dir))
+
+
+def pending_history(spark, sf_dir):
+    """The history with the pending days' predictions appended; a call on it as it is then finds none."""
+    path, rows = known_history(spark, sf_dir), panel(spark, sf_dir)
+    stored.append(pending(spark, rows, path), path, "pending")
+    return stored.load(spark, path)
 
 
 def runs_to_replay(spark, sf_dir):
@@ -113,7 +137,7 @@ def grid_importance_chosen(spark, sf_dir):
     return fit.chosen_features(written(importance_table(spark, sf_dir), "importance"), keys=("symbol", "horizon", "run"))
 
 
-QUERIES = {f.__name__: f for f in (fold_accuracy, distinct_sets, grid_importance, grid_importance_rollup, grid_importance_chosen, run_grid, selection_modes, score_unlabelled, score_pending, runs_to_replay)}
+QUERIES = {f.__name__: f for f in (fold_accuracy, distinct_sets, grid_importance, grid_importance_rollup, grid_importance_chosen, run_grid, selection_modes, score_unlabelled, score_pending, pending_history, runs_to_replay)}
 
 NAMES = walk.names_of(SETS)
 GROUP = {f: g for g, own in SETS.items() for f in own}
@@ -212,6 +236,7 @@ ORACLE = {
     "selection_modes": START + base_sql(MODE_CONFIGS) + "," + fit_sql(MODE_CONFIGS, FOLD_ENDS) + f"\nSELECT symbol, horizon, ((n - horizon - rn - {TEST} - horizon) // {TEST})::INT AS run, {', '.join(OTHER_KEYS)}, f AS feature FROM rate",
     "score_unlabelled": START + base_sql(CONFIGS) + "," + fit_sql(CONFIGS, "rn = n - 2 * horizon") + "," + score_sql(NEWEST) + "\nSELECT " + COLUMNS.replace("test_pos_n, acc, ", "") + " FROM pred",
     "score_pending": PRED + "," + ENDS + "," + fit_sql(CONFIGS, "(symbol, horizon, rn) IN (SELECT (symbol, horizon, fit_rn) FROM ends)", "2") + "," + score_sql(FRESH, SAME, "2") + f"\nSELECT {COLUMNS} FROM pred2",
+    "pending_history": PRED + "," + ENDS + "," + fit_sql(CONFIGS, "(symbol, horizon, rn) IN (SELECT (symbol, horizon, fit_rn) FROM ends)", "2") + "," + score_sql(FRESH, SAME, "2") + f"\nSELECT {COLUMNS} FROM past UNION ALL SELECT {COLUMNS} FROM pred2",
     "runs_to_replay": PRED + f"""
 SELECT l.symbol, l.horizon, first_date, count(*) AS days, (count(*) // {TEST})::BIGINT AS runs
 FROM l JOIN (SELECT symbol, horizon, min(date) AS first_date FROM pred GROUP BY symbol, horizon) p ON l.symbol = p.symbol AND l.horizon = p.horizon

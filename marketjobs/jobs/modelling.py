@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .daily import BARS, S
 from .daily import div as sql_div
 from .daily import rnd as sql_rnd
 
-YEARS, RUNS, STEP, TEST, PURGE = 1, 20, 5, 5, 5
+YEARS, STEP, TEST, PURGE = 1, 5, 5, 5
 FEATURES = ["ret1", "ret2", "gap", "span", "vol"]
 REPRESENTED = 0.3
 
@@ -31,11 +33,11 @@ def numbered(spark, sf_dir):
 
 def fold_plan(spark, sf_dir):
     sizes = numbered(spark, sf_dir).groupBy("symbol").agg(F.max("rn").alias("n"))
-    return folds.plan(sizes, YEARS, RUNS, STEP, TEST, PURGE)
+    return folds.plan(sizes, YEARS, None, STEP, TEST, PURGE)
 
 
 def folded(spark, sf_dir):
-    return folds.with_folds(numbered(spark, sf_dir), YEARS, RUNS, STEP, TEST, PURGE)
+    return folds.with_folds(numbered(spark, sf_dir), YEARS, None, STEP, TEST, PURGE)
 
 
 def fold_rows(spark, sf_dir):
@@ -93,6 +95,16 @@ def corr_pairs(spark, sf_dir):
     return prune.correlations(features(spark, sf_dir), FEATURES).select("a", "b", rnd(F.col("r"), 6).alias("r"))
 
 
+LAGS = 12
+
+
+def corr_wide(spark, sf_dir):
+    """Correlations of prices and volumes with each other up to LAGS rows before: 60 columns, 1,770 pairs, one pass."""
+    bars = bars_daily(spark, sf_dir)
+    rows = bars.select(*[lag(c, k).alias(f"{c}_{k}") for c in ("open", "high", "low", "close", "volume") for k in range(1, LAGS + 1)])
+    return prune.correlations_wide(rows, rows.columns).select("a", "b", rnd(F.col("r"), 6).alias("r"))
+
+
 def corr_prune(spark, sf_dir):
     return prune.pruned(prune.correlations(features(spark, sf_dir), FEATURES), 0.5)
 
@@ -106,7 +118,7 @@ def representatives(spark, sf_dir):
     return prune.representatives(prune.correlations(rows, FEATURES), prune.target_corr(rows, FEATURES, "ahead"), REPRESENTED)
 
 
-QUERIES = {f.__name__: f for f in (split_sizes, representatives, fold_plan, fold_rows, fold_class_dist, walk_forward_rate, grid, set_pairs, resolve_sets, normalize_names, corr_pairs, corr_prune, target_corr)}
+QUERIES = {f.__name__: f for f in (split_sizes, representatives, fold_plan, fold_rows, fold_class_dist, walk_forward_rate, grid, set_pairs, resolve_sets, normalize_names, corr_pairs, corr_wide, corr_prune, target_corr)}
 
 ROWS = "WITH " + BARS.strip() + f""",
 lab AS (
@@ -116,7 +128,7 @@ num AS (SELECT *, (row_number() OVER {S})::INT AS rn FROM lab WHERE label IS NOT
 size AS (SELECT symbol, max(rn) AS n FROM num GROUP BY symbol),
 plan AS (
   SELECT symbol, run, te - {TEST} + 1 - 1 - {PURGE} - {245 * YEARS} + 1 AS train_start, te - {TEST} - {PURGE} AS train_end, te - {TEST} + 1 AS test_start, te AS test_end
-  FROM (SELECT symbol, run::INT AS run, (n - run * {STEP})::INT AS te FROM size, unnest(range(0, {RUNS})) u(run)) WHERE te - {TEST} - {PURGE} - {245 * YEARS} + 1 >= 1),
+  FROM (SELECT symbol, run::INT AS run, (n - run * {STEP})::INT AS te FROM size, unnest(range(0, n // {STEP} + 1)) u(run)) WHERE te - {TEST} - {PURGE} - {245 * YEARS} + 1 >= 1),
 fold AS (
   SELECT num.*, run, 'test' AS part FROM num JOIN plan ON num.symbol = plan.symbol AND rn BETWEEN test_start AND test_end
   UNION ALL SELECT num.*, run, 'train' FROM num JOIN plan ON num.symbol = plan.symbol AND rn BETWEEN train_start AND train_end)"""
@@ -153,3 +165,8 @@ go AS (
 SELECT DISTINCT unnest(kept) AS col FROM go WHERE place = {len(FEATURES) - 1}""",
     "target_corr": FEAT + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS col, {i} AS pos, {sql_rnd(f'corr({a}, ahead)', 6)} AS r FROM x" for i, a in enumerate(FEATURES)),
 }
+WIDE = [f"{c}_{k}" for c in ("open", "high", "low", "close", "volume") for k in range(1, LAGS + 1)]
+ORACLE["corr_wide"] = "WITH " + BARS.strip() + f""",
+x AS (SELECT {', '.join(f"(lag({w.rpartition('_')[0]}, {w.rpartition('_')[2]}) OVER {S})::DOUBLE AS {w}" for w in WIDE)} FROM bars),
+c AS (SELECT {', '.join(f"corr({a}, {b}) AS r{i}_{j}" for (i, a), (j, b) in combinations(enumerate(WIDE), 2))} FROM x)
+SELECT unnest({[a for a, _ in combinations(WIDE, 2)]}) AS a, unnest({[b for _, b in combinations(WIDE, 2)]}) AS b, unnest([{', '.join(sql_rnd(f"r{i}_{j}", 6) for i, j in combinations(range(len(WIDE)), 2))}]) AS r FROM c"""

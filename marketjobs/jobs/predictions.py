@@ -90,7 +90,7 @@ def price_ratio(spark, sf_dir):
 
 
 def cutoff_metrics(spark, sf_dir):
-    return metrics.config_metrics(select.since_cutoffs(predictions(spark, sf_dir), list(CUTOFFS)), keys=("cutoff", *KEYS)).select("cutoff", *KEYS, "records", "pos_rate", "brier", "mcc")
+    return metrics.cutoff_metrics(predictions(spark, sf_dir), list(CUTOFFS)).select("cutoff", *KEYS, "records", "pos_rate", "brier", "mcc")
 
 
 def history_dedup(spark, sf_dir):

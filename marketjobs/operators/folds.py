@@ -20,10 +20,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     return known.withColumn("n", F.count("*").over(series().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
 
 
-def plan(sizes: DataFrame, years: int, runs: int, step: int, test: int, purge: int, days: int = DAYS_A_YEAR) -> DataFrame:
-    """symbol, n -> a row per run that fits: first and last row of test and train, both included; `purge` rows between them are left out."""
+def plan(sizes: DataFrame, years: int, runs: int | None, step: int, test: int, purge: int, days: int = DAYS_A_YEAR) -> DataFrame:
+    """symbol, n -> a row per run that fits, or the newest `runs` of them: first and last row of test and train, both included; `purge` rows between them are left out."""
     train = days * years
-    out = sizes.select("symbol", F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    last = F.greatest(F.floor((F.col("n") - test - purge - train) / step).cast("int"), F.lit(0))
+    last = last if runs is None else F.least(last, F.lit(runs - 1))
+    out = sizes.select("symbol", F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("run"))
     out = out.withColumn("test_end", F.col("n") - F.col("run") * step).withColumn("test_start", F.col("test_end") - test + 1)
     out = out.withColumn("train_end", F.col("test_start") - 1 - purge).withColumn("train_start", F.col("train_end") - train + 1)
     return out.where("train_start >= 1").select("symbol", "run", "train_start", "train_end", "test_start", "test_end")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
@@ -39,30 +39,62 @@ def logistic(score: Column) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
-def config_metrics(pred: DataFrame, min_th: float = 0.55, cov_th: float = 0.75, keys=KEYS) -> DataFrame:
-    """One row per configuration with records of both known outcome and confident prediction; one shuffle, partly aggregated before.
+#: Sums that the metrics of any union of sets of predictions follow from.
+COUNTS = ("records", "ups", "pos_preds", "neg_preds", "tp", "tn", "sure", "sure_pos", "sure_neg", "sure_tp", "sure_tn")
+LOSSES = ("brier_sum", "loss_sum")
 
-    brier and log_loss use clipped probabilities; log_loss needs both outcomes, mcc both outcomes and both predicted classes.
-    """
+
+def metric_sums(pred: DataFrame, min_th: float = 0.55, cov_th: float = 0.75, keys=KEYS) -> DataFrame:
+    """By key: COUNTS and LOSSES of the records of both known outcome and confident prediction; one shuffle, partly aggregated before."""
     rows = confident(pred.na.drop(subset=[*keys, "test_pos_n", "pred"]), min_th)
     p = clipped(F.col("pred"))
     rows = rows.withColumn("y", F.col("test_pos_n").cast("int")).withColumn("p", p).withColumn("yhat", three_way(F.col("p"), min_th)).where("yhat is not null")
     sure = (F.col("p") >= cov_th) | (F.col("p") <= lower_bound(cov_th))
     pos, neg, up, down = F.col("yhat") == 1, F.col("yhat") == 0, F.col("y") == 1, F.col("y") == 0
     n = lambda c: F.count_if(c)
-    agg = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("records"), n(up).alias("ups"), n(pos).alias("pos_preds"), n(neg).alias("neg_preds"), n(pos & up).alias("tp"), n(neg & down).alias("tn"),
         n(sure).alias("sure"), n(sure & pos).alias("sure_pos"), n(sure & neg).alias("sure_neg"), n(sure & pos & up).alias("sure_tp"), n(sure & neg & down).alias("sure_tn"),
-        F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("b"), F.avg(F.when(up, -F.log("p")).otherwise(-F.log(1 - F.col("p")))).alias("ll"),
+        F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier_sum"), F.sum(F.when(up, -F.log("p")).otherwise(-F.log(1 - F.col("p")))).alias("loss_sum"),
     )
+
+
+def config_metrics(pred: DataFrame, min_th: float = 0.55, cov_th: float = 0.75, keys=KEYS) -> DataFrame:
+    """One row per configuration with records of both known outcome and confident prediction.
+
+    brier and log_loss use clipped probabilities; log_loss needs both outcomes, mcc both outcomes and both predicted classes.
+    """
+    return from_sums(metric_sums(pred, min_th, cov_th, keys), keys)
+
+
+def cutoff_metrics(pred: DataFrame, cutoffs: list[str], keys=KEYS) -> DataFrame:
+    """config_metrics of the predictions since each of the cutoff dates: sums by the interval between cutoffs, then sums of all later intervals.
+
+    Each prediction is read and counted once, however many cutoffs there are; only sums, a row per key and interval, are added up.
+    """
+    if not cutoffs:
+        raise ValueError("no cutoff dates")
+    dates = F.array(*[F.lit(c).cast("date") for c in sorted(set(cutoffs))])
+    past = F.size(F.filter(dates, lambda c: c <= F.col("date")))
+    sums = metric_sums(pred.withColumn("interval", past).where("interval > 0"), keys=("interval", *keys))
+    every = sums.select(*keys).distinct().select(F.explode(F.sequence(F.lit(1), F.size(dates))).alias("interval"), *keys)
+    none = every.select("interval", *keys, *[F.lit(0).cast("long").alias(c) for c in COUNTS], *[F.lit(0.0).alias(c) for c in LOSSES])
+    each = sums.unionByName(none).groupBy("interval", *keys).agg(*[F.sum(c).alias(c) for c in (*COUNTS, *LOSSES)])
+    later = Window.partitionBy(*keys).orderBy(F.col("interval").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    since = each.select(F.get(dates, F.col("interval") - 1).alias("cutoff"), *keys, *[F.sum(c).over(later).alias(c) for c in (*COUNTS, *LOSSES)])
+    return from_sums(since.where("records > 0"), ("cutoff", *keys))
+
+
+def from_sums(agg: DataFrame, keys=KEYS) -> DataFrame:
+    """The metrics of rows of COUNTS and LOSSES."""
     r, ups, tp, tn, pp, np_ = (F.col(c).cast("double") for c in ("records", "ups", "tp", "tn", "pos_preds", "neg_preds"))
     both, fp, fn = (ups > 0) & (ups < r), pp - tp, np_ - tn
     mcc = div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
     prec, nprec = div(tp, pp), div(tn, np_)
     sprec, snprec = div(F.col("sure_tp"), F.col("sure_pos")), div(F.col("sure_tn"), F.col("sure_neg"))
     return agg.select(
-        *keys, "records", rnd(ups / r, 6).alias("pos_rate"), rnd((prec + nprec) / 2, 2).alias("bal_prec"), rnd((sprec + snprec) / 2, 2).alias("bal_prec_th"), rnd(F.col("b"), 6).alias("brier"),
-        F.when(both, rnd(F.col("ll"), 6)).alias("log_loss"), F.when(both & (pp > 0) & (np_ > 0), rnd(mcc, 6)).alias("mcc"), rnd(prec, 6).alias("pprec"), rnd(nprec, 6).alias("nprec"),
+        *keys, "records", rnd(ups / r, 6).alias("pos_rate"), rnd((prec + nprec) / 2, 2).alias("bal_prec"), rnd((sprec + snprec) / 2, 2).alias("bal_prec_th"), rnd(F.col("brier_sum") / r, 6).alias("brier"),
+        F.when(both, rnd(F.col("loss_sum") / r, 6)).alias("log_loss"), F.when(both & (pp > 0) & (np_ > 0), rnd(mcc, 6)).alias("mcc"), rnd(prec, 6).alias("pprec"), rnd(nprec, 6).alias("nprec"),
         rnd(F.col("sure") / r, 6).alias("cov_th"), rnd(sprec, 6).alias("pprec_th"), rnd(snprec, 6).alias("nprec_th"), "pos_preds", "neg_preds",
     )
 

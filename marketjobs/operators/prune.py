@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import rnd
 
 BATCH = 200
+#: Columns of a block of correlations_wide: a task holds seven matrices of this width.
+BLOCK = 1000
+#: Rows whose means the values are taken from before they are multiplied; any other point gives the same results but for rounding.
+CENTRE_ROWS = 1000
 
 
 def resolve_sets(sets: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -57,6 +64,60 @@ def correlations(rows: DataFrame, columns: list[str], batch: int = BATCH) -> Dat
     return out
 
 
+def correlations_wide(rows: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """(a, b, i, j, r) for i < j, for very many columns: pairwise complete correlations from block Gram matrices.
+
+    A task adds up, for all pairs of columns at once, the products of its rows where both are there, and gives a row per pair; these are
+    summed by pair. One pass over the rows for up to `block` columns, and one for each pair of blocks beyond. Null, NaN and infinite
+    values are missing; r is null for fewer than two rows or a column without spread.
+    """
+    types = [F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)]
+    numbers, centre = rows.select(*types), np.zeros(len(columns))
+    some = numbers.limit(CENTRE_ROWS).agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in numbers.columns]).first()
+    centre = np.array([x or 0.0 for x in some])
+    cuts = [range(k, min(k + block, len(columns))) for k in range(0, len(columns), block)]
+    out = None
+    for left, right in combinations_with_replacement(cuts, 2):
+        part = gram(numbers, left, right, centre)
+        out = part if out is None else out.unionByName(part)
+    names = F.array(*map(F.lit, columns))
+    sx, sy, n = F.col("sx"), F.col("sy"), F.col("n")
+    spread = lambda s, q: F.greatest(F.col(q) - F.col(s) * F.col(s) / n, F.lit(0.0))
+    flat = lambda s, q: spread(s, q) <= F.col(q) * 1e-13
+    r = (F.col("sxy") - sx * sy / n) / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    r = F.when((n >= 2) & ~flat("sx", "sxx") & ~flat("sy", "syy"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return out.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "i", "j", r.alias("r"))
+
+
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def gram(numbers: DataFrame, left: range, right: range, centre: np.ndarray) -> DataFrame:
+    """i, j and SUMS over the rows that have both, for i < j of two blocks of the columns c0, c1, and so on."""
+    used = sorted({*left, *right})
+    x_at, y_at = ([used.index(k) for k in cut] for cut in (left, right))
+    mine, shift = np.array(list(left)), centre[used]
+    i, j = np.meshgrid(mine, np.array(list(right)), indexing="ij")
+    upper = i < j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(SUMS), len(left), len(right)))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - shift
+            there = np.isfinite(values)
+            values[~there] = 0.0
+            there = there.astype(float)
+            x, y, in_x, in_y = values[:, x_at], values[:, y_at], there[:, x_at], there[:, y_at]
+            for k, (p, q) in enumerate(((in_x, in_y), (x, in_y), (in_x, y), (x * x, in_y), (in_x, y * y), (x, y))):
+                total[k] += p.T @ q
+        if total[0].any():
+            yield pa.record_batch([pa.array(i[upper], pa.int32()), pa.array(j[upper], pa.int32()), *[pa.array(t[upper]) for t in total]], names=["i", "j", *SUMS])
+
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
+    sums = numbers.select(*[f"c{k}" for k in used]).mapInArrow(run, schema)
+    return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+
 def pruned(corr: DataFrame, limit: float) -> DataFrame:
     """Columns that an earlier column, itself dropped or not, correlates with above the limit."""
     return corr.where(F.abs("r") > limit).select(F.col("b").alias("dropped")).distinct()

@@ -84,12 +84,6 @@ def price_ratio(pred: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", rnd(div(F.col("last_close"), F.col("predicted_price")) - 1, 6))
 
 
-def since_cutoffs(pred: DataFrame, cutoffs: list[str]) -> DataFrame:
-    """Each prediction once for every cutoff date it is not before."""
-    dates = F.array(*[F.lit(c).cast("date") for c in cutoffs])
-    return pred.withColumn("cutoff", F.explode(F.filter(dates, lambda c: c <= F.col("date"))))
-
-
 def deduplicated(history: DataFrame, keys=(*KEYS, "symbol", "date")) -> DataFrame:
     """One row per key: the one of the latest run."""
     w = W.partitionBy(*keys).orderBy(F.col("run").desc(), "pred")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.chunks import numbered
+from ..functions.extremes import moving_extremes
 from ..functions.rolling import KEEP, div, lag, last, mean, rnd, roll, series, upto, z_exact
 
 LONG, SHORT = (10, 25, 50, 100, 200), (5, 10, 15)
@@ -49,6 +51,19 @@ def rows_since(bars: DataFrame, windows=(10, 50), keep=KEEP) -> DataFrame:
     return out.select(*keep, *cols)
 
 
+def extremes_long(bars: DataFrame, windows=(5, 252, 1000)) -> DataFrame:
+    """close_rel's closes, rows_since and Williams' %R over windows of any length, for symbols of any length."""
+    rows, close = numbered(bars.select("symbol", "date", "high", "low", "close")), F.col("close")
+    for w in windows:
+        high, low = F.struct(F.col("high").alias("v"), (-F.col("rn")).alias("at")), F.struct(F.col("low").alias("v"), F.col("rn").alias("at"))
+        rows = moving_extremes(rows, w, {"top": high}, {"bottom": low})
+        top, bottom, out = F.col("top.v"), F.col("bottom.v"), {}
+        out |= {f"close_rel_max_{w}": rnd(div(close, top), 6), f"close_rel_min_{w}": rnd(div(close, bottom), 6), f"williams_{w}": rnd(div((top - close) * -100, top - bottom), 4)}
+        out |= {f"since_max_{w}": F.col("rn") + F.col("top.at"), f"since_min_{w}": F.col("rn") - F.col("bottom.at")}
+        rows = rows.withColumns(out).drop("top", "bottom")
+    return rows.drop("rn", "high", "low", "close")
+
+
 def open_gap(bars: DataFrame, keep=KEEP) -> DataFrame:
     return bars.select(*keep, rnd(div(F.col("open"), lag("close")), 6).alias("open_gap"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -26,6 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_of(spark: SparkSession, name: str, *tables: str) -> str:
+    """A folder for what is made from tables (Parquet paths), the same in a session as long as the tables' names, sizes and times are."""
+    state = [spark.sparkContext.applicationId]
+    for table in tables:
+        fs, at = file_system(spark, table)
+        state += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in (fs.listStatus(at) if fs.exists(at) else [])]
+    return f"{shared_dir(spark)}/{name}-{hashlib.sha256(chr(10).join([*tables, *state]).encode()).hexdigest()[:32]}"
+
+
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at a path of `path_of`, made at the first call; one that broke off is made anew."""
+    fs, done = file_system(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -303,13 +303,81 @@ def test_chunks_with_halo_equal_whole_series(spark, chunk):
 
 
 def test_history(spark, tmp_path):
+    """A retry changes nothing, a run that broke off is not read and is written anew, runs add up, one horizon is read by its partitions."""
     from marketjobs.sources import history
 
     df = spark.createDataFrame([(1, 0.5, 2), (2, 0.6, 5)], "run int, pred double, horizon int")
     path = str(tmp_path / "h")
     assert history.load(spark, path, df.schema).count() == 0
-    history.append(df, path)
-    history.append(df, path)
-    assert history.load(spark, path, df.schema, 5).count() == 2
+    with pytest.raises(FileNotFoundError):
+        history.load(spark, path)
+    assert history.append(df, path, "one") and not history.append(df.unionByName(df), path, "one")
+    df.unionByName(df).write.partitionBy("horizon").parquet(f"{path}/rows/batch=two")  # without its mark
+    assert history.load(spark, path, df.schema).count() == 2
+    assert history.append(df, path, "two") and history.load(spark, path).count() == 4
+    one = history.load(spark, path, horizon=5)
+    assert one.columns == df.columns and [tuple(r) for r in one.collect()] == [(2, 0.6, 5)] * 2
+    assert "PartitionFilters: [isnotnull(horizon" in one._jdf.queryExecution().toString()
+    assert history.append(df.where("false"), path + "0", "none") and history.load(spark, path + "0").schema == df.schema and history.load(spark, path + "0").isEmpty()
+    with pytest.raises(ValueError, match="name of a run"):
+        history.append(df, path, "../x")
     with pytest.raises(ValueError, match="1 rows"):
         history.checked_times(spark.createDataFrame([("2024-01-01",), ("x",)], "t string"), "t")
+
+
+def test_stored_once_for_the_same_tables(spark, tmp_path):
+    from marketjobs.sources.shared import once, path_of
+
+    made, table = [], str(tmp_path / "t.parquet")
+    make = lambda: made.append(1) or spark.range(len(made))
+    spark.range(3).write.parquet(table)
+    count = lambda: once(spark, path_of(spark, "x", table), make).count()
+    assert (count(), count(), len(made)) == (1, 1, 1)
+    spark.range(4).write.mode("append").parquet(table)
+    assert (count(), len(made)) == (2, 2)
+
+
+def test_pending_days_are_appended_once(spark):
+    from marketjobs.jobs import loop
+    from marketjobs.sources import history
+
+    sf = "/root/testdata/sf0.01"
+    rows = loop.panel(spark, sf)
+    path = loop.known_history(spark, sf)
+    before, found = history.load(spark, path).count(), loop.pending(spark, rows, path)
+    n = found.count()
+    assert n > 0 and history.append(found, path, "pending") and not history.append(found, path, "pending")
+    assert history.load(spark, path).count() == before + n and loop.pending(spark, rows, path).isEmpty()
+
+
+def test_cutoffs_are_metrics_of_later_predictions(spark):
+    """Against a plain filter for each cutoff: unordered and repeated dates, cutoffs after the last prediction, keys without late ones."""
+    rng = random.Random(9)
+    rows = [(2, k, DAY + dt.timedelta(days=rng.randrange(60 if k == "a" else 20)), rng.choice([0.2, 0.4, 0.5, 0.6, 0.9, None]), rng.choice([0, 1, None])) for k in "ab" for _ in range(200)]
+    df = spark.createDataFrame(rows, "horizon int, model string, date date, pred double, test_pos_n int")
+    cutoffs, keys = ["2024-01-31", "2023-01-01", "2024-01-11", "2024-01-31", "2025-01-01"], ("horizon", "model")
+    want = [("cutoff", c, *r) for c in set(cutoffs) for r in metrics.config_metrics(df.where(F.col("date") >= F.lit(c).cast("date")), keys=keys).collect()]
+    out = [("cutoff", str(r[0]), *r[1:]) for r in metrics.cutoff_metrics(df, cutoffs, keys=keys).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, want)) and len(out) == 5
+    with pytest.raises(ValueError, match="no cutoff"):
+        metrics.cutoff_metrics(df, [])
+
+
+@pytest.mark.parametrize("block", [1000, 7, 1])
+def test_wide_correlations(spark, block):
+    """Missing, infinite and constant values, large means, few rows; blocks of any width agree with pandas."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 12)) @ rng.normal(size=(12, 12)) + 1e7
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 3], x[5, 4], x[2:, 5] = 7.0, np.inf, np.nan
+    names = [f"f.{k}" for k in range(12)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    x[5, 4] = np.nan
+    want = pd.DataFrame(x).corr(min_periods=2)
+    out = prune.correlations_wide(df, names, block).collect()
+    assert sorted((r.i, r.j) for r in out) == [(i, j) for i in range(12) for j in range(i + 1, 12) if pd.DataFrame(x)[[i, j]].notna().all(axis=1).any()]
+    for r in out:
+        assert (r.a, r.b) == (names[r.i], names[r.j])
+        w = want.iloc[r.i, r.j]
+        assert r.r is None if 3 in (r.i, r.j) or np.isnan(w) else r.r == pytest.approx(w, abs=1e-9)
+    assert prune.correlations_wide(df.where("false"), names).isEmpty()

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketjobs.functions.segments import run_length, running_sum
-from marketjobs.operators import volatility, volume
+from marketjobs.functions.chunks import numbered
+from marketjobs.functions.extremes import moving_extremes
+from marketjobs.operators import trend, volatility, volume
 
 RNG = random.Random(23)
 
@@ -59,3 +62,27 @@ def test_one_symbol_is_many_tasks(spark):
 def test_no_rows(spark):
     assert running_sum(bars(spark).where("false"), F.col("volume"), "total").isEmpty()
     assert volatility.label_streak_long(spark.createDataFrame([], "symbol string, date date, label int")).isEmpty()
+
+
+@pytest.mark.parametrize("w", [1, 2, 5, 7, 50, 399, 400, 1000])
+def test_moving_extremes(spark, w):
+    """Against whole frames: windows as long as a series and longer, missing values, ties."""
+    rows = numbered(bars(spark).where("symbol is not null").withColumn("x", F.when(F.col("volume") > 1, F.col("volume"))))
+    frame = Window.partitionBy("symbol").orderBy("rn").rowsBetween(1 - w, 0)
+    want = rows.select("*", *[F.when(F.col("rn") >= w - 1, f("x").over(frame)).alias(n) for n, f in (("hi", F.max), ("lo", F.min))])
+    out = moving_extremes(rows, w, {"hi": F.col("x")}, {"lo": F.col("x")})
+    assert sorted(map(str, out.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_extremes_of_long_frames_equal_the_short_ones(spark):
+    df = bars(spark).where("symbol is not null")
+    out = trend.extremes_long(df, (5, 50))
+    for whole in (trend.rows_since(df, (5, 50)), trend.close_rel(df, (5, 50)).select("symbol", "date", *[f"close_rel_{m}_{w}" for m in ("max", "min") for w in (5, 50)])):
+        assert sorted(map(str, out.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert trend.extremes_long(df.where("false")).isEmpty()
+
+
+def test_extremes_of_one_symbol_are_many_tasks(spark):
+    plan = trend.extremes_long(bars(spark), (5,))._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "__block" in line]
+    assert len(windows) == 2 and "hashpartitioning(symbol" in plan and "__block" in plan.split("hashpartitioning(symbol")[1][:30]
