@@ -85,8 +85,9 @@ def price_ratio(pred: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def deduplicated(history: DataFrame, keys=(*KEYS, "symbol", "date")) -> DataFrame:
-    """One row per key: the one of the latest run."""
-    w = W.partitionBy(*keys).orderBy(F.col("run").desc(), "pred")
+    """One row per key: the one of the latest run; of several, the least by pred and then by the other columns in order."""
+    others = [c for c in history.columns if c not in (*keys, "run", "pred")]
+    w = W.partitionBy(*keys).orderBy(F.col("run").desc(), "pred", *others)
     return history.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

@@ -387,3 +387,10 @@ def test_wide_correlations(spark, block):
         w = plain(r.i, r.j)
         assert r.r is None if w is None else r.r == pytest.approx(w, abs=1e-9)
     assert prune.correlations_wide(df.where("false"), names).isEmpty()
+
+
+def test_deduplicated_orders_ties_fully(spark):
+    rows = [("a", 1, 0.5, x) for x in (3, None, 2)] + [("a", 0, 0.1, 0), ("b", 2, None, 1)]
+    df = spark.createDataFrame(rows, "symbol string, run int, pred double, other int")
+    for again in (df, df.orderBy(F.desc_nulls_last("other")), df.unionByName(df).repartition(3)):
+        assert sorted(map(tuple, select.deduplicated(again, keys=("symbol",)).collect())) == [("a", 1, 0.5, None), ("b", 2, None, 1)]
