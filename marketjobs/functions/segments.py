@@ -33,6 +33,16 @@ def running_sum(rows: DataFrame, x: Column, name: str, days: int = DAYS) -> Data
     return joined(rows.withColumn("__in", inside), state).withColumn(name, F.col("__in") + F.col("__before")).drop("__x", "__seg", "__in", "__before")
 
 
+def before(rows: DataFrame, value: str, name: str, days: int = DAYS) -> DataFrame:
+    """rows (symbol, date, value, others) with the value of the row before, null for a symbol's first: a segment's first row takes the last one of the segment before."""
+    rows = in_segments(rows, days)
+    own = W.partitionBy("symbol", "__seg").orderBy("date")
+    state = rows.groupBy("symbol", "__seg").agg(F.max_by(value, "date").alias("last"))
+    state = state.select(F.col("symbol").alias("__symbol"), F.col("__seg").alias("__segment"), F.lag("last").over(W.partitionBy("symbol").orderBy("__seg")).alias("__handed"))
+    rows = joined(rows.withColumn("__first", F.row_number().over(own) == 1).withColumn("__in", F.lag(value).over(own)), state)
+    return rows.withColumn(name, F.when(F.col("__first"), F.col("__handed")).otherwise(F.col("__in"))).drop("__seg", "__first", "__in", "__handed")
+
+
 def run_length(rows: DataFrame, value: str, days: int = DAYS) -> DataFrame:
     """rows (symbol, date, value, others) with __run, the length so far of the run of equal values, and __last and __last_run, value and length of
     the row before; values are not null.

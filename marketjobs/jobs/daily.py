@@ -168,6 +168,7 @@ QUERIES = {
     "obv_long": on_bars(volume.obv_long),
     "adl_long": on_bars(volume.adl_long),
     "extremes_long": on_bars(trend.extremes_long),
+    "moments_long": on_bars(trend.moments_long),
     "flagship": flagship,
 }
 ORACLE |= {f"{name}_long": ORACLE[name] for name in ("obv", "adl", "label_streak")}
@@ -185,3 +186,15 @@ def extremes_sql(w: int) -> str:
 ORACLE["extremes_long"] = "WITH " + BARS.strip() + f""",
 x AS (SELECT *, row_number() OVER {S} - 1 AS rn FROM bars)
 SELECT symbol, date, {', '.join(map(extremes_sql, (5, 252, 1000)))} FROM x"""
+
+
+def moments_sql(w: int) -> str:
+    mid, sd = mean("close", w), std("close", w)
+    out = {f"zscore_{w}": rnd(div(f"close - {mid}", sd), 6), f"bb_high_{w}": rnd(div(f"{mid} + {sd} * 2", "close"), 6), f"bb_low_{w}": rnd(div(f"{mid} - {sd} * 2", "close"), 6)}
+    out |= {f"volatility_{w}": rnd(f"{std('ret', w)} / 1e9::DOUBLE", 3)}
+    return ", ".join(f"{x} AS {c}" for c, x in out.items())
+
+
+ORACLE["moments_long"] = "WITH " + BARS.strip() + f""",
+x AS (SELECT symbol, date, close, {whole(div(f"close - {lag('close')}", lag('close')), 9)} AS ret FROM bars)
+SELECT symbol, date, {', '.join(map(moments_sql, (5, 252, 1000)))} FROM x"""

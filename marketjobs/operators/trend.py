@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.chunks import numbered
-from ..functions.extremes import moving_extremes
-from ..functions.rolling import KEEP, div, lag, last, mean, rnd, roll, series, upto, z_exact
+from ..functions.extremes import moving_extremes, moving_moments
+from ..functions.rolling import KEEP, div, lag, last, mean, rnd, roll, series, steps, upto, z_exact
+from ..functions.segments import DAYS, before
 
 LONG, SHORT = (10, 25, 50, 100, 200), (5, 10, 15)
 
@@ -64,6 +65,23 @@ def extremes_long(bars: DataFrame, windows=(5, 252, 1000)) -> DataFrame:
     return rows.drop("rn", "high", "low", "close")
 
 
+def moments_long(bars: DataFrame, windows=(5, 252, 1000), days: int = DAYS) -> DataFrame:
+    """Scores and bands of the close and the deviation of its daily returns over windows of any length, for symbols of any length.
+
+    Returns are whole numbers of 10^-9, so that all sums are exact. The first row has no return, and a close of 0 gives none to the next row;
+    a window with such a row has no volatility. Infinite and unknown values are null.
+    """
+    close, old = F.col("close"), F.col("__old")
+    rows = numbered(before(bars.select("symbol", "date", "close"), "close", "__old", days).withColumn("ret", steps(div(close - old, old), 9)).drop("__old"))
+    for w in windows:
+        rows = moving_moments(rows, w, {"c": close, "r": F.col("ret")})
+        mid, sd = F.col("mean_c"), F.col("std_c")
+        out = {f"zscore_{w}": rnd(div(close - mid, sd), 6), f"bb_high_{w}": rnd(div(mid + sd * 2, close), 6), f"bb_low_{w}": rnd(div(mid - sd * 2, close), 6)}
+        out |= {f"volatility_{w}": rnd(F.col("std_r") / F.lit(1e9), 3)}
+        rows = rows.withColumns(out).drop("mean_c", "std_c", "mean_r", "std_r")
+    return rows.drop("rn", "ret", "close")
+
+
 def open_gap(bars: DataFrame, keep=KEEP) -> DataFrame:
     return bars.select(*keep, rnd(div(F.col("open"), lag("close")), 6).alias("open_gap"))
 

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketjobs.functions.segments import run_length, running_sum
+from marketjobs.functions.segments import before, run_length, running_sum
 from marketjobs.functions.chunks import numbered
-from marketjobs.functions.extremes import moving_extremes
-from marketjobs.operators import trend, volatility, volume
+from marketjobs.functions.extremes import moving, moving_extremes
+from marketjobs.operators import momentum, trend, volatility, volume
 
 RNG = random.Random(23)
 
@@ -86,3 +86,34 @@ def test_extremes_of_one_symbol_are_many_tasks(spark):
     plan = trend.extremes_long(bars(spark), (5,))._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "__block" in line]
     assert len(windows) == 2 and "hashpartitioning(symbol" in plan and "__block" in plan.split("hashpartitioning(symbol")[1][:30]
+
+
+@pytest.mark.parametrize("w", [1, 2, 7, 50, 399, 400, 1000])
+def test_moving_sums(spark, w):
+    """Each row counts once, also where a window is a whole block; missing values, windows as long as a series and longer."""
+    rows = numbered(bars(spark).where("symbol is not null").withColumn("x", F.when(F.col("volume") > 1, F.col("volume"))))
+    frame = Window.partitionBy("symbol").orderBy("rn").rowsBetween(1 - w, 0)
+    want = rows.select("*", F.when(F.col("rn") >= w - 1, F.sum("x").over(frame)).alias("total"))
+    out = moving(rows, w, {"total": (F.sum, F.col("x"))})
+    assert sorted(map(str, out.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("days", [1, 30, 100_000])
+def test_row_before(spark, days):
+    """Also missing values, which are handed on as such, empty segments and a null symbol."""
+    df = bars(spark).withColumn("x", F.when(F.col("volume") > 1, F.col("volume")))
+    want = df.select("symbol", "date", F.lag("x").over(Window.partitionBy("symbol").orderBy("date")).alias("old"))
+    assert sorted(map(str, before(df, "x", "old", days).select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_moments_of_long_frames_equal_the_short_ones(spark):
+    df = bars(spark).where("symbol is not null")
+    out = trend.moments_long(df, (5, 50, 600), days=90)
+    for whole in (trend.zscores(df, (5, 50)), momentum.bollinger(df, 50).select("symbol", "date", F.col("bb_high").alias("bb_high_50"), F.col("bb_low").alias("bb_low_50"))):
+        assert sorted(map(str, out.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    short = {(r.symbol, r.date): r for r in volatility.volatility(df, (5,)).collect()}
+    for r in out.collect():
+        assert r.zscore_600 is None and r.volatility_600 is None
+        assert r.volatility_5 is None or abs(r.volatility_5 - short[r.symbol, r.date].volatility_5) < 1e-9
+    zero = df.withColumn("close", F.when(F.col("volume") > 3, F.col("close")).otherwise(0))
+    assert trend.moments_long(zero, (5,)).count() == df.count() and trend.moments_long(df.where("false")).isEmpty()
