@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks
 from ..functions.rolling import lag, lead, rnd
-from ..operators import fit, walk
+from ..operators import fit, metrics, walk
 from ..operators.metrics import KEYS
 from ..sources import history as stored
 from ..sources.shared import new_path, once, path_of, written
@@ -22,6 +22,10 @@ SETS = {"trend": ("change", "gap"), "activity": ("body", "turnover")}
 CONFIGS = [walk.Config(y, f, 1.0, h, m) for y, f, h, m in product((1, 2), ("trend", "trend-activity"), ("together", "separately"), (1, 2))]
 #: All modes, for one set with a new part.
 MODE_CONFIGS = [walk.Config(1, "trend-activity", 1.0, h, 1) for h in walk.MODES]
+#: The whole product of all axes, with modes where there is a new part.
+FULL_CONFIGS = [
+    walk.Config(y, f, p, h, k, m) for y, f, p, h, k, m in product((1, 2), ("trend", "trend-activity"), (0.5, 1.0), walk.MODES, (1, 2), walk.MODELS) if "-" in f or h == "together"
+]
 #: History known so far, for the scoring of pending days.
 KNOWN_UNTIL = "1997-06-01"
 
@@ -59,6 +63,22 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_horizon(panel(spark, sf_dir), lambda rows, r: walk.run_grid(rows, r, TEST, CONFIGS, SETS))
 
 
+def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions of the whole product of horizons, models, train years, sets, sizes of importance, modes and least features."""
+    return each_horizon(panel(spark, sf_dir), lambda rows, r: walk.grid_joined(rows, r, TEST, FULL_CONFIGS, SETS))
+
+
+def full_grid_metrics(spark, sf_dir):
+    """Metrics and composite score of all configurations of the whole product."""
+    return metrics.with_composite(metrics.config_metrics(full_grid(spark, sf_dir)))
+
+
+def full_grid_models(spark, sf_dir):
+    """By horizon, model and size of importance: predictions, folds and share of right ones, over all configurations."""
+    rows = full_grid(spark, sf_dir).groupBy("horizon", "model", "pi_size")
+    return rows.agg(F.count("*").alias("n"), F.sum("acc").alias("hits"), F.sum("n_features").alias("features_used"), F.max("run").alias("oldest_run"), F.sum(F.rint(F.col("pred") * 100).cast("long")).alias("pred_sum"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predictions of the grid, from the stored history. The first query on a set of tables makes and appends them; the others only read."""
     path = path_of(spark, "history", *tables(sf_dir))
@@ -137,7 +157,7 @@ def grid_importance_chosen(spark, sf_dir):
     return fit.chosen_features(written(importance_table(spark, sf_dir), "importance"), keys=("symbol", "horizon", "run"))
 
 
-QUERIES = {f.__name__: f for f in (fold_accuracy, distinct_sets, grid_importance, grid_importance_rollup, grid_importance_chosen, run_grid, selection_modes, score_unlabelled, score_pending, pending_history, runs_to_replay)}
+QUERIES = {f.__name__: f for f in (fold_accuracy, distinct_sets, grid_importance, grid_importance_rollup, grid_importance_chosen, full_grid_metrics, full_grid_models, run_grid, selection_modes, score_unlabelled, score_pending, pending_history, runs_to_replay)}
 
 NAMES = walk.names_of(SETS)
 GROUP = {f: g for g, own in SETS.items() for f in own}
@@ -157,6 +177,8 @@ def base_sql(configs: list[walk.Config]) -> str:
     """CTEs wx (buckets), l (labels by horizon), wf (long rows by feature), wc (running counts), wt (counts of the last rows)."""
     years = sorted({c.train_years for c in configs})
     cells = [f"{c}{k}" for c in "nu" for k in range(3)]
+    sizes = sorted({c.pi_rows for c in configs})
+    by_size = lambda c: "CASE pd " + " ".join(f"WHEN {w} THEN {lagged(c, str(w))}" for w in sizes) + " END"
     by_year = lambda c: "CASE y " + " ".join(f"WHEN {y} THEN {lagged(c, str(245 * y))}" for y in years) + " END"
     return f"""
 wx AS (
@@ -171,9 +193,9 @@ wc AS (
   SELECT *, {', '.join(f'count_if(b = {k}) OVER w AS n{k}, coalesce(sum(CASE WHEN b = {k} THEN label END) OVER w, 0) AS u{k}' for k in range(3))}
   FROM wf WINDOW w AS (PARTITION BY symbol, horizon, f ORDER BY rn)),
 wt AS (
-  SELECT symbol, horizon, date, rn, n, f, grp, y, {', '.join(f'{by_year(c)} AS {c}' for c in cells)}, {', '.join(f'{lagged(c, "242")} AS p{c}' for c in cells)},
+  SELECT symbol, horizon, date, rn, n, f, grp, y, pd, {', '.join(f'{by_year(c)} AS {c}' for c in cells)}, {', '.join(f'{by_size(c)} AS p{c}' for c in cells)},
     CASE y {' '.join(f'WHEN {y} THEN lag(date, {245 * y - 1}) OVER w' for y in years)} END AS train_start
-  FROM wc, (VALUES {', '.join(f'({y})' for y in years)}) v(y) WINDOW w AS (PARTITION BY symbol, horizon, f, y ORDER BY rn))"""
+  FROM wc, (VALUES {', '.join(f'({y})' for y in years)}) v(y), (VALUES {', '.join(f'({w})' for w in sizes)}) u(pd) WINDOW w AS (PARTITION BY symbol, horizon, f, y, pd ORDER BY rn))"""
 
 
 def fit_sql(configs: list[walk.Config], fits: str, tag: str = "") -> str:
@@ -182,18 +204,18 @@ def fit_sql(configs: list[walk.Config], fits: str, tag: str = "") -> str:
     part = f"PARTITION BY symbol, horizon, rn, {K}, part"
     return f"""
 wg{tag} AS (
-  SELECT *, greatest(pu0, pn0 - pu0) + greatest(pu1, pn1 - pu1) + greatest(pu2, pn2 - pu2) - greatest(pu0 + pu1 + pu2, 242 - (pu0 + pu1 + pu2)) AS gain, {best}
+  SELECT *, greatest(pu0, pn0 - pu0) + greatest(pu1, pn1 - pu1) + greatest(pu2, pn2 - pu2) - greatest(pu0 + pu1 + pu2, pd - (pu0 + pu1 + pu2)) AS gain, {best}
   FROM wt WHERE rn >= 245 * y AND ({fits})),
 wk{tag}(model, train_years, features, pi_size, pi_handling, min_feats) AS (VALUES {values(configs)}),
 we{tag} AS (
   SELECT g.*, k.*, CASE WHEN pi_handling = 'together' OR NOT contains(features, '-') THEN 'all' WHEN pi_handling = 'separately' THEN grp WHEN grp = 'activity' THEN 'new' ELSE 'old' END AS part
-  FROM wg{tag} g JOIN wk{tag} k ON y = train_years WHERE contains(features, grp)),
+  FROM wg{tag} g JOIN wk{tag} k ON y = train_years AND pd = least(245 * y, floor(242 * pi_size)) WHERE contains(features, grp)),
 wr{tag} AS (
-  SELECT *, gain * 100 > 3 * 242 AS good, count_if(gain * 100 > 3 * 242) OVER ({part}) AS goods, row_number() OVER ({part} ORDER BY gain DESC, f) AS place
+  SELECT *, gain * 100 > 3 * pd AS good, count_if(gain * 100 > 3 * pd) OVER ({part}) AS goods, row_number() OVER ({part} ORDER BY gain DESC, f) AS place
   FROM we{tag}),
 rate{tag} AS (
   SELECT * FROM wr{tag}
-  WHERE CASE WHEN part = 'new' AND pi_handling = 'exclude_new' THEN true WHEN part = 'new' THEN gain * 100 > 242 AND place <= 4 WHEN goods >= min_feats THEN good ELSE place <= min_feats END)"""
+  WHERE CASE WHEN part = 'new' AND pi_handling = 'exclude_new' THEN true WHEN part = 'new' THEN gain * 100 > pd AND place <= 4 WHEN goods >= min_feats THEN good ELSE place <= min_feats END)"""
 
 
 def score_sql(tests: str, more: str = "", tag: str = "") -> str:
@@ -203,13 +225,13 @@ def score_sql(tests: str, more: str = "", tag: str = "") -> str:
     keys = ", ".join("d.horizon" if k == "horizon" else f"m.{k}" for k in KEYS)
     return f"""
 pred0{tag} AS (
-  SELECT d.symbol, d.date, {keys}, d.run, d.test_days, sum({own})::DOUBLE / count(*) / 1e6::DOUBLE AS raw, d.label AS test_pos_n, (245 * m.train_years)::INT AS train_n, train_start, m.date AS train_end,
+  SELECT d.symbol, d.date, {keys}, d.run, d.test_days, sum({own}) AS total, d.label AS test_pos_n, (245 * m.train_years)::INT AS train_n, train_start, m.date AS train_end,
     d.test_end, count(*)::INT AS n_features
   FROM ({tests}) d JOIN rate{tag} m ON d.symbol = m.symbol AND d.horizon = m.horizon AND d.fit_rn = m.rn {more} GROUP BY ALL),
 pred{tag} AS (
   SELECT symbol, date, {K}, run, test_days, round_even(round_even(raw / 0.05::DOUBLE, 0) * 0.05::DOUBLE * 100, 0) / 100 AS pred, (raw >= 0.5)::INT AS pred_class, test_pos_n, ((raw >= 0.5)::INT = test_pos_n)::INT AS acc,
     train_n, train_start, train_end, test_end, n_features
-  FROM pred0{tag})"""
+  FROM (SELECT *, CASE WHEN model = 'margin' THEN 1 / (1 + exp(-((total - n_features * 500000)::DOUBLE * 4 / 1e6::DOUBLE))) ELSE total::DOUBLE / n_features / 1e6::DOUBLE END AS raw FROM pred0{tag}))"""
 
 
 FOLD_ENDS = f"n - horizon - rn - {TEST} - horizon >= 0 AND (n - horizon - rn - {TEST} - horizon) % {TEST} = 0"
@@ -251,3 +273,8 @@ ORACLE["grid_importance_rollup"] = IMPORTANCE + f"\nSELECT symbol, horizon, feat
 ORACLE["grid_importance_chosen"] = IMPORTANCE + """,
 k AS (SELECT *, count_if(pi_mean > 0.03) OVER (PARTITION BY symbol, horizon, run) AS good, row_number() OVER (PARTITION BY symbol, horizon, run ORDER BY pi_mean DESC, feature)::INT AS rank FROM i)
 SELECT symbol, horizon, run, feature, pi_mean, rank FROM k WHERE pi_mean > 0.03 OR good < 2 AND rank <= 2"""
+
+FULL = START + base_sql(FULL_CONFIGS) + "," + fit_sql(FULL_CONFIGS, FOLD_ENDS) + "," + score_sql(TESTS)
+ORACLE["full_grid_models"] = FULL + """
+SELECT horizon, model, pi_size, count(*) AS n, sum(acc)::BIGINT AS hits, sum(n_features)::BIGINT AS features_used, max(run) AS oldest_run, sum(round_even(pred * 100, 0)::BIGINT)::BIGINT AS pred_sum
+FROM pred GROUP BY horizon, model, pi_size"""

@@ -16,6 +16,8 @@ from .loop import HORIZONS, PRED
 
 CUTOFFS = ("1994-01-01", "1996-01-01", "1998-01-01")
 EDGE, MOST, LEAST = 0.01, 6, 2
+#: Days that the filter of streak_buckets_newest keeps.
+NEWEST = 730
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +46,24 @@ def calibration(spark, sf_dir):
     return metrics.calibration(predictions(spark, sf_dir))
 
 
+def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labels(spark, sf_dir).select(F.concat_ws("|", "symbol", "horizon").alias("symbol"), "date", "label")
+    found = volatility.label_streak(rows)
+    return found.select(F.split("symbol", r"\|")[0].alias("symbol"), F.split("symbol", r"\|")[1].cast("int").alias("horizon"), "date", "streak", "streak_before")
+
+
 def streak_buckets(spark, sf_dir):
-    rows = labels(spark, sf_dir).select(F.concat_ws("|", "symbol", "horizon").alias("symbol"), "date", "label", F.col("symbol").alias("s"), "horizon")
-    found = volatility.label_streak(rows.select("symbol", "date", "label"))
-    found = found.select(F.split("symbol", r"\|")[0].alias("symbol"), F.split("symbol", r"\|")[1].cast("int").alias("horizon"), "date", "streak", "streak_before")
-    return metrics.streak_buckets(predictions(spark, sf_dir), found)
+    return metrics.streak_buckets(predictions(spark, sf_dir), streaks(spark, sf_dir))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """A caller's filter: the last NEWEST days of a horizon's history."""
+    return rows.join(rows.agg(F.date_sub(F.max("date"), NEWEST).alias("after")), F.col("date") > F.col("after")).drop("after")
+
+
+def streak_buckets_newest(spark, sf_dir):
+    """Scores by streak of what a filter of the caller keeps of each horizon."""
+    return metrics.streak_buckets(metrics.filtered(predictions(spark, sf_dir), HORIZONS, newest), streaks(spark, sf_dir))
 
 
 def top_by_wba(spark, sf_dir):
@@ -104,7 +119,7 @@ def history_append(spark, sf_dir):
     return select.merged(rows.where("horizon = 2"), rows, 5)
 
 
-QUERIES = {f.__name__: f for f in (top_by_wba, config_metrics, top_by_horizon, calibration, streak_buckets, best_per_set, edge_select, semi_selected, pending_days, ensemble, ensemble_precision, price_ratio, cutoff_metrics, history_dedup, history_append)}
+QUERIES = {f.__name__: f for f in (top_by_wba, config_metrics, top_by_horizon, calibration, streak_buckets, streak_buckets_newest, best_per_set, edge_select, semi_selected, pending_days, ensemble, ensemble_precision, price_ratio, cutoff_metrics, history_dedup, history_append)}
 
 K = ", ".join(KEYS)
 def _metrics(source: str, keys: str) -> str:
@@ -181,3 +196,6 @@ QUALIFY row_number() OVER (PARTITION BY symbol, date, {K} ORDER BY run DESC, pre
 ORACLE["top_by_wba"] = f"""
 WITH t AS ({ORACLE["streak_buckets"]}), k AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY wba_close DESC NULLS LAST, wba_open DESC NULLS LAST, {K})::INT AS rank FROM t)
 SELECT {K}, {rnd('wba_close', 2)} AS wba_close, {rnd('wba_open', 2)} AS wba_open, rank FROM k WHERE rank <= 10"""
+
+ORACLE["streak_buckets_newest"] = ORACLE["streak_buckets"].replace("FROM pred JOIN sb", f"FROM (SELECT * FROM pred QUALIFY date > max(date) OVER (PARTITION BY horizon) - {NEWEST}) pred JOIN sb")
+ORACLE["full_grid_metrics"] = METRICS.replace(PRED, loop.FULL) + "\nSELECT * FROM m"

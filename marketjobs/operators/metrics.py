@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,14 @@ def confident(pred: DataFrame, th: float) -> DataFrame:
     return pred.where((F.col("pred") > th) | (F.col("pred") < lower_bound(th)))
 
 
+def filtered(pred: DataFrame, horizons: Iterable[int], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The predictions of these horizons that the caller's filter keeps; it is given those of one horizon at a time, so it can go by their dates and scores."""
+    parts = [keep(pred.where(F.col("horizon") == r)) for r in sorted(set(horizons))]
+    if not parts:
+        raise ValueError("no horizons")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def three_way(p: Column, th: float) -> Column:
     """1, 0, or null for an undecided probability."""
     return F.when(p >= th, 1).when(p <= lower_bound(th), 0)

@@ -5,7 +5,10 @@ and these are differences of running counts at the fold's ends: no row is copied
 are all fitted and scored in one pass over its rows in date order, behind one shuffle.
 
 The importance of a feature is what knowing its bucket adds to the rows called rightly by the majority, on the newest train rows. The model is the mean, over the
-chosen features, of the share of ups in the row's bucket (add-one, in millionths).
+chosen features, of the share of ups in the row's bucket (add-one, in millionths): `rate` takes it as it is, `margin` squashes a decision score.
+
+`run_grid` carries the models of all configurations from a fold's end to its test rows, in one array. `grid_joined` is for large grids: configurations
+are a table, joined to the folds, and test rows meet their fold's models in one join.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import lag, rnd, series, upto
 from .folds import DAYS_A_YEAR
-from .metrics import KEYS, on_grid
+from .metrics import KEYS, logistic, on_grid
 
 BUCKETS = 3
 #: Rows a year that importance is taken from; a feature above LIMIT hundredths of them is important, a new one above NEW_LIMIT; at most NEW_MOST new ones.
 PI_DAYS, LIMIT, NEW_LIMIT, NEW_MOST = 242, 3, 1, 4
 MODES = ("together", "separately", "exclude_new", "cap_new")
+#: Tasks for each core that folds are dealt to.
+TASKS = 4
+#: Mean rate, and the logistic of the sum of 4 (rate - 1/2) over the chosen features, which is about that of their log odds.
+MODELS = ("rate", "margin")
 
 
 @dataclass(frozen=True)
@@ -51,6 +58,8 @@ def checked(configs: Iterable[Config], sets: dict[str, tuple[str, ...]]) -> list
     """The configurations; unknown modes and sets raise."""
     found = list(configs)
     for c in found:
+        if c.model not in MODELS:
+            raise ValueError(f"unknown model {c.model!r}: one of {', '.join(MODELS)}")
         if c.pi_handling not in MODES:
             raise ValueError(f"unknown handling {c.pi_handling!r}: one of {', '.join(MODES)}")
         if unknown := [s for s in c.features.split("-") if s not in sets]:
@@ -114,31 +123,38 @@ def selection(c: Column, names: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(c["parts"], pick))))
 
 
-def models(rows: DataFrame, at: Column, configs: list[Config], sets: dict[str, tuple[str, ...]]) -> DataFrame:
-    """rows (symbol, date, rn, label, features) with `made` on the rows where `at` holds: for each configuration that has its train rows
-    up to this one, the chosen features and the rates of all features and buckets; null on other rows."""
+def made(c: Column, names: list[str]) -> Column:
+    """The model of a configuration, on the last train row of a fold: from the columns date, firsts, rates and gains."""
+    own = [c[k].alias(k) for k in KEYS if k != "horizon"]
+    return F.struct(*own, c["train"].alias("train_n"), F.get("firsts", c["train_at"]).alias("train_start"), F.col("date").alias("train_end"), selection(c, names).alias("chosen"), F.get("rates", c["train_at"]).alias("rates"))
+
+
+def fitted(rows: DataFrame, at: Column, configs: list[Config], sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """rows with __at, firsts (of each train length), and where `at` holds rates (of each train length) and gains (of each length of importance)."""
     names = names_of(sets)
     trains, pis = sorted({c.train for c in configs}), sorted({c.pi_rows for c in configs})
     rate = lambda n, u: F.rint((u + 1) * 1e6 / (n + 2)).cast("long")
     out = counted(rows, names, {*trains, *pis}).withColumns({"__at": at, "firsts": F.array(*[lag("date", w - 1) for w in trains])})
-    out = out.withColumns({
+    return out.withColumns({
         "rates": F.when(F.col("__at"), F.array(*[F.zip_with(f"seen_{w}", f"ups_{w}", rate) for w in trains])),
         "gains": F.when(F.col("__at"), F.array(*[importances(names, w) for w in pis])),
     })
 
-    def made(c: Column) -> Column:
-        own = [c[k].alias(k) for k in KEYS if k != "horizon"]
-        return F.struct(*own, c["train"].alias("train_n"), F.get("firsts", c["train_at"]).alias("train_start"), F.col("date").alias("train_end"), selection(c, names).alias("chosen"), F.get("rates", c["train_at"]).alias("rates"))
 
+def models(rows: DataFrame, at: Column, configs: list[Config], sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """rows (symbol, date, rn, label, features) with `made` on the rows where `at` holds: for each configuration that has its train rows
+    up to this one, the chosen features and the rates of all features and buckets; null on other rows."""
+    names, out = names_of(sets), fitted(rows, at, configs, sets)
     fitting = F.filter(literal(configs, names, sets), lambda c: F.col("rn") >= c["train"])
-    return out.select(*rows.columns, F.when(F.col("__at"), F.transform(fitting, made)).alias("made"))
+    return out.select(*rows.columns, F.when(F.col("__at"), F.transform(fitting, lambda c: made(c, names))).alias("made"))
 
 
 def scored(rows: DataFrame, names: list[str]) -> DataFrame:
     """rows (symbol, date, horizon, label, run, test_days, test_end, features, made: one of them) -> predictions. Outcome columns are null where the label is."""
     own = F.array(*[F.col(f) for f in names])
     total = F.aggregate("made.chosen", F.lit(0).cast("long"), lambda a, i: a + F.get("made.rates", i * BUCKETS + F.get(own, i)))
-    raw = total.cast("double") / F.size("made.chosen") / 1e6
+    n = F.size("made.chosen")
+    raw = F.when(F.col("made.model") == "margin", logistic((total - n * 500_000).cast("double") * 4 / 1e6)).otherwise(total.cast("double") / n / 1e6)
     out = rows.where(F.size("made.chosen") > 0).withColumn("raw", raw).withColumn("pred_class", (F.col("raw") >= 0.5).cast("int"))
     return out.select(
         "symbol", "date", *[F.col(k) if k == "horizon" else F.col(f"made.{k}") for k in KEYS], "run", "test_days", on_grid(F.col("raw")).alias("pred"), "pred_class", F.col("label").alias("test_pos_n"),
@@ -169,6 +185,31 @@ def run_grid(rows: DataFrame, horizon: int, test: int, configs: list[Config], se
     return scored(out.withColumn("made", F.explode("made")), names_of(sets))
 
 
+def grid_joined(rows: DataFrame, horizon: int, test: int, configs: list[Config], sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """run_grid with the configurations as a table: what windows carry is the same however many there are.
+
+    A fold is one row: what its last train row knows, joined with the fold's test rows (at most `test`, one array) by symbol and run. Folds meet
+    the configurations that have their train rows; only then are features chosen and test rows scored. Folds are dealt by symbol and run to a
+    number of tasks, as adaptive execution would put these few bytes of much work into one; so one long symbol is many tasks from there on.
+    """
+    configs, names, back = checked(configs, sets), names_of(sets), F.col("n") - horizon - F.col("rn")
+    ends = fitted(rows, (back - test - horizon >= 0) & ((back - test - horizon) % test == 0), configs, sets).where("__at")
+    run = lambda ahead: F.floor((back - ahead) / test).cast("int").alias("run")
+    ends = ends.select("symbol", run(test + horizon), "date", "rn", "firsts", "rates", "gains")
+    days = rows.where(back >= 0).select("symbol", run(0), F.struct("date", "label", *names).alias("day"))
+    days = days.groupBy(F.col("symbol").alias("__symbol"), F.col("run").alias("__run")).agg(F.collect_list("day").alias("days"), F.max("day.date").alias("test_end"))
+    trains = sorted({c.train for c in configs})
+    own = F.explode(F.filter(F.array(*[F.when(F.col("rn") >= w, F.lit(i)) for i, w in enumerate(trains)]), lambda i: i.isNotNull()))
+    ends = ends.select("*", own.alias("train_at"))
+    table = rows.sparkSession.range(1, numPartitions=1).select(F.explode(literal(configs, names, sets)).alias("c")).select("c", "c.train_at")
+    met = F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("run") == F.col("__run"))
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    folds = ends.join(days, met).repartition(tasks, "symbol", "run").join(table, "train_at")
+    found = folds.select("symbol", "run", "test_end", "days", made(F.col("c"), names).alias("made"))
+    found = found.select("symbol", "run", "test_end", "made", F.explode("days").alias("day"))
+    return scored(found.select("symbol", F.lit(horizon).alias("horizon"), "run", F.lit(test).alias("test_days"), "test_end", "made", "day.*"), names)
+
+
 def score_pending(rows: DataFrame, history: DataFrame, horizon: int, configs: list[Config], sets: dict[str, tuple[str, ...]], least: int = 2) -> DataFrame:
     """Predictions of the labelled days after each configuration's last as-of date, in one window per symbol; where they are more than `least`.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -253,6 +254,52 @@ def test_grid_is_the_plain_walk(spark, monkeypatch, horizon):
     assert all((r.train_end - DAY).days == n - 2 * horizon for r in newest)
 
 
+@pytest.mark.parametrize("horizon", [2, 5])
+def test_joined_grid_is_the_carried_one(spark, monkeypatch, horizon):
+    """All axes, a series that is shorter than the others, one without folds and a null symbol; the margin is squashed as in plain Python."""
+    from marketjobs.operators import walk
+
+    monkeypatch.setattr(walk, "DAYS_A_YEAR", 40)
+    monkeypatch.setattr(walk, "PI_DAYS", 30)
+    rng, sets, names, test = random.Random(horizon), {"x": ("f", "g"), "y": ("h", "g")}, ["f", "g", "h"], 5
+    series = {s: [(i + 1, None if i >= n - horizon else int(rng.random() < 0.6), {k: rng.randrange(3) for k in names}) for i in range(n)] for s, n in (("a", 131), ("b", 70), ("c", 12), (None, 60))}
+    df = spark.createDataFrame([(s, DAY + dt.timedelta(days=rn), rn, len(rows), y, *own.values()) for s, rows in series.items() for rn, y, own in rows], "symbol string, date date, rn int, n int, label int, f int, g int, h int")
+    configs = [walk.Config(y, f, p, h, 1, m) for y in (1, 2) for f in ("x", "x-y") for p in (0.5, 1.0) for h in walk.MODES for m in walk.MODELS if f == "x-y" or h == "together"]
+    got, want = walk.grid_joined(df, horizon, test, configs, sets), walk.run_grid(df, horizon, test, configs, sets)
+    rows = got.collect()
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and {r.symbol for r in rows} == {"a", "b", None}
+    squashed = 0
+    for r in rows:
+        if r.model == "margin" and r.pi_handling == "together":
+            own = series[r.symbol]
+            end, c = (r.train_end - DAY).days, walk.Config(r.train_years, r.features, r.pi_size, r.pi_handling, r.min_feats)
+            unique = {k: tuple(f for f in v if k == "x" or f != "g") for k, v in sets.items()}
+            chosen, rate = outcome(own, c, unique, names, end)
+            score = sum(4 * (rate[f, own[(r.date - DAY).days - 1][2][f]] - 0.5) for f in chosen)
+            assert abs(r.pred - 1 / (1 + math.exp(-score))) <= 0.025 + 1e-5 and r.pred_class == int(score >= 0) or abs(score) < 1e-5
+            squashed += 1
+    assert squashed > 100 and walk.grid_joined(df.where("false"), horizon, test, configs, sets).isEmpty()
+
+
+def test_folds_of_the_joined_grid_are_many_tasks(spark):
+    """Configurations are joined by train length, not paired with every fold; one symbol's folds are scored in several tasks."""
+    from marketjobs.operators import walk
+
+    n = 400
+    df = spark.range(1, n + 1).select(F.lit("a").alias("symbol"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("date"), F.col("id").cast("int").alias("rn"), F.lit(n).alias("n"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("f"))
+    out = walk.grid_joined(df, 1, 5, [walk.Config(1, "x", p, "together", 1, m) for p in (0.5, 1.0) for m in walk.MODELS], {"x": ("f",)})
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) < 0.3 * sum(sizes) and "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_of_each_horizon(spark):
+    df = spark.createDataFrame([(1, 0.2), (1, 0.6), (2, 0.9), (2, 0.7), (3, 0.5)], "horizon int, pred double")
+    best = lambda rows: rows.join(rows.agg(F.max("pred").alias("m")), F.col("pred") == F.col("m")).drop("m")
+    assert sorted(tuple(r) for r in metrics.filtered(df, (1, 2, 4), best).collect()) == [(1, 0.6), (2, 0.9)]
+    with pytest.raises(ValueError, match="no horizons"):
+        metrics.filtered(df, (), best)
+
+
 def test_modes_are_checked():
     from marketjobs.operators import walk
 
@@ -260,6 +307,8 @@ def test_modes_are_checked():
         walk.checked([walk.Config(1, "x", 1.0, "run_together", 1)], {"x": ("f",)})
     with pytest.raises(KeyError, match="nope"):
         walk.checked([walk.Config(1, "x-nope", 1.0, "together", 1)], {"x": ("f",)})
+    with pytest.raises(ValueError, match="unknown model"):
+        walk.checked([walk.Config(1, "x", 1.0, "together", 1, "other")], {"x": ("f",)})
 
 
 def test_squash_and_infinities(spark):
