@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rolling import div as safe_div
 from ..functions.rolling import lag, lead, without_inf
 from ..operators import fit, folds, momentum, prune, scan, trend, volatility, volume
-from ..sources.tables import bars_daily
+from ..sources.tables import bars_daily, context_daily
 from .daily import BARS, S, div, over, rnd
 from .daily import ORACLE as DAILY
 
@@ -24,6 +24,14 @@ def adx(spark, sf_dir):
     return scan.adx(bars_daily(spark, sf_dir))
 
 
+def macd_long(spark, sf_dir):
+    return scan.macd_long(bars_daily(spark, sf_dir))
+
+
+def adx_long(spark, sf_dir):
+    return scan.adx_long(bars_daily(spark, sf_dir))
+
+
 def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with label, four features (unknown where a price before is zero) and a missing value's infinity as 0, in slices of folds."""
     bars = bars_daily(spark, sf_dir)
@@ -61,17 +69,28 @@ SETS = {
 }
 
 
-def feature_panel(spark, sf_dir):
-    """All features and labels of a day in one row: each operator hands on what it is given, and all windows are by symbol in order of date, so the bars move once and nothing is joined."""
-    out = bars_daily(spark, sf_dir)
-    own = out.columns[2:]
+def panel_of(bars: DataFrame, own: list[str]) -> DataFrame:
+    """The columns of all operators after those of the bars, without the `own` ones."""
+    out = bars
     for operator in PANEL:
-        known = out.columns
-        more = operator(out, keep=tuple(known))
+        more = operator(out, keep=tuple(out.columns))
         out = more.select(*dict.fromkeys(more.columns))
     return out.drop(*own)
 
 
+def feature_panel(spark, sf_dir):
+    """All features and labels of a day in one row: each operator hands on what it is given, and all windows are by symbol in order of date, so the bars move once and nothing is joined."""
+    bars = bars_daily(spark, sf_dir)
+    return panel_of(bars, bars.columns[2:])
+
+
+def context_panel(spark, sf_dir):
+    """The panel with the context indices of the day, or the last known ones. The context, a row a day, meets the bars before they are windowed."""
+    bars = bars_daily(spark, sf_dir)
+    context = volatility.context_features(context_daily(spark, sf_dir))
+    return panel_of(volatility.with_context(bars, context, keep=bars.columns), bars.columns[2:])
+
+
 def catalog_of(spark: SparkSession, columns: list[str]) -> DataFrame:
     """set_name, col_name, pos: the columns of each set, in order, by the pattern of their names."""
     rows = [(name, c, i) for name, starts in SETS.items() for i, c in enumerate(c for c in columns if c.startswith(starts))]
@@ -86,7 +105,7 @@ def set_coverage(spark, sf_dir):
     return prune.resolved(catalog_of(spark, names)).join(counts, "col_name").select("set_name", "col_name", "days")
 
 
-QUERIES = {f.__name__: f for f in (macd, adx, walk_forward_fit, perm_importance, importance_rollup, importance_chosen, feature_panel, set_coverage)}
+QUERIES = {f.__name__: f for f in (macd, adx, macd_long, adx_long, walk_forward_fit, perm_importance, importance_rollup, importance_chosen, feature_panel, context_panel, set_coverage)}
 
 NUM = f"b AS (SELECT *, row_number() OVER {S} AS rn FROM bars)"
 
@@ -113,6 +132,8 @@ SELECT symbol, date, {rnd('plus', 3)} AS plus_di, {rnd('minus', 3)} AS minus_di,
 }
 PARTS = [ORACLE.get(f.__name__) or DAILY["zscore" if f is trend.zscores else f.__name__] for f in PANEL]
 ORACLE["feature_panel"] = "SELECT * FROM " + " JOIN ".join(f"({part}) t{i}" + (" USING (symbol, date)" if i else "") for i, part in enumerate(PARTS))
+ORACLE["context_panel"] = f"SELECT * FROM ({ORACLE['feature_panel']}) p JOIN ({DAILY['context_ffill']}) c USING (symbol, date)"
+ORACLE |= {f"{name}_long": ORACLE[name] for name in ("macd", "adx")}
 ORACLE["set_coverage"] = f"""
 WITH panel AS ({ORACLE["feature_panel"]}),
 n AS (UNPIVOT (SELECT count(COLUMNS(* EXCLUDE (symbol, date))) FROM panel) ON COLUMNS(*) INTO NAME col_name VALUE days),

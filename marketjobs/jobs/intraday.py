@@ -56,17 +56,16 @@ def session_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares, magnitudes and ranges of each day with a first interval, with their means over three days: one grouping, and no join."""
     days = m.by_day(ratios(spark, sf_dir), *[f(s) for s in m.SESSIONS for f in (m.percent, m.magnitude)], *[m.ranges(i) for i in INTERVALS]).where("first_5m is not null")
-    return days.join(m.rolled(days), ["symbol", "date"])
+    return m.rolled(days, keep=days.columns)
 
 
 def minute_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session features of the minutes with daily features and labels of the same symbols and days."""
+    """All session features of the minutes with daily features and labels of the same symbols and days."""
     daily = bars_of_days(labelled(spark, sf_dir))
     features = momentum.fwd_return(trend.sma_ratio(daily, (3, 5), keep=("symbol", "date", "close")), (1, 2), keep=("symbol", "date", "sma_3", "sma_5", "sma_3_5"))
-    return session_features(spark, sf_dir).select("symbol", "date", *MINUTE_COLUMNS).join(features, ["symbol", "date"])
+    return session_features(spark, sf_dir).join(features, ["symbol", "date"])
 
 
-MINUTE_COLUMNS = ("first_5m", "last_5m", "early_open_up", "early_open_pos_avg", "early_open_up_roll3", "midday_flat_roll3")
 QUERIES = {f.__name__: f for f in (session_calendar, session_features, minute_panel, session_labels, session_ratios, session_pct, session_magnitude, first_last_range, session_roll3)}
 
 FINE = "CASE " + " ".join(f"WHEN {f'tod <= 570 + session_duration AND tod >= {a}' if b is None else f'tod > 570 + session_duration AND tod < {b}' if a is None else f'tod >= {a} AND tod < {b}'} THEN '{n}'" for n, a, b in m.DETAIL) + " ELSE 'other' END"
@@ -128,4 +127,4 @@ f AS (
   SELECT symbol, date, {", ".join(f"{rnd(div('close', mean('close', w)), 6)} AS sma_{w}" for w in (3, 5))}, {rnd(div(mean('close', 3), mean('close', 5)), 6)} AS sma_3_5,
     {", ".join(f"{rnd(div(f'({lead("close", r)} - close) * 100', 'close'), 4)} AS return_pct_{r}, CASE WHEN {lead('close', r)} > close THEN 1 WHEN {lead('close', r)} <= close THEN 0 END AS return_{r}" for r in (1, 2))}
   FROM y)
-SELECT symbol, date, {", ".join(MINUTE_COLUMNS)}, f.* EXCLUDE (symbol, date) FROM s JOIN f USING (symbol, date)"""
+SELECT * FROM s JOIN f USING (symbol, date)"""

@@ -89,7 +89,7 @@ def by_day(minutes: DataFrame, *columns: list[Column]) -> DataFrame:
     return minutes.groupBy("symbol", "date").agg(*reduce(lambda a, b: a + b, columns))
 
 
-def rolled(days: DataFrame, rows: int = 3) -> DataFrame:
+def rolled(days: DataFrame, rows: int = 3, keep=("symbol", "date")) -> DataFrame:
     """Means over the last three days (fewer at the start) of the features that are known before the close."""
     names = [c for c in days.columns if c not in ("symbol", "date") and not any(x in c for x in ("close_", "post_", "overnight_"))]
-    return days.select("symbol", "date", *[rnd(F.avg(c).over(last(rows)), 4).alias(f"{c}_roll{rows}") for c in names])
+    return days.select(*keep, *[rnd(F.avg(c).over(last(rows)), 4).alias(f"{c}_roll{rows}") for c in names])

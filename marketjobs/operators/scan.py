@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.chunks import by_chunks
 from ..functions.rolling import KEEP, div, lag, rnd, roll, series
 from .volatility import with_range
 
@@ -74,3 +75,17 @@ def adx(bars: DataFrame, w: int = 14, keep=KEEP) -> DataFrame:
     rows = rows.withColumns({"__plus": plus, "__minus": minus})
     rows = rows.withColumn("__dx", div(F.abs(F.col("__plus") - F.col("__minus")), F.col("__plus") + F.col("__minus")) * 100)
     return rows.select(*keep, rnd(F.col("__plus"), 3).alias("plus_di"), rnd(F.col("__minus"), 3).alias("minus_di"), rnd(roll(F.avg, F.col("__dx"), w), 3).alias("adx"))
+
+
+#: Rows before a chunk after which nothing of an older row is left in a double: weights of the slowest mean here, 1/14 a row, fall to 10^-33.
+LOOK_BACK = 1024
+
+
+def macd_long(bars: DataFrame, chunk: int = LOOK_BACK, look_back: int = LOOK_BACK) -> DataFrame:
+    """macd for symbols of any length: chunks start their means `look_back` rows early. Rows are read 1 + look_back / chunk times."""
+    return by_chunks(bars, macd, look_back, chunk)
+
+
+def adx_long(bars: DataFrame, chunk: int = LOOK_BACK, look_back: int = LOOK_BACK) -> DataFrame:
+    """adx for symbols of any length, in the same way."""
+    return by_chunks(bars, adx, look_back, chunk)

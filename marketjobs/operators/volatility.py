@@ -50,11 +50,11 @@ def context_features(context: DataFrame, names=("vx", "sk")) -> DataFrame:
     return one.select("date", *cols)
 
 
-def with_context(bars: DataFrame, context: DataFrame) -> DataFrame:
+def with_context(bars: DataFrame, context: DataFrame, keep=KEEP) -> DataFrame:
     """bars with the context of the same date, then the last known one; context of days without a bar is never used."""
     names = [c for c in context.columns if c != "date"]
     joined = bars.join(context, "date", "left")
-    return joined.select("symbol", "date", *[F.last(n, ignorenulls=True).over(upto()).alias(n) for n in names])
+    return joined.select(*keep, *[F.last(n, ignorenulls=True).over(upto()).alias(n) for n in names])
 
 
 def label_streak(labels: DataFrame) -> DataFrame:

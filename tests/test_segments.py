@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketjobs.functions.segments import before, run_length, running_sum
 from marketjobs.functions.chunks import numbered
 from marketjobs.functions.extremes import moving, moving_extremes
-from marketjobs.operators import momentum, trend, volatility, volume
+from marketjobs.operators import momentum, scan, trend, volatility, volume
 
 RNG = random.Random(23)
 
@@ -117,3 +117,23 @@ def test_moments_of_long_frames_equal_the_short_ones(spark):
         assert r.volatility_5 is None or abs(r.volatility_5 - short[r.symbol, r.date].volatility_5) < 1e-9
     zero = df.withColumn("close", F.when(F.col("volume") > 3, F.col("close")).otherwise(0))
     assert trend.moments_long(zero, (5,)).count() == df.count() and trend.moments_long(df.where("false")).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [400, 1024])
+def test_exponential_means_of_long_symbols_equal_whole_series(spark, chunk):
+    """Chunks that begin in the middle of a series, at prices that move far; rounded values may differ by one step at a tie."""
+    rng, rows, day = random.Random(chunk), [], 0
+    for i in range(2500):
+        day += rng.choice([1, 3])
+        low, high = sorted((rng.randrange(10**6, 3 * 10**6), rng.randrange(10**6, 3 * 10**6)))
+        rows.append(("a" if i % 2500 else "b", day, low, high, low, rng.randrange(low, high + 1), 1))
+    df = spark.createDataFrame(rows, "symbol string, day int, open long, high long, low long, close long, volume long")
+    df = df.withColumn("date", F.date_add(F.lit("1969-01-01").cast("date"), F.col("day"))).drop("day").repartition(3)
+    for long, whole, names in ((scan.macd_long, scan.macd, ("macd", "macd_signal")), (scan.adx_long, scan.adx, ("plus_di", "minus_di", "adx"))):
+        want = {(r.symbol, r.date): r for r in whole(df).collect()}
+        got = {(r.symbol, r.date): r for r in long(df, chunk=chunk).collect()}
+        assert got.keys() == want.keys() and len(got) == 2500
+        for key, r in got.items():
+            for n in names:
+                assert (r[n] is None) == (want[key][n] is None) and (r[n] is None or abs(r[n] - want[key][n]) <= 1.001e-3)
+        assert sum(got[k] != want[k] for k in got) <= 2
