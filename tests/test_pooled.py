@@ -104,6 +104,22 @@ def test_importance_by_joins(spark):
             assert got[s, run, "a"][0] > got[s, run, "c"][0]
 
 
+def test_importance_broadcasts_no_exploded_rows(spark):
+    """Rows of all folds and draws come from a few bars, so a plan that goes by these would broadcast them; folds are many tasks."""
+    from marketjobs.jobs import pooled
+
+    out = pooled.cell_importance(spark, "/root/testdata/sf0.001")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    tree = [(len(line) - len(line.lstrip(" :+-")), line) for line in plan.split("\n")]
+    for i, (deep, line) in enumerate(tree):
+        if "BroadcastExchange" in line:
+            below = [x for d, x in tree[i + 1 : next((k for k in range(i + 1, len(tree)) if tree[k][0] <= deep), len(tree))]]
+            assert not any("inline(" in x for x in below)
+    numbered = f", {permute.TASKS * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM"
+    assert numbered in plan
+
+
 @pytest.mark.parametrize("accuracy", [20, 1000])
 def test_quantiles_are_exact(spark, accuracy):
     """Small sketches, so that ranks are counted inside of brackets; ties, nulls, one value, a null key."""
