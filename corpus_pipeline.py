@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketjobs.llm import bpe, mixing, near, quality, secrets
-from marketjobs.llm.common import attach, new_path, packed, read, small_batches, unpacked, written
+from marketjobs.llm.common import attach, new_path, packed, read, short_plans, small_batches, unpacked, written
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def ordered(docs: DataFrame) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """position (of training, from 0), doc_id, n_tokens and the ids of each document of the mix, for each of its copies."""
-    with small_batches(spark):
+    with small_batches(spark), short_plans(spark):  # the rank map is in the plan: 15 MB as text, several times
         rows = bpe.encoded(ordered(docs), key=F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("__position").alias("position")))
         return written(rows.select("doc_id.position", "doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"), "pipeline-ids")
 

@@ -687,3 +687,16 @@ def test_counts_rule_out_no_link():
     assert ruled > 60
     full = near.bin_counts(np.zeros(300, np.int64))
     assert near.may_link(full, full, 300, 300)
+
+
+def test_plans_of_token_ids_are_short(spark, tmp_path):
+    """Spark keeps plans as text in the driver; the rank map is a literal of some millions of characters."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, limit = store.executionsCount(), spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    assert corpus_pipeline.token_ids(spark, spark.read.parquet(f"{tmp_path}/docs"), "").count() == 2
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    kept = store.executionsList(int(before), 1000)
+    sizes = [len(kept.apply(i).physicalPlanDescription()) for i in range(kept.size())]
+    assert sizes and max(sizes) < 200_000
+    assert spark.conf.get("spark.sql.debug.maxToStringFields") == limit
