@@ -33,7 +33,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity of at least 0.8): the one with the smallest id."""
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity of at least 0.8): the one with the smallest id.
+
+    SimHash fingerprints in a Gray-ordered index give candidates, which are verified exactly; prefix filters find the links beyond its radius.
+    """
     return near.representatives(docs)
 
 

@@ -1,9 +1,10 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a set-similarity join with prefix filters.
+"""Near-duplicates by SimHash, verified and made whole by exact Jaccard similarity of word shingles.
 
 A text is the set of its shingles of five lower-cased words (64-bit hashes, as good as the shingles but for clashes of 2^-64). Two texts
 link if their sets have a Jaccard similarity of at least 0.8; the result is the connected component of each document.
 
-Candidates: in any one order of all shingles, two sets that are similar enough share a shingle among the first fifth or so of
+Candidates come from the Gray-ordered index of `simhash.py` first, over a SimHash fingerprint of each set. At a similarity of 0.8 some ten
+of 64 bits differ, beyond any radius that an index can search, so the rest comes from a join with prefix filters: in any one order of all shingles, two sets that are similar enough share a shingle among the first fifth or so of
 each (the prefix), so sets are dealt to a group per shingle of their prefix, and no link is lost. The order is that of the
 hashes, with shingles that a sample shows to be frequent last, so that passages shared by many texts make no large groups; the sample decides
 costs only. In each group all sets are first compared with one of them, the one with most company; then, in groups that
@@ -28,7 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import attach, scratch, small_batches, written
-from .simhash import components, one_each
+from .simhash import BLOCK, RADIUS, components, one_each
+from .simhash import links as near_fingerprints
 
 SHINGLE, SEED = 5, 42
 #: The least similarity is LEAST / OF, so that sizes are compared as whole numbers.
@@ -84,6 +86,14 @@ def bin_counts(ids: np.ndarray) -> bytes:
     return np.minimum(np.bincount(ids & (bins - 1), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
+def fingerprint(ids: np.ndarray) -> int:
+    """SimHash of a set, as a signed number: the bits that are set in over half of its shingles."""
+    bits = np.zeros(64, np.int64)
+    for i in range(0, len(ids), BLOCK):
+        bits += np.unpackbits(ids[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * bits > len(ids), bitorder="little").view(np.int64)[0])
+
+
 def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
     """Whether sets of n and m shingles with these counts can be similar enough: they share at most the lesser count of each bin."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -95,19 +105,20 @@ def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
 
 
 def shapes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, sid, n, bins): th is a hash of the text, sid one of its set, n the set's size, bins the counts of its shingles."""
+    """(doc_id, th, sid, n, bins, fp): th is a hash of the text, sid one of its set, n the set's size, bins the counts of its shingles, fp its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column("text").cast(pa.binary()):
                 ids = shingles(t.as_py() or b"", shingle)
-                out.append((name(ids), len(ids), bin_counts(ids)))
-            sid, n, bins = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(bins, pa.binary())], names=["doc_id", "th", "sid", "n", "bins"])
+                out.append((name(ids), len(ids), bin_counts(ids), fingerprint(ids)))
+            sid, n, bins, fp = zip(*out, strict=True) if out else ((), (), (), ())
+            own = [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(bins, pa.binary()), pa.array(fp, pa.int64())]
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), *own], names=["doc_id", "th", "sid", "n", "bins", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, sid long, n int, bins binary")
+    return rows.mapInArrow(run, "doc_id long, th long, sid long, n int, bins binary, fp long")
 
 
 def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -161,6 +172,15 @@ def can_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (F.least(n - pos, m - at) * (LEAST + OF) >= LEAST * (n + m)) & (F.least(n, m) * OF >= LEAST * F.greatest(n, m))
 
 
+def alike(one: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of sets that the index of fingerprints connects; sets of one fingerprint meet the smallest of them. one: a written table, a row per set."""
+    low = written(one.groupBy("fp").agg(F.min("sid").alias("low")), "near-fingerprints")
+    same = one.join(low, "fp").where("sid > low").select(F.col("low").alias("a"), F.col("sid").alias("b"))
+    first, second = (low.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low")) for c in "ab")
+    near = near_fingerprints(low.select("fp"), radius).distinct().join(first, "a").join(second, "b")
+    return same.unionByName(near.select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b")))
+
+
 def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets, written, but for those whose counts rule them out."""
 
@@ -230,14 +250,15 @@ def in_blocks(rest: DataFrame, rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): links that connect all of the sets of docs that can be connected. rows: their shapes, written."""
-    one = written(rows.groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("bins").alias("bins")), "near-shapes")
+    one = written(rows.groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("fp").alias("fp")), "near-shapes")
     members = written(groups_of(prefixes(docs, frequent(docs, shingle), shingle)), "near-groups")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     company = members.join(sizes, "key").groupBy("sid").agg(F.sum("size").alias("company"))
     star = written(members.join(company, "sid"), "near-company")
     star = star.join(star.groupBy("key").agg(F.max(F.struct("company", "sid", "n", "pos")).alias("p")), "key")
     star = star.where((F.col("sid") != F.col("p.sid")) & can_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-    stars = written(star.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct(), "near-stars")
+    star = star.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))
+    stars = written(star.unionByName(alike(one)).distinct(), "near-stars")
     found = verified(written(possible(stars, one), "near-possible"), one, docs, shingle)
     roots = written(components(found), "near-roots")
     rest = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -700,3 +700,15 @@ def test_plans_of_token_ids_are_short(spark, tmp_path):
     sizes = [len(kept.apply(i).physicalPlanDescription()) for i in range(kept.size())]
     assert sizes and max(sizes) < 200_000
     assert spark.conf.get("spark.sql.debug.maxToStringFields") == limit
+
+
+def test_near_duplicates_come_from_the_index_of_fingerprints(spark, tmp_path, monkeypatch):
+    """Without the join by prefixes, copies with a changed word are found by their SimHash fingerprints; likeness of fingerprints alone is no link."""
+    text = [f"w{int(x)}" for x in np.random.default_rng(11).integers(0, 10**6, 3000)]
+    rows = [(1, text), (2, [*text[:-1], "other"]), (3, ["changed", *text[1:]]), (4, text[:3] + text[2000:]), (5, [w + "x" for w in text])]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(near, "prefixes", lambda docs, last, shingle: spark.createDataFrame([], "key long, sid long, n int, pos int, hot boolean"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 4, 5]
+    monkeypatch.setattr(near, "near_fingerprints", lambda fps, radius: fps.select(F.col("fp").alias("b")).crossJoin(fps.select(F.col("fp").alias("a"))).where("a > b"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 4, 5]
