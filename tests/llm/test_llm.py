@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import random
@@ -275,6 +276,24 @@ def test_shards_like_sql(spark, tmp_path, monkeypatch, pieces):
     assert sorted(got, key=key) == sorted(want, key=key) and max(r[4] for r in got) > 3 and len({r[2] for r in got}) > 20
 
 
+def test_large_sides_of_shards_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """What counts as large is shuffled, however small its files are under Spark's own threshold, and the rows are those of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, "x" * (i * 37 % 90)) for i in range(300)] + [(7, "x" * (n % 3 * 40)) for n in range(60)] + [(None, "é" * (n % 7)) for n in range(200)] + [(1000, "x" * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    plan, plans = lambda df: df._jdf.queryExecution().executedPlan().toString(), []
+    monkeypatch.setattr(sharding, "written", lambda df, name: plans.append(plan(df)) or common.written(df, name))
+    monkeypatch.setattr(sharding, "attach", functools.partial(common.attach, max_bytes=-1))
+    monkeypatch.setattr(sharding, "QUERY_LIMIT", 400)
+    out = sharding.op4_shards(spark, str(tmp_path))
+    got = [tuple(r) for r in out.collect()]
+    plans.append(plan(out))
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=key) == sorted(con.execute(sharding.OP4_SQL.replace("262144", "400")).fetchall(), key=key)
+
+
 # --- 5 ---
 
 
